@@ -46,13 +46,12 @@ def read_wide_corpus(spark: SparkSession, path: str) -> DataFrame:
 def wide_to_canonical(df: DataFrame, row_key: str | None = None, corpus: str = "clear") -> DataFrame:
     """Wide labelled rows as canonical ones.
 
-    A row without a usable ID is named by ``row_key``, its position in the file. Without that column
-    positions are counted over the input's own order, which is the file order for a single file.
+    A row without a usable ID is named by ``row_key``. Without that column rows of a file get their
+    position in it; over several files the numbers are still unique, but no positions.
     """
     if row_key is None:
-        numbered = df.rdd.zipWithIndex().map(lambda pair: (*pair[0], pair[1]))
         row_key = "_row"
-        df = df.sparkSession.createDataFrame(numbered, df.schema.add(row_key, "long"))
+        df = df.withColumn(row_key, F.monotonically_increasing_id())
     number = as_number(F.col("ID"))
     name = F.when(number.isNotNull(), number.cast("long").cast("string")).otherwise(
         F.concat(F.lit("row"), F.col(row_key).cast("string"))
@@ -151,9 +150,7 @@ def levelled_to_canonical(
 def load_levelled_csv(spark: SparkSession, path: str) -> DataFrame:
     """The two-column CSV ``text,label``; rows are numbered in file order."""
     raw = read_csv(spark, path).select("text", "label")
-    numbered = raw.rdd.zipWithIndex().map(lambda pair: (*pair[0], pair[1]))
-    df = spark.createDataFrame(numbered, raw.schema.add("row", "long"))
-    out = levelled_to_canonical(df, "row")
+    out = levelled_to_canonical(raw.withColumn("row", F.monotonically_increasing_id()), "row")
     if not out.select("id").limit(1).count():
         raise ValueError(f"no levelled rows in {path} (expected columns text,label)")
     return out

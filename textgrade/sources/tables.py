@@ -7,12 +7,19 @@ from pyspark.sql import DataFrame, SparkSession, types as T
 from textgrade.schema import CANONICAL, canonical, coerce
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """CSV with a header whose quoted fields may hold line breaks and doubled quotes.
+# Quoted fields may hold line breaks and doubled quotes, and keep their outer blanks.
+CSV = {
+    "header": True,
+    "quote": '"',
+    "escape": '"',
+    "ignoreLeadingWhiteSpace": False,
+    "ignoreTrailingWhiteSpace": False,
+}
+
 
-    Without a schema all columns are text; nothing is inferred from the data.
-    """
-    reader = spark.read.options(header=True, multiLine=True, quote='"', escape='"')
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+    """CSV with a header. Without a schema all columns are text; nothing is inferred."""
+    reader = spark.read.options(multiLine=True, **CSV)
     return (reader.schema(schema) if schema is not None else reader).csv(path)
 
 
@@ -35,7 +42,7 @@ def write_table(
     """Write the canonical columns. Parquet is partitioned, so a split or corpus reads alone."""
     writer = canonical(df).write.mode(mode)
     if fmt == "csv":
-        writer.options(header=True, quote='"', escape='"').csv(path)
+        writer.options(**CSV).csv(path)
     else:
         writer.partitionBy(*partition_by).parquet(path)
 
@@ -44,6 +51,6 @@ def write_result(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ov
     """Predictions, scores and other result tables with their own columns."""
     writer = df.write.mode(mode)
     if fmt == "csv":
-        writer.option("header", True).csv(path)
+        writer.options(**CSV).csv(path)
     else:
         writer.parquet(path)

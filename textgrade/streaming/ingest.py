@@ -24,6 +24,9 @@ DOCUMENTS = T.StructType(
 )
 
 
+STORED = T.StructType([*CANONICAL.fields, T.StructField("batch", T.LongType())])
+
+
 def ingest_pool(
     spark: SparkSession,
     documents: str,
@@ -66,9 +69,9 @@ def ingest_pool(
 def _earlier(spark: SparkSession, pool: str, batch_id: int) -> DataFrame | None:
     if batch_id == 0:
         return None
-    held = spark.read.schema(CANONICAL.add("batch", "long")).parquet(pool)
+    held = spark.read.schema(STORED).parquet(pool)
     return held.where(F.col("batch") < batch_id)
 
 
 def read_pool(spark: SparkSession, pool: str) -> DataFrame:
-    return canonical(spark.read.schema(CANONICAL.add("batch", "long")).parquet(pool))
+    return canonical(spark.read.schema(STORED).parquet(pool))
