@@ -129,7 +129,7 @@ def read_wide_with_aliases(spark, sf_dir):
 
 @query("s3_wide_to_canonical", WIDE)
 def wide_canonical(spark, sf_dir):
-    rows = wide_to_canonical(repair_columns(_wide(spark, sf_dir).withColumnRenamed("s.e.", "BT s.e.")), "doc_id")
+    rows = wide_to_canonical(repair_columns(_wide(spark, sf_dir)), "doc_id")
     return rows.select(
         "id", "native_label", "std_error", "domain", "license", "native_scale", F.md5("text").alias("text_md5")
     )
@@ -357,7 +357,7 @@ def normal_forms(spark, sf_dir):
 @query(
     "q4_drop_known_texts",
     f"""WITH own AS (SELECT 'docs:' || doc_id AS id, text FROM documents
-      UNION ALL SELECT 'copy:' || doc_id, '  ' || upper(text) || ' ' || chr(10) FROM documents WHERE doc_id % 20 = 0),
+      UNION ALL SELECT 'copy:' || doc_id, '  ' || translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') || ' ' || chr(10) FROM documents WHERE doc_id % 20 = 0),
     known AS (SELECT text FROM documents WHERE doc_id % 20 = 0 UNION ALL SELECT text FROM benchmark)
     SELECT id FROM own WHERE {sql.normal('text')} NOT IN (SELECT {sql.normal('text')} FROM known)""",
 )

@@ -11,6 +11,7 @@ from textgrade.schema import coerce, with_defaults
 POLARITY_BY_LANG = {"en": False, "de": True, "es": True, "fr": True}
 VARIANT_WIDTHS = {"full": 4000.0, "no_pairwise": 8000.0, "no_pseudo": 16000.0}
 SEEDS = (42, 43, 44)
+SMALL = "abcdefghijklmnopqrstuvwxyz"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,7 +62,7 @@ def copied_docs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     some = docs.where(F.col("doc_id") % 20 == 0)
     copies = some.select(
         F.concat(F.lit("copy:"), F.col("doc_id")).alias("id"),
-        F.concat(F.lit("  "), F.upper("text"), F.lit(" \n")).alias("text"),
+        F.concat(F.lit("  "), F.translate("text", SMALL, SMALL.upper()), F.lit(" \n")).alias("text"),
     )
     own = docs.select(F.concat(F.lit("docs:"), F.col("doc_id")).alias("id"), "text")
     known = some.select("text").unionByName(table(spark, sf_dir, "benchmark").select("text"))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from textgrade.functions.numbers import as_number
 from textgrade.functions.text import normal_form, strip, text_key
 
 # The default length band and language.
@@ -22,7 +21,7 @@ def keep_in_band(
     """Rows with some text, a stored token count inside the closed band, and a wanted language."""
     return df.where(
         F.col("language").isin(*languages)
-        & as_number(F.col("length_tokens")).between(min_tokens, max_tokens)
+        & F.col("length_tokens").try_cast("double").between(min_tokens, max_tokens)
         & (strip("text") != "")
     )
 

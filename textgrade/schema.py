@@ -55,13 +55,17 @@ def _whole_number(value: Column) -> Column:
 
 def coerce(df: DataFrame) -> DataFrame:
     """Exactly the canonical columns, in order and typed; whatever is no number becomes null."""
-    have = set(df.columns)
+    have = dict(df.dtypes)
     out = []
     for field in CANONICAL:
         name = field.name
         if name not in have:
             value = F.lit(None)
             value = F.lit(False) if name == "is_pseudo" else value.cast(field.dataType)
+        elif have[name] in ("bigint", "int", "boolean") and name in ("length_tokens", "is_pseudo"):
+            # Already typed: parsing again would repeat the expression behind the column.
+            value = F.col(name).cast(field.dataType)
+            value = F.coalesce(value, F.lit(False)) if name == "is_pseudo" else value
         elif isinstance(field.dataType, T.DoubleType):
             value = as_number(F.col(name))
         elif name == "length_tokens":

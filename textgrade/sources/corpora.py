@@ -65,7 +65,7 @@ def wide_to_canonical(df: DataFrame, row_key: str | None = None, corpus: str = "
             F.lit(corpus).alias("corpus"),
             F.col("BT Easiness").alias("native_label"),
             F.lit("clear_bt_easiness").alias("native_scale"),
-            F.col("BT s.e.").alias("std_error"),
+            F.col("`BT s.e.`").alias("std_error"),
             F.coalesce(_lookup(CATEGORY_DOMAINS, F.lower(category)), F.lit("unknown")).alias("domain"),
             licence.alias("license"),
         )
