@@ -223,7 +223,7 @@ def attached(spark, sf_dir):
     return rounded(joined.select(F.col("id").cast("string").alias("id"), "k", "pred"))
 
 
-ALL_AND_SLICES = f"""{sql.SMALL}, both AS (
+ALL_AND_SLICES = f"""{sql.SMALL}, slices AS (
       SELECT true AS is_all, 'ALL' AS slice, t, p FROM small
       UNION ALL SELECT false, slice, t, p FROM small WHERE slice IS NOT NULL)"""
 SCORE_COLUMNS = """round(spearman, 6) AS spearman, round(kendall, 6) AS kendall, round(pairwise_acc, 6) AS pairwise_acc,
@@ -242,7 +242,7 @@ def scored(spark, sf_dir):
 
 @query(
     "m7_score_against_bracket",
-    f"""WITH {ALL_AND_SLICES}, {sql.scores('both', 'is_all, slice')}
+    f"""WITH {ALL_AND_SLICES}, {sql.scores('slices', 'is_all, slice')}
     SELECT is_all, slice AS "group", {SCORE_COLUMNS} FROM scored""",
 )
 def bracket_scores(spark, sf_dir):

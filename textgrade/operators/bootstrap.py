@@ -34,10 +34,14 @@ POISSON_STEPS = (
 )
 
 
-def _poisson(number: Column) -> Column:
-    u = number / F.lit(DRAW_RANGE)
-    steps = [F.when(u >= F.lit(step), 1).otherwise(0) for step in POISSON_STEPS]
-    return sum(steps[1:], steps[0])
+def poisson_count(number: Column) -> Column:
+    """Poisson(1) count for a uniform draw number, which is evaluated once."""
+    steps = [F.lit(step) for step in POISSON_STEPS]
+
+    def count(u: Column) -> Column:
+        return sum((F.when(u >= s, 1).otherwise(0) for s in steps[1:]), F.when(u >= steps[0], 1).otherwise(0))
+
+    return F.get(F.transform(F.array(number / F.lit(DRAW_RANGE)), count), 0)
 
 
 def _positions(df: DataFrame, group: list[str], row_id: str, values: list[str], spacing: int):
@@ -56,7 +60,7 @@ def resample(
     reps = F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("rep")
     if mode == "poisson":
         drawn = rows.select(*group, *values, "row_id", reps)
-        drawn = drawn.withColumn("cnt", _poisson(draw_number(seed, "rep", "row_id")))
+        drawn = drawn.withColumn("cnt", poisson_count(draw_number(seed, "rep", "row_id")))
         return drawn.where("cnt > 0").select(*group, "rep", *values, F.col("cnt").cast("long"))
     draws = rows.select(*group, "position", "rows", reps).select(
         *group,

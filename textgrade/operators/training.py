@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 from textgrade.functions.draws import draw_number
 from textgrade.functions.numbers import as_number, clip
 from textgrade.functions.text import BLANKS, difficulty_proxy
-from textgrade.operators.bootstrap import _poisson
+from textgrade.operators.bootstrap import poisson_count
 from textgrade.operators.ranks import SPACING, unique_rank
 
 
@@ -144,7 +144,7 @@ def fit_teachers(
     ready = prepared.transform(rows)
     teachers = []
     for seed in range(first_seed, first_seed + n_teachers):
-        drawn = ready.withColumn("weight", _poisson(draw_number(seed, "id")).cast("double"))
+        drawn = ready.withColumn("weight", poisson_count(draw_number(seed, "id")).cast("double"))
         fit = LinearRegression(
             labelCol="target", weightCol="weight", regParam=0.1, solver="l-bfgs", maxIter=25
         ).fit(drawn.where("weight > 0"))
