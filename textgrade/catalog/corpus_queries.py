@@ -20,6 +20,7 @@ from textgrade.functions.text import (
 )
 from textgrade.operators.metrics import value_counts
 from textgrade.operators.quality import dedup_against, drop_repeats, filter_corpus, keep_in_band
+from textgrade.operators.ranks import percentile_within_corpus
 from textgrade.operators.splits import group_id
 from textgrade.plans.corpus import build_external_pool, chunk_documents, prepare_corpus, union_corpora
 from textgrade.plans.labelling import gold_rows
@@ -65,10 +66,8 @@ def _profile(df: DataFrame) -> DataFrame:
 )
 def corpus_difficulty(spark, sf_dir):
     """Documents to canonical rows, filtered, ranked inside their language: count and mean."""
-    from textgrade.operators.ranks import percentile_within_corpus
-
     kept = filter_corpus(views.canonical_docs(spark, sf_dir), languages=("en", "de", "es", "fr"))
-    narrow = kept.select("id", "native_label", "language")
+    narrow = settle(kept.select("id", "native_label", "language"))
     ranked = percentile_within_corpus(
         narrow, corpus_col="language", polarity=views.POLARITY_BY_LANG
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from textgrade.catalog import sql, views
 from textgrade.catalog.registry import query, r6, rounded
 from textgrade.functions.draws import DRAW_RANGE, draw_number
+from textgrade.functions.text import window_text
 from textgrade.operators.ablation import (
     aggregate_seeds,
     compare_to_full,
@@ -36,7 +37,8 @@ from textgrade.operators.ranks import (
     value_ranks,
 )
 from textgrade.operators.sampling import difficulty_bins, select_diverse
-from textgrade.operators.splits import assign_splits, cv_folds
+from textgrade.operators.splits import assign_splits, cv_folds, group_id
+from textgrade.sources.settled import settle
 
 PERCENT = """ranked AS (
   SELECT id, CASE WHEN corpus = 'en' THEN 1 - r / n ELSE r / n END AS h FROM (
@@ -98,13 +100,12 @@ PROXIES = f"""{sql.PARAGRAPHS}, {sql.chunks('paras')},
 
 
 def _chunk_rows(spark, sf_dir):
-    from textgrade.functions.text import window_text
-
     docs = views.paragraph_docs(spark, sf_dir).select("doc_id", "lang", window_text("text").alias("w"))
     rows = docs.select("doc_id", "lang", F.posexplode_outer("w").alias("chunk", "text"))
-    return rows.where("text is not null").select(
+    rows = rows.where("text is not null").select(
         F.concat_ws(":", F.lit("docs"), "doc_id", "chunk").alias("id"), F.col("lang").alias("corpus"), "text"
     )
+    return settle(rows)
 
 
 @query(
@@ -179,8 +180,6 @@ ARTICLES = """arts AS (SELECT 'docs:' || conv_id || ':' || role || ':' || turn A
     f"WITH {ARTICLES} SELECT grp AS group_id, count(*)::BIGINT AS n FROM arts GROUP BY grp",
 )
 def groups(spark, sf_dir):
-    from textgrade.operators.splits import group_id
-
     return _articles(spark, sf_dir).groupBy(group_id("id").alias("group_id")).agg(F.count(F.lit(1)).alias("n"))
 
 

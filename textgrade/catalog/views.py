@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from textgrade.functions.draws import DRAW_RANGE, draw_number
 from textgrade.operators.ranks import percentile_within_corpus
 from textgrade.schema import coerce, with_defaults
+from textgrade.sources.settled import spread
 
 POLARITY_BY_LANG = {"en": False, "de": True, "es": True, "fr": True}
 VARIANT_WIDTHS = {"full": 4000.0, "no_pairwise": 8000.0, "no_pseudo": 16000.0}
@@ -19,7 +20,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    """The texts, which cost far more to process than to move."""
+    return spread(table(spark, sf_dir, "documents"))
 
 
 def canonical_docs(

@@ -11,6 +11,11 @@ from pyspark.sql import Column, functions as F
 # as the inside of a regular-expression class.
 BLANK = r"\s\x1c-\x1f\x85\p{Z}"
 BLANKS = f"[{BLANK}]+"
+BLANK_CHARACTERS = "".join(
+    chr(c)
+    for c in [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B)]
+    + [0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+)
 
 # Weights of the readability proxy.
 WORDS_PER_SENTENCE_WEIGHT = 0.39
@@ -28,7 +33,12 @@ def _col(value: Column | str) -> Column:
 
 def strip(text: Column | str) -> Column:
     """Trim all white space, not only the space character."""
-    return F.regexp_replace(_col(text), f"^{BLANKS}|{BLANKS}$", "")
+    return F.btrim(_col(text), F.lit(BLANK_CHARACTERS))
+
+
+def has_text(text: Column | str) -> Column:
+    """Is there anything but white space?"""
+    return _col(text).rlike(f"[^{BLANK}]")
 
 
 def token_count(text: Column | str) -> Column:

@@ -50,7 +50,7 @@ def _positions(df: DataFrame, group: list[str], row_id: str, values: list[str],
     for name in [*group, *values]:
         clean = clean.where(F.col(name).isNotNull())
     ranked = unique_rank(clean, ["row_id"], group, spacing)
-    return settle(ranked.withColumn("position", F.col("rank") - 1).drop("rank"))
+    return settle(ranked.withColumn("position", F.col("rank") - 1).drop("rank"), spread_by="row_id")
 
 
 def resample(

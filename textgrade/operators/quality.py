@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from textgrade.functions.text import normal_form, strip, text_key
+from textgrade.functions.text import has_text, normal_form, text_key
 
 # The default length band and language.
 MIN_TOKENS = 3
@@ -22,7 +22,7 @@ def keep_in_band(
     return df.where(
         F.col("language").isin(*languages)
         & F.col("length_tokens").try_cast("double").between(min_tokens, max_tokens)
-        & (strip("text") != "")
+        & has_text("text")
     )
 
 

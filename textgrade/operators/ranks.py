@@ -79,16 +79,17 @@ def running_totals(
     group: list[str],
     order: list[str],
     counters: list[str],
-    spacing: int = SPACING,
+    spacing: int | None = SPACING,
     with_all: bool = True,
 ) -> DataFrame:
     """Add ``before_<c>`` (sum over smaller keys) and ``all_<c>`` (group sum) for each counter.
 
-    ``(group, order)`` must be a key of ``cells``, so aggregate equal keys first.
+    ``(group, order)`` must be a key of ``cells``, so aggregate equal keys first. ``spacing`` None
+    is for a caller who has counted the cells and found them few.
     """
     summed = counters if with_all else []
     keys = [*group, *order]
-    marks = _marks(cells, keys, spacing)
+    marks = _marks(cells, keys, spacing) if spacing else []
     lead_in = [F.col(g) for g in group] or [F.lit(0)]
     earlier = (Window.unboundedPreceding, -1)
     none = F.lit(0)
@@ -270,12 +271,14 @@ def joint_ranks(
 
     Gives the distinct ``(target, pred)`` cells of the rows that have both, with their row count
     ``cnt``, the counts and average ranks of either value, and the places used for counting pairs.
-    Hot ties shrink to one cell before anything is shuffled by value. The result is settled: the
-    metrics read it more than once.
+    Hot ties shrink to one cell before anything is shuffled by value. The cells are settled and
+    counted: few are ranked by two windows, many through rank tables of the distinct values.
     """
     both = df.where(F.col(target).isNotNull() & F.col(pred).isNotNull())
     weight = F.sum("cnt") if "cnt" in df.columns else F.count(F.lit(1))
     cells = settle(both.groupBy(*group, target, pred).agg(weight.alias("cnt")))
+    if cells.count() <= spacing:
+        return _ranked_by_windows(cells, group, target, pred)
 
     def side(value: str, mark: str) -> DataFrame:
         ranks = value_ranks(cells, group, value, "cnt", spacing)
@@ -289,8 +292,31 @@ def joint_ranks(
             *([F.col("rows").alias("rows")] if mark == "t" else []),
         )
 
-    ranked = cells.join(side(target, "t"), [*group, target]).join(side(pred, "p"), [*group, pred])
-    return settle(ranked)
+    return cells.join(side(target, "t"), [*group, target]).join(side(pred, "p"), [*group, pred])
+
+
+def _ranked_by_windows(cells: DataFrame, group: list[str], target: str, pred: str) -> DataFrame:
+    """Joint ranks of a table of cells known to be small."""
+    whole = Window.partitionBy(*group)
+    out = cells
+    for value, mark in ((target, "t"), (pred, "p")):
+        by = whole.orderBy(value)
+        same = by.rangeBetween(Window.currentRow, Window.currentRow)
+        upto = by.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        out = out.select(
+            "*",
+            F.sum("cnt").over(same).alias(f"cnt_{mark}"),
+            F.sum("cnt").over(upto).alias("_upto"),
+            (F.dense_rank().over(by) - 1).cast("long").alias(f"place_{mark}"),
+        )
+        middle = F.col("_upto") - F.col(f"cnt_{mark}") + (F.col(f"cnt_{mark}") + 1) / 2
+        out = out.withColumn(f"rank_{mark}", middle).drop("_upto")
+    return out.select(
+        "*",
+        (F.max("place_t").over(whole) + 1).alias("places_t"),
+        (F.max("place_p").over(whole) + 1).alias("places_p"),
+        F.sum("cnt").over(whole).alias("rows"),
+    )
 
 
 def adjacent_knots(df: DataFrame, x: str, y: str, spacing: int = SPACING) -> DataFrame:

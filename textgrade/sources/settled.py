@@ -28,9 +28,24 @@ def shared_folder(spark: SparkSession) -> str:
     return _local_folder
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` as a Parquet table in the shared folder and read it back."""
+def spread(df: DataFrame) -> DataFrame:
+    """Cut rows into at least one partition per core where the input has fewer.
+
+    For work that costs much more than moving its rows, over few or unsplittable files. An input
+    with enough splits stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
+def settle(df: DataFrame, spread_by: str | None = None) -> DataFrame:
+    """Materialise ``df`` as a Parquet table in the shared folder and read it back.
+
+    With ``spread_by`` the table gets one file per core, for small tables that much is done with.
+    """
     spark = df.sparkSession
+    if spread_by is not None:
+        df = df.repartition(spark.sparkContext.defaultParallelism, spread_by)
     path = f"{shared_folder(spark).rstrip('/')}/settled-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
