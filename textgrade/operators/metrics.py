@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from textgrade.functions.numbers import as_number, finite
 from textgrade.operators.pairs import pair_counts
-from textgrade.operators.ranks import SPACING, exact_quantiles, joint_ranks
+from textgrade.operators.ranks import SPACING, exact_quantiles, measured_joint_ranks
 from textgrade.sources.settled import settle
 
 VALUE_METRICS = ("rmse", "mae", "mean_signed_error")
@@ -66,14 +66,14 @@ def score_cells(
     if not set(metrics) & {*RANK_METRICS, *PAIR_METRICS}:
         both = cells.where(F.col(target).isNotNull() & F.col(pred).isNotNull())
         return both.groupBy(*group).agg(*[v.alias(k) for k, v in values.items()])
-    ranked = joint_ranks(cells, group, target, pred, spacing)
+    ranked, small = measured_joint_ranks(cells, group, target, pred, spacing)
     if set(metrics) & set(PAIR_METRICS):
         ranked = settle(ranked)
     values.update({k: v for k, v in _rank_columns().items() if k in metrics})
     columns = [v.alias(k) for k, v in values.items()] or [F.sum("cnt").alias("_n")]
     scores = ranked.groupBy(*group).agg(*columns)
     if set(metrics) & set(PAIR_METRICS):
-        c = pair_counts(ranked, group, pred, spacing)
+        c = pair_counts(ranked, group, pred, None if small else spacing)
         order = F.col("pairs") - F.col("tied_target")
         spread = F.sqrt(order) * F.sqrt(F.col("pairs") - F.col("tied_pred"))
         tau = F.try_divide(F.col("concordant") - F.col("discordant"), spread)

@@ -34,7 +34,7 @@ def smaller_both_ways(
     places: str,
     order: list[str],
     sums: dict[str, Column],
-    spacing: int = SPACING,
+    spacing: int | None = SPACING,
 ) -> DataFrame:
     """For cells with digit d: totals of ``sums`` over cells lower in ``place`` and in ``order``.
 
@@ -63,7 +63,7 @@ def smaller_both_ways(
 
 
 def concordant_pairs(
-    ranked: DataFrame, group: list[str], pred: str, spacing: int = SPACING
+    ranked: DataFrame, group: list[str], pred: str, spacing: int | None = SPACING
 ) -> DataFrame:
     """Pairs ordered the same way by both sides, per group, from ``joint_ranks`` cells."""
     totals = smaller_both_ways(
@@ -85,7 +85,9 @@ def _pairs(n: Column) -> Column:
     return n * (n - 1) / 2
 
 
-def pair_counts(ranked: DataFrame, group: list[str], pred: str, spacing: int = SPACING) -> DataFrame:
+def pair_counts(
+    ranked: DataFrame, group: list[str], pred: str, spacing: int | None = SPACING
+) -> DataFrame:
     """Per group: all pairs, those tied on a side, and those ordered alike or apart by both.
 
     Takes ``joint_ranks`` cells; a group with a single row has zero pairs.

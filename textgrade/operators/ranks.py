@@ -85,7 +85,7 @@ def running_totals(
     """Add ``before_<c>`` (sum over smaller keys) and ``all_<c>`` (group sum) for each counter.
 
     ``(group, order)`` must be a key of ``cells``, so aggregate equal keys first. ``spacing`` None
-    is for a caller who has counted the cells and found them few.
+    is for a caller who has counted the groups and found them small.
     """
     summed = counters if with_all else []
     keys = [*group, *order]
@@ -271,14 +271,23 @@ def joint_ranks(
 
     Gives the distinct ``(target, pred)`` cells of the rows that have both, with their row count
     ``cnt``, the counts and average ranks of either value, and the places used for counting pairs.
-    Hot ties shrink to one cell before anything is shuffled by value. The cells are settled and
-    counted: few are ranked by two windows, many through rank tables of the distinct values.
+    Hot ties shrink to one cell before anything is shuffled by value. The cells are settled and the
+    largest group is measured: where a group fits one task two windows do, else rank tables of the
+    distinct values, cut at marks.
     """
+    return measured_joint_ranks(df, group, target, pred, spacing)[0]
+
+
+def measured_joint_ranks(
+    df: DataFrame, group: list[str], target: str, pred: str, spacing: int = SPACING
+) -> tuple[DataFrame, bool]:
+    """``joint_ranks``, and whether every group turned out to be small."""
     both = df.where(F.col(target).isNotNull() & F.col(pred).isNotNull())
     weight = F.sum("cnt") if "cnt" in df.columns else F.count(F.lit(1))
     cells = settle(both.groupBy(*group, target, pred).agg(weight.alias("cnt")))
-    if cells.count() <= spacing:
-        return _ranked_by_windows(cells, group, target, pred)
+    largest = cells.groupBy(*group).count().agg(F.max("count")).first()[0] or 0
+    if largest <= spacing:
+        return _ranked_by_windows(cells, group, target, pred), True
 
     def side(value: str, mark: str) -> DataFrame:
         ranks = value_ranks(cells, group, value, "cnt", spacing)
@@ -292,11 +301,12 @@ def joint_ranks(
             *([F.col("rows").alias("rows")] if mark == "t" else []),
         )
 
-    return cells.join(side(target, "t"), [*group, target]).join(side(pred, "p"), [*group, pred])
+    ranked = cells.join(side(target, "t"), [*group, target]).join(side(pred, "p"), [*group, pred])
+    return ranked, False
 
 
 def _ranked_by_windows(cells: DataFrame, group: list[str], target: str, pred: str) -> DataFrame:
-    """Joint ranks of a table of cells known to be small."""
+    """Joint ranks of cells whose groups are known to be small."""
     whole = Window.partitionBy(*group)
     out = cells
     for value, mark in ((target, "t"), (pred, "p")):
