@@ -29,7 +29,7 @@ def read_table(spark: SparkSession, path: str, fmt: str | None = None) -> DataFr
         fmt = "csv" if path.rstrip("/").lower().endswith(".csv") else "parquet"
     if fmt == "csv":
         return coerce(read_csv(spark, path))
-    return spark.read.schema(CANONICAL).parquet(path)
+    return canonical(spark.read.schema(CANONICAL).parquet(path))
 
 
 def write_table(
