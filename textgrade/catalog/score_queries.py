@@ -203,7 +203,7 @@ def folds(spark, sf_dir):
     "l4_select_diverse",
     f"""WITH {PROXIES},
     per AS (SELECT greatest(600 // count(*), 1) AS per FROM (SELECT DISTINCT corpus, bin FROM binned))
-    SELECT id FROM binned, per QUALIFY row_number() OVER (PARTITION BY corpus, bin ORDER BY {sql.draw("'42'", 'id')}, id) <= per""",
+    SELECT id FROM binned, per QUALIFY row_number() OVER (PARTITION BY corpus, bin ORDER BY {sql.draw("'42'", 'id')}, id) <= per OR n <= 600""",
 )
 def diverse(spark, sf_dir):
     return select_diverse(_chunk_rows(spark, sf_dir), 600, 10).select("id")
