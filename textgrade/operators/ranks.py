@@ -20,7 +20,7 @@ from textgrade.functions.numbers import as_number
 from textgrade.sources.settled import settle
 
 # One mark per this many cells on average, and never more than FAN ** 3 - 1 marks in all.
-SPACING = 2**19
+SPACING = 2**20
 FAN = 16
 
 

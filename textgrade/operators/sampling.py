@@ -21,7 +21,8 @@ def difficulty_bins(
 ) -> DataFrame:
     """``(id, corpus, proxy, draw, rank, bin)``: each text's difficulty rank in the whole pool.
 
-    Narrow and settled: the texts are read once, and ties of the proxy are ordered by id.
+    Narrow and settled: the texts are read once, every later step reads a few short columns. Ties
+    of the proxy are ordered by id.
     """
     narrow = settle(
         df.select(
@@ -32,7 +33,7 @@ def difficulty_bins(
         )
     )
     ranked = unique_rank(narrow, ["proxy", "id"], spacing=spacing)
-    return ranked.withColumn("bin", quantile_bin("rank", "rows", n_bins))
+    return settle(ranked.withColumn("bin", quantile_bin("rank", "rows", n_bins)))
 
 
 def smallest_draws(keyed: DataFrame, group: list[str], take: int) -> DataFrame:
@@ -73,7 +74,7 @@ def select_diverse(
     enough comes back whole.
     """
     binned = difficulty_bins(df, n_bins, seed, spacing)
-    if binned.limit(n_total + 1).count() <= n_total:
+    if binned.count() <= n_total:
         return df
     bucketed = binned.where(F.col("corpus").isNotNull())
     buckets = bucketed.select("corpus", "bin").distinct().count()

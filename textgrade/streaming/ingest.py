@@ -12,7 +12,7 @@ from textgrade.plans.corpus import (
     POOL_MIN_TOKENS,
     chunk_documents,
 )
-from textgrade.schema import CANONICAL, canonical
+from textgrade.schema import CANONICAL, COLUMNS, canonical
 
 DOCUMENTS = T.StructType(
     [
@@ -24,7 +24,14 @@ DOCUMENTS = T.StructType(
 )
 
 
-STORED = T.StructType([*CANONICAL.fields, T.StructField("batch", T.LongType())])
+# The pool keeps each text's key, so that a batch compares keys and reads no earlier texts.
+STORED = T.StructType(
+    [
+        *CANONICAL.fields,
+        T.StructField("text_key", T.StringType()),
+        T.StructField("batch", T.LongType()),
+    ]
+)
 
 
 def ingest_pool(
@@ -50,12 +57,11 @@ def ingest_pool(
     )
 
     def land(batch: DataFrame, batch_id: int) -> None:
-        fresh = drop_repeats(batch).withColumn("_k", text_key("text"))
-        held = _earlier(spark, pool, batch_id)
-        if held is not None:
-            known = held.select("corpus", text_key("text").alias("_k"))
-            fresh = fresh.join(known, ["corpus", "_k"], "left_anti")
-        canonical(fresh).write.mode("overwrite").parquet(f"{pool}/batch={batch_id}")
+        fresh = drop_repeats(batch).withColumn("text_key", text_key("text"))
+        if batch_id > 0:
+            held = _stored(spark, pool).where(F.col("batch") < batch_id)
+            fresh = fresh.join(held.select("corpus", "text_key"), ["corpus", "text_key"], "left_anti")
+        fresh.select(*COLUMNS, "text_key").write.mode("overwrite").parquet(f"{pool}/batch={batch_id}")
 
     query = (
         chunks.writeStream.foreachBatch(land)
@@ -66,12 +72,10 @@ def ingest_pool(
     query.awaitTermination()
 
 
-def _earlier(spark: SparkSession, pool: str, batch_id: int) -> DataFrame | None:
-    if batch_id == 0:
-        return None
-    held = spark.read.schema(STORED).parquet(pool)
-    return held.where(F.col("batch") < batch_id)
+def _stored(spark: SparkSession, pool: str) -> DataFrame:
+    return spark.read.schema(STORED).parquet(pool)
 
 
 def read_pool(spark: SparkSession, pool: str) -> DataFrame:
-    return canonical(spark.read.schema(STORED).parquet(pool))
+    """The pool so far, as canonical rows."""
+    return canonical(_stored(spark, pool))
