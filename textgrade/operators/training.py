@@ -16,6 +16,7 @@ from textgrade.functions.numbers import as_number, clip
 from textgrade.functions.text import BLANKS, difficulty_proxy
 from textgrade.operators.bootstrap import poisson_count
 from textgrade.operators.ranks import SPACING, unique_rank
+from textgrade.sources.settled import settle
 
 
 def source_map(train: DataFrame, spacing: int = SPACING) -> DataFrame:
@@ -141,7 +142,8 @@ def fit_teachers(
         VectorAssembler(inputCols=["terms", "proxy", *encoded], outputCol="features"),
     ]
     prepared = Pipeline(stages=stages).fit(rows)
-    ready = prepared.transform(rows)
+    # Every optimiser pass of every teacher reads the features, so they are made once.
+    ready = settle(prepared.transform(rows).select("id", "features", "target"), spread_by="id")
     teachers = []
     for seed in range(first_seed, first_seed + n_teachers):
         drawn = ready.withColumn("weight", poisson_count(draw_number(seed, "id")).cast("double"))
