@@ -71,10 +71,10 @@ def test_neighbours_equal_brute_force_both_ways(spark, clustered):
 def test_ensemble_uses_population_deviation_and_needs_all_teachers(spark):
     rows = [("a", 0, 1.0), ("a", 1, 3.0), ("b", 0, 1.0), ("c", 0, 1.0), ("c", 1, None)]
     df = spark.createDataFrame(rows, "id string, teacher int, pred double")
-    got = {r.id: (r.mean, r.std) for r in ensemble_stats(df, 2).collect()}
+    got = {r.id: (r.mean, r.std) for r in ensemble_stats(df, [0, 1]).collect()}
     assert got == {"a": (2.0, 1.0), "b": (None, None), "c": (None, None)}
     with pytest.raises(Exception, match="several predictions"):
-        ensemble_stats(df.unionByName(df), 2).collect()
+        ensemble_stats(df.unionByName(df), [0, 1]).collect()
 
 
 def world(spark, gold_labels, difficulties, se, gold_vectors, preds, pool_vectors):

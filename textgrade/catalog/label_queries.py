@@ -52,7 +52,7 @@ def nearest_by_cells(spark, sf_dir):
     SELECT id, round(axis_value, 6) AS axis FROM placed""",
 )
 def axis_tied(spark, sf_dir):
-    stats = ensemble_stats(views.teacher_preds(spark, sf_dir), 3)
+    stats = ensemble_stats(views.teacher_preds(spark, sf_dir), [0, 1, 2])
     return rounded(map_to_axis(stats, views.gold(spark, sf_dir), "mean").select("id", "axis"))
 
 
@@ -62,14 +62,14 @@ AXIS_DISTINCT = f"""WITH {sql.GOLD_DISTINCT}, {sql.POOL_IDS}, {sql.PREDS}, {sql.
 
 @query("n2_axis_distinct_labels", AXIS_DISTINCT)
 def axis_distinct(spark, sf_dir):
-    stats = ensemble_stats(views.teacher_preds(spark, sf_dir), 3)
+    stats = ensemble_stats(views.teacher_preds(spark, sf_dir), [0, 1, 2])
     return rounded(map_to_axis(stats, views.gold(spark, sf_dir, True), "mean").select("id", "axis"))
 
 
 @query("n2_axis_by_join", AXIS_DISTINCT)
 def axis_by_join(spark, sf_dir):
     """The way taken for more knots than a task should hold; the same answer."""
-    stats = ensemble_stats(views.teacher_preds(spark, sf_dir), 3)
+    stats = ensemble_stats(views.teacher_preds(spark, sf_dir), [0, 1, 2])
     gold = views.gold(spark, sf_dir, True)
     return rounded(map_to_axis(stats, gold, "mean", broadcast_knots=0).select("id", "axis"))
 
@@ -79,7 +79,7 @@ def axis_by_join(spark, sf_dir):
     f"WITH {sql.POOL_IDS}, {sql.PREDS} SELECT id, round(mean, 6) AS mean, round(std, 6) AS std FROM stats",
 )
 def ensemble(spark, sf_dir):
-    return rounded(ensemble_stats(views.teacher_preds(spark, sf_dir), 3))
+    return rounded(ensemble_stats(views.teacher_preds(spark, sf_dir), [0, 1, 2]))
 
 
 @query(
@@ -92,7 +92,7 @@ def aligned(spark, sf_dir):
     preds = views.teacher_preds(spark, sf_dir)
     number = F.split("id", ":")[1].cast("long")
     some = preds.where(~((number % 4 == 3) & (F.col("teacher") == 1)))
-    stats = ensemble_stats(some, 3)
+    stats = ensemble_stats(some, [0, 1, 2])
     return rounded(views.pool(spark, sf_dir).select("id").join(stats.select("id", "mean"), "id", "left"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 INFINITY = float("inf")
 
@@ -26,3 +26,21 @@ def clip(value: Column, low: float, high: float) -> Column:
 def fold_sum(values: Column) -> Column:
     """Sum of an array in its given order, so that the result has the same bits every time."""
     return F.aggregate(values, F.lit(0.0), lambda total, x: total + x)
+
+
+def value_per_name(
+    df: DataFrame, keys: list[str], name_col: str, names: list, value_col: str
+) -> DataFrame:
+    """Per key an array ``values`` with one number per name (null where there is none).
+
+    ``most`` is the largest number of rows any name has for the key.
+    """
+    mine = [F.col(name_col) == F.lit(name) for name in names]
+    value = as_number(F.col(value_col))
+    slots = [F.max(F.when(m, value)).alias(f"_v{i}") for i, m in enumerate(mine)]
+    counts = [F.count_if(m).alias(f"_n{i}") for i, m in enumerate(mine)]
+    most = F.array_max(F.array(*[F.col(f"_n{i}") for i in range(len(names))]))
+    values = F.array(*[F.col(f"_v{i}") for i in range(len(names))])
+    return df.groupBy(*keys).agg(*slots, *counts).select(
+        *keys, values.alias("values"), most.alias("most")
+    )

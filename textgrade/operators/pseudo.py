@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from textgrade.functions.numbers import as_number, fold_sum
+from textgrade.functions.numbers import as_number, fold_sum, value_per_name
 from textgrade.operators.neighbors import map_to_axis, nearest_gold
 from textgrade.operators.ranks import SPACING, exact_quantiles
 from textgrade.schema import coerce
@@ -15,24 +15,34 @@ DEDUP_COSINE = 0.05
 NARROWEST_RANGE = 1e-9
 
 
-def ensemble_stats(preds: DataFrame, teachers: int) -> DataFrame:
-    """``(id, mean, std)`` over the teachers of a long table ``(id, teacher, pred)``.
+MOST_TEACHERS = 1000
+
+
+def teacher_names(preds: DataFrame) -> list:
+    """The teachers of a prediction table, in order."""
+    found = preds.select("teacher").distinct().limit(MOST_TEACHERS + 1).collect()
+    if len(found) > MOST_TEACHERS:
+        raise ValueError(f"more than {MOST_TEACHERS} teachers")
+    return sorted(r.teacher for r in found)
+
+
+def ensemble_stats(preds: DataFrame, teachers: list) -> DataFrame:
+    """``(id, mean, std)`` over the named teachers of a long table ``(id, teacher, pred)``.
 
     ``std`` is the population deviation. An id without all teachers' predictions has nulls; one
-    with more predictions than teachers is an error. Values are added in sorted order, so the
-    result is the same in every run.
+    with two predictions of a teacher is an error. One slot per teacher keeps the state of an id
+    fixed in size, and values are added in the teachers' order, so results repeat to the bit.
     """
-    per_id = preds.groupBy("id").agg(
-        F.sort_array(F.collect_list(as_number(F.col("pred")))).alias("p"),
-        F.count(F.lit(1)).alias("n"),
-    )
+    k = len(teachers)
+    slots = value_per_name(preds, ["id"], "teacher", teachers, "pred")
     checked = F.when(
-        F.col("n") > teachers, F.raise_error(F.lit("an id has several predictions of one teacher"))
-    ).otherwise(F.col("p"))
-    mean = F.when(F.size("p") == teachers, fold_sum(F.col("p")) / teachers)
-    with_mean = per_id.select("id", checked.alias("p")).select("id", "p", mean.alias("mean"))
-    spread = fold_sum(F.transform("p", lambda x: (x - F.col("mean")) * (x - F.col("mean"))))
-    return with_mean.select("id", "mean", F.sqrt(spread / teachers).alias("std"))
+        F.col("most") > 1, F.raise_error(F.lit("an id has several predictions of one teacher"))
+    ).otherwise(F.col("values"))
+    full = F.when(~F.exists("values", lambda x: x.isNull()), F.col("values"))
+    rows = slots.select("id", checked.alias("values")).select("id", full.alias("values"))
+    rows = rows.select("id", "values", (fold_sum(F.col("values")) / k).alias("mean"))
+    spread = fold_sum(F.transform("values", lambda x: (x - F.col("mean")) * (x - F.col("mean"))))
+    return rows.select("id", "mean", F.sqrt(spread / k).alias("std"))
 
 
 def missing_inputs(pool: DataFrame, preds: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -54,7 +64,7 @@ def judge_pool(
     k_se: float = K_SE,
     max_std: float | None = None,
     dedup_cosine: float = DEDUP_COSINE,
-    teachers: int | None = None,
+    teachers: list | None = None,
     spacing: int = SPACING,
 ) -> DataFrame:
     """The gates for every pool id: a narrow settled table with one flag per gate and ``keep``.
@@ -63,10 +73,8 @@ def judge_pool(
     gold label, ``agreed`` that the teachers differ by at most ``max_std`` (by default the median
     over the whole pool), ``near_dup`` marks near copies of gold.
     """
-    if teachers is None:
-        teachers = preds.select("teacher").distinct().count()
     ids = pool.select("id")
-    stats = ensemble_stats(preds, teachers)
+    stats = ensemble_stats(preds, teacher_names(preds) if teachers is None else teachers)
     near = nearest_gold(pool_vectors.join(ids, "id", "left_semi"), gold_vectors)
     mean_se = F.avg(as_number(F.col("std_error")))
     fallback = gold.agg(mean_se).first()[0]

@@ -36,11 +36,13 @@ def difficulty_bins(
     return settle(ranked.withColumn("bin", quantile_bin("rank", "rows", n_bins)))
 
 
-def smallest_draws(keyed: DataFrame, group: list[str], take: int) -> DataFrame:
+def smallest_draws(keyed: DataFrame, group: list[str], take: int, groups: int) -> DataFrame:
     """The ``take`` rows of each group with the smallest ``(draw, id)``, or all of a small group.
 
     Counts per group and 4-digit head of the draw show where the cut lies, so only the rows that
-    share the head of the cut are sorted.
+    share the head of the cut are sorted. ``groups`` is the counted number of groups: the table of
+    cuts has at most one row for each and is broadcast while that is few, so that rows of a large
+    group stay where they are.
     """
     headed = keyed.withColumn("head", F.substring("draw", 1, 4))
     heads = headed.groupBy(*group, "head").count()
@@ -50,7 +52,7 @@ def smallest_draws(keyed: DataFrame, group: list[str], take: int) -> DataFrame:
         .where((F.col("before") < take) & (F.col("before") + F.col("count") >= take))
         .select(*group, F.col("head").alias("cut_head"), (take - F.col("before")).alias("left"))
     )
-    joined = headed.join(cut, group, "left")
+    joined = headed.join(F.broadcast(cut) if groups <= BROADCAST_IDS else cut, group, "left")
     whole = joined.where(F.col("cut_head").isNull() | (F.col("head") < F.col("cut_head")))
     inside = Window.partitionBy(*group, "head").orderBy("draw", "id")
     part = (
@@ -79,7 +81,8 @@ def select_diverse(
     bucketed = binned.where(F.col("corpus").isNotNull())
     buckets = bucketed.select("corpus", "bin").distinct().count()
     per = max(n_total // max(buckets, 1), 1)
-    picked = smallest_draws(bucketed.select("id", "corpus", "bin", "draw"), ["corpus", "bin"], per)
+    keyed = bucketed.select("id", "corpus", "bin", "draw")
+    picked = smallest_draws(keyed, ["corpus", "bin"], per, buckets)
     if buckets > n_total:
         picked = picked.orderBy("draw", "id").limit(n_total)
     ids = picked.select("id")
