@@ -32,7 +32,8 @@ def test_axis_extrapolates_or_clamps(spark, held):
     gold = knots(spark, [(-2.0, 0.9), (0.0, 0.5), (2.0, 0.1), (None, 0.3)])
     a = mapped(spark, [-2.0, -3.0, -4.0, 1.0, 5.0, None], gold, broadcast_knots=held)
     assert a[:5] == pytest.approx([0.9, 1.1, 1.3, 0.3, -0.5]) and a[5] is None
-    assert mapped(spark, [-3.0, -4.0], gold, extrapolate=False, broadcast_knots=held) == [0.9, 0.9]
+    clamped = mapped(spark, [-3.0, -4.0, None], gold, extrapolate=False, broadcast_knots=held)
+    assert clamped == [0.9, 0.9, None]
 
 
 @pytest.mark.parametrize("held", [1000, 0])
@@ -40,6 +41,7 @@ def test_axis_with_tied_end_and_single_knot(spark, held):
     tied = knots(spark, [(0.0, 0.8), (0.0, 0.8), (1.0, 0.5), (2.0, 0.2)])
     assert mapped(spark, [-5.0, 3.0, 0.5], tied, broadcast_knots=held) == pytest.approx([0.8, -0.1, 0.65])
     assert mapped(spark, [-5.0, 7.0], knots(spark, [(1.0, 0.4)]), broadcast_knots=held) == [0.4, 0.4]
+    assert mapped(spark, [1.0], knots(spark, [(None, 0.4)]), broadcast_knots=held) == [None]
 
 
 def vectors(spark, name, rows):

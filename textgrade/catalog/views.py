@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from textgrade.functions.draws import DRAW_RANGE, draw_number
 from textgrade.operators.ranks import percentile_within_corpus
 from textgrade.schema import coerce, with_defaults
-from textgrade.sources.settled import spread
+from textgrade.sources.settled import settle, spread
 
 POLARITY_BY_LANG = {"en": False, "de": True, "es": True, "fr": True}
 VARIANT_WIDTHS = {"full": 4000.0, "no_pairwise": 8000.0, "no_pseudo": 16000.0}
@@ -107,7 +107,7 @@ def wide_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gold(spark: SparkSession, sf_dir: str, distinct_labels: bool = False) -> DataFrame:
-    """Even vectors as labelled rows on the difficulty axis."""
+    """Even vectors as labelled rows on the difficulty axis, stored as a gold table is."""
     label = F.col("label").cast("double")
     if distinct_labels:
         label = label + F.col("vec_id") / F.lit(1000.0)
@@ -119,7 +119,7 @@ def gold(spark: SparkSession, sf_dir: str, distinct_labels: bool = False) -> Dat
         F.when(F.col("vec_id") % 14 != 0, F.lit(2.0)).alias("std_error"),
         F.lit("train").alias("split"),
     )
-    return coerce(percentile_within_corpus(rows, polarity={"clear": False}))
+    return settle(coerce(percentile_within_corpus(rows, polarity={"clear": False})))
 
 
 def gold_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,8 @@ def finite(value: Column) -> Column:
 
 
 def clip(value: Column, low: float, high: float) -> Column:
-    return F.greatest(F.least(value, F.lit(high)), F.lit(low))
+    """The value moved into [low, high]; null stays null."""
+    return F.when(value.isNotNull(), F.greatest(F.least(value, F.lit(high)), F.lit(low)))
 
 
 def fold_sum(values: Column) -> Column:

@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from textgrade.functions.numbers import as_number
+from textgrade.functions.numbers import as_number, clip
 from textgrade.operators.ranks import SPACING, adjacent_knots, running_totals
 from textgrade.sources.settled import settle
 
@@ -214,20 +214,25 @@ def map_to_axis(
     Linear between knots. Beyond the ends the outer slope goes on, so the result may leave [0, 1];
     without ``extrapolate``, or with fewer than two gold rows, it is clamped into [0, 1].
     """
-    knots = adjacent_knots(gold, label_col, difficulty_col, spacing).select("knot", "x", "y", "ties", "next_x", "next_y", "slope")
-    size = knots.agg(F.count(F.lit(1)).alias("n"), F.sum("ties").alias("rows")).first()
-    if size.n == 0:
+    knots = adjacent_knots(gold, label_col, difficulty_col, spacing)
+    knots = knots.select("knot", "x", "y", "ties", "next_x", "next_y", "slope")
+    held = knots.limit(broadcast_knots + 1).toPandas().sort_values("knot")
+    few = len(held) <= broadcast_knots
+    if few:
+        n, rows = len(held), int(held["ties"].sum())
+        end = {r.knot: r for r in held.itertuples()}
+    else:
+        n, rows = knots.agg(F.count(F.lit(1)), F.sum("ties")).first()
+        end = {r.knot: r for r in knots.where(F.col("knot").isin(1, 2, n - 1, n)).collect()}
+    if n == 0:
         return df.withColumn(out_col, F.lit(None).cast("double"))
-    edges = knots.where(F.col("knot").isin(1, 2, size.n - 1, size.n)).collect()
-    end = {r.knot: r for r in edges}
-    open_ended = extrapolate and size.rows >= 2
-    first, last = end[1], end[size.n]
+    open_ended = extrapolate and rows >= 2
+    first, last = end[1], end[n]
     low = high = 0.0
-    if open_ended and size.n > 1:
-        low, high = _end_slopes(first, end[2], last, end[size.n - 1])
+    if open_ended and n > 1:
+        low, high = _end_slopes(first, end[2], last, end[n - 1])
     p = as_number(F.col(pred_col))
-    if size.n <= broadcast_knots:
-        held = knots.select("x", "y").orderBy("x").toPandas()
+    if few:
         shared = df.sparkSession.sparkContext.broadcast((held["x"].to_numpy(), held["y"].to_numpy()))
 
         @F.pandas_udf("double")
@@ -246,7 +251,7 @@ def map_to_axis(
             .otherwise(value)
         )
     else:
-        value = F.greatest(F.least(value, F.lit(1.0)), F.lit(0.0))
+        value = clip(value, 0.0, 1.0)
     return between.withColumn(out_col, value).drop("_between")
 
 
