@@ -3,7 +3,6 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
 
 from textgrade.operators.ablation import aggregate_seeds, compare_to_full, mean_prediction, score_variants
 from textgrade.operators.bootstrap import bootstrap_ci, paired_bootstrap_diff

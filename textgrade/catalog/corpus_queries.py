@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import uuid
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from textgrade.catalog import sql, views
@@ -22,7 +21,7 @@ from textgrade.operators.metrics import value_counts
 from textgrade.operators.quality import dedup_against, drop_repeats, filter_corpus, keep_in_band
 from textgrade.operators.ranks import percentile_within_corpus
 from textgrade.operators.splits import group_id
-from textgrade.plans.corpus import build_external_pool, chunk_documents, prepare_corpus, union_corpora
+from textgrade.plans.corpus import build_external_pool, prepare_corpus, union_corpora
 from textgrade.plans.labelling import gold_rows
 from textgrade.schema import canonical, coerce, validate, with_defaults
 from textgrade.sources.corpora import (
@@ -142,7 +141,7 @@ def wide_canonical(spark, sf_dir):
 def decode_mixed(spark, sf_dir):
     """Documents as bytes, half of them UTF-8 with a byte order mark, half Latin-1."""
     plain = F.regexp_replace("text", r"[^\x00-\x7f]", "~")
-    utf8 = F.encode(F.concat(F.lit("﻿"), plain, F.lit("é")), "UTF-8")
+    utf8 = F.encode(F.concat(F.lit("\ufeff"), plain, F.lit("é")), "UTF-8")
     latin = F.encode(F.concat(plain, F.lit("è ")), "ISO-8859-1")
     content = F.when(F.col("doc_id") % 2 == 0, utf8).otherwise(latin)
     raw = views.documents(spark, sf_dir).select("doc_id", content.alias("content"))
@@ -427,7 +426,7 @@ def proxies(spark, sf_dir):
     f"""SELECT doc_id, md5({sql.strip("chr(160) || text || chr(28)")}) AS stripped, md5(lower(text)) AS lowered FROM documents""",
 )
 def strip_and_case(spark, sf_dir):
-    padded = F.concat(F.lit(" "), "text", F.lit("\x1c"))
+    padded = F.concat(F.lit("\xa0"), "text", F.lit("\x1c"))
     return views.documents(spark, sf_dir).select(
         "doc_id", F.md5(strip(padded)).alias("stripped"), F.md5(F.lower("text")).alias("lowered")
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from textgrade.catalog import sql, views
-from textgrade.catalog.registry import query, r6, rounded
+from textgrade.catalog.registry import query, rounded
 from textgrade.functions.draws import DRAW_RANGE, draw_number
 from textgrade.functions.text import window_text
 from textgrade.operators.ablation import (
