@@ -241,7 +241,8 @@ def _joined(parts: list) -> bytes:
 def _payloads(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         blocks = [b if p is None else _joined(p) for b, p in zip(frame["block"], frame["parts"], strict=True)]
-        frame["payload"] = [payload_of(b) for b in blocks]
+        kinds = frame["kind"]
+        frame["payload"] = [b"" if k == "revisit" else payload_of(b) for b, k in zip(blocks, kinds, strict=True)]
         frame["found"] = [base64.b32encode(hashlib.sha1(p).digest()).decode() for p in frame["payload"]]
         wrong = (frame["kind"] == "response") & frame["digest"].notna() & (frame["digest"] != frame["found"])
         if wrong.any():
