@@ -99,6 +99,7 @@ def _nearest(k: int):
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
+        left = left.drop_duplicates("rep")  # a block may hold the end of one curve and the start of the next
         if len(left) and len(right):
             width = max(map(len, [*left["v"], *right["w"]]))
             points = matrix(left["v"], width)
