@@ -65,9 +65,9 @@ def _counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def fit(rows: DataFrame, fit_rows: int = FIT_ROWS, least_share: float = LEAST_SHARE) -> tuple[list[str], np.ndarray]:
-    """Languages and their log probabilities by bucket, from rows ``(text, declared)``.
+    """Languages and their log probabilities by bucket, from rows ``(doc_id, text, declared)``.
 
-    At most ``fit_rows`` rows of each language are read, chosen by a hash of the text.
+    At most ``fit_rows`` rows of each language are fitted, those with the smallest hashes of id and text.
     """
     labelled = rows.where("declared is not null and text is not null")
     shares = labelled.groupBy("declared").count()
@@ -75,14 +75,12 @@ def fit(rows: DataFrame, fit_rows: int = FIT_ROWS, least_share: float = LEAST_SH
     names = sorted(r["declared"] for r in shares.where(F.col("count") >= least_share * whole).collect())
     if not names:
         return [], np.zeros((BUCKETS, 0))
-    draw = F.xxhash64("text")
+    drawn = labelled.where(F.col("declared").isin(names)).withColumn("draw", F.xxhash64("doc_id", "text"))
     order = Window.partitionBy("declared").orderBy("draw")
-    sample = (
-        labelled.where(F.col("declared").isin(names))
-        .select("declared", "text", draw.alias("draw"))
-        .withColumn("nth", F.row_number().over(order))
-        .where(F.col("nth") <= fit_rows)
-    )
+    first = drawn.select("declared", "draw").distinct().withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= fit_rows)
+    cuts = settle(first.groupBy(F.col("declared").alias("of")).agg(F.max("draw").alias("cut")))
+    within = (F.col("declared") == F.col("of")) & (F.col("draw") <= F.col("cut"))
+    sample = drawn.join(F.broadcast(cuts), within, "left_semi").dropDuplicates(["declared", "draw"])
     counts = sample.select("declared", "text").mapInPandas(_counted, "declared string, bucket int, n long")
     table = np.full((BUCKETS, len(names)), 0.5)
     for r in counts.groupBy("declared", "bucket").agg(F.sum("n").alias("n")).collect():
@@ -208,7 +206,7 @@ def identify_language(
         domain.alias("domain"),
         suffix.alias("suffix"),
     )
-    names, table = fit(source.select("text", "declared"), fit_rows, least_share)
+    names, table = fit(source.select("doc_id", "text", "declared"), fit_rows, least_share)
     kind = source.schema["doc_id"].dataType.simpleString()
     weights = docs.sparkSession.sparkContext.broadcast(table.astype(np.float32).astype(np.float64))
     scored = settle(
