@@ -235,8 +235,10 @@ def near_duplicates(
     shared = settle(
         keyed.groupBy("key").agg(F.min("node").alias("centre"), F.max("node").alias("last")).where("centre < last")
     ).select("key", "centre")
-    edges = keyed.join(broadcast_if_small(shared), "key").where("node != centre").select("node", "centre").distinct()
-    clusters = components(edges).select("node", F.col("label").alias("cluster"))
+    # a text is tied to the least of its bucket centres, and so is each of the others: the same clusters, fewer links
+    centres = keyed.join(broadcast_if_small(shared), "key").groupBy("node").agg(F.collect_set("centre").alias("centres"))
+    tied = centres.select(F.explode(F.array_union("centres", F.array("node"))).alias("node"), F.array_min("centres").alias("centre"))
+    clusters = components(tied.where("node != centre").distinct()).select("node", F.col("label").alias("cluster"))
     members = settle(classes.withColumn("node", F.xxhash64("print")).join(broadcast_if_small(clusters), "node").drop("node"))
 
     wanted = members.select(F.col("doc_id").alias("wanted_id"), F.col("print").alias("wanted"))
