@@ -3,8 +3,8 @@
 Candidates are dealt to shards of bounded size; queries, in blocks, meet every shard. In a shard each component is a
 list of candidates sorted by value. A query reads its lists step by step from their favourable ends and keeps for each
 candidate a lower bound (what was read, and the worst for the rest) and an upper one (and the next unread value for the
-rest). It stops when only few candidates, or none but the best, can still qualify; their final scores are resolved and
-the best of every shard are merged.
+rest). It stops when only few candidates can still qualify; their final scores are resolved and the best of every shard
+are merged. The queries of a block read in step, so that bounds are matrix products.
 """
 
 from __future__ import annotations
@@ -33,70 +33,65 @@ def matrix(vectors, width: int, kind=np.float64) -> np.ndarray:
     return out
 
 
-def nra(
-    query: np.ndarray, values: np.ndarray, order: np.ndarray, ids: np.ndarray, own: int, k: int
-) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of ``values`` that may be among the best ``k`` but ``own``, by sequential reads of the sorted lists.
+def nra(values: np.ndarray, ids: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int) -> list[np.ndarray]:
+    """For each query the rows of ``values`` that may be among its best ``k``, by sequential reads of the sorted lists.
 
-    ``order`` holds, by component, the rows in ascending order of value.
+    All queries read on together: after ``depth`` reads a row's value in a list is known if it is among the list's
+    ``depth`` largest (for a positive weight) or smallest ones (for a negative weight). Both bounds are products of
+    what is known, and of what is not, with the weights. A query stops when few rows are left that can qualify.
     """
-    n, _ = values.shape
-    lists = np.flatnonzero(query)
-    allowed = ids != own
-    if not len(lists) or int(allowed.sum()) <= k:
-        return np.flatnonzero(allowed), np.zeros(0)
-    weight = query[lists].astype(np.float64)
-    turned = order[lists]
-    down = weight > 0
-    turned = np.where(down[:, None], turned[:, ::-1], turned)  # favourable end first
-    column = values[:, lists]
-    worst = weight * column[turned[:, -1], np.arange(len(lists))]
-    read = np.zeros((n, len(lists)), dtype=np.float64)
-    partial = np.zeros(n)
-    depth, step = 0, max(16, n // 16)
-    while True:
-        until = min(n, depth + step)
-        rows = turned[:, depth:until]
-        which = np.broadcast_to(np.arange(len(lists))[:, None], rows.shape)
-        gained = weight[:, None] * column[rows, which]
-        partial += np.bincount(rows.ravel(), weights=gained.ravel(), minlength=n)
-        read[rows, which] = 1
-        depth = until
-        if depth == n:
-            lower = upper = partial
-        else:
-            frontier = weight * column[turned[:, depth], np.arange(len(lists))]
-            lower = partial + worst.sum() - read @ worst
-            upper = partial + frontier.sum() - read @ frontier
-        slack = 1e-9 * (np.abs(upper).max() + 1)
-        least = np.partition(lower[allowed], -k)[-k]
-        alive = np.flatnonzero(allowed & (upper >= least - slack))
-        if depth == n or len(alive) <= max(64, 4 * k):
-            return alive, upper
-        step *= 2
+    n = len(values)
+    value = values.astype(np.float64)
+    order = np.argsort(value, axis=0, kind="stable")
+    rank = np.empty_like(order)
+    np.put_along_axis(rank, order, np.arange(n)[:, None], axis=0)
+    ascending = np.take_along_axis(value, order, axis=0)
+    found: list[np.ndarray] = [np.zeros(0, dtype=np.int64)] * len(queries)
+    left, depth = np.arange(len(queries)), max(1, n // 8)
+    while len(left):
+        weight = queries[left].T.astype(np.float64)
+        sides = (
+            (np.maximum(weight, 0), rank >= n - depth, ascending[max(n - depth - 1, 0)], ascending[0]),
+            (np.minimum(weight, 0), rank < depth, ascending[min(depth, n - 1)], ascending[-1]),
+        )
+        known = sum((value * read) @ w for w, read, _, _ in sides)
+        lower = upper = known
+        if depth < n:
+            upper = known + sum(~read @ (w * following[:, None]) for w, read, following, _ in sides)
+            lower = known + sum(~read @ (w * worst[:, None]) for w, read, _, worst in sides)
+        slack = 1e-9 * (np.abs(upper).max(axis=0) + 1)
+        mine = ids[:, None] == own[left][None, :]
+        bar = np.where(mine, -np.inf, lower)
+        bar = np.partition(bar, n - k, axis=0)[n - k] if n > k else np.full(len(left), -np.inf)
+        alive = ~mine & (upper >= bar - slack)
+        ended = (alive.sum(axis=0) <= max(64, 4 * k)) | (depth == n)
+        for at in np.flatnonzero(ended).tolist():
+            found[left[at]] = np.flatnonzero(alive[:, at])
+        left, depth = left[~ended], min(n, 2 * depth)
+    return found
 
 
 def _search(k: int):
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out: list[pd.DataFrame] = []
-        columns = ["query_id", "vec_id", "score"]
-        if len(left) and len(right):
-            width = max(map(len, [*left["v"], *right["v"]]))
-            values, queries = (matrix(side["v"], width, np.int64) for side in (left, right))
-            ids = left["id"].to_numpy()
-            order = np.argsort(values, axis=0, kind="stable").T
+    def run(near: pd.DataFrame, far: pd.DataFrame) -> pd.DataFrame:
+        out = [np.zeros((0, 3), dtype=np.int64)]
+        if len(near) and len(far):
+            width = max(map(len, [*near["v"], *far["v"]]))
+            values, queries = (matrix(side["v"], width, np.int64) for side in (near, far))
+            ids, own = near["id"].to_numpy(), far["id"].to_numpy()
             several = len(np.unique(ids)) < len(ids)
-            for own, query in zip(right["id"].tolist(), queries, strict=True):
+            for low in range(0, len(own), 256):
+                mine, asked = own[low : low + 256], queries[low : low + 256]
                 # rows that share an id are one candidate with its best score, so none may be ruled out before
-                rows = np.flatnonzero(ids != own) if several else nra(query, values, order, ids, own, k)[0]
-                scores = values[rows] @ query
-                best = np.lexsort((ids[rows], -scores))
-                if several:
-                    _, first = np.unique(ids[rows][best], return_index=True)
-                    best = best[np.sort(first)]
-                best = best[:k]
-                out.append(pd.DataFrame({"query_id": own, "vec_id": ids[rows][best], "score": scores[best]}))
-        return pd.concat(out) if out else pd.DataFrame({c: pd.Series(dtype="int64") for c in columns})
+                rows = [np.flatnonzero(ids != q) for q in mine] if several else nra(values, ids, asked, mine, k)
+                for query_id, query, some in zip(mine.tolist(), asked, rows, strict=True):
+                    scores = values[some] @ query
+                    best = np.lexsort((ids[some], -scores))
+                    if several:
+                        _, first = np.unique(ids[some][best], return_index=True)
+                        best = best[np.sort(first)]
+                    best = best[:k]
+                    out.append(np.stack([np.full(len(best), query_id), ids[some][best], scores[best]], axis=1))
+        return pd.DataFrame(np.concatenate(out), columns=["query_id", "vec_id", "score"])
 
     return run
 
