@@ -63,7 +63,7 @@ def test_neighbours_equal_brute_force_both_ways(spark, clustered):
     order = np.argsort(names)
     want = {f"p:{i}": (names[order][d[order].argmin()], max(d.min(), 0)) for i, d in enumerate(distance)}
     p, g = vectors(spark, "p", pool), vectors(spark, "g", gold)
-    for kw in ({}, dict(broadcast_bytes=0, pivots=12, block_rows=20)):
+    for kw in ({}, dict(block_bytes=2000)):
         got = {r.id: (r.neighbour, r.distance) for r in nearest_gold(p, g, **kw).collect()}
         assert set(got) == set(want)
         for k in want:

@@ -33,15 +33,15 @@ def nearest(spark, sf_dir):
 
 
 @query(
-    "n1_nearest_gold_by_cells",
+    "n1_nearest_gold_in_blocks",
     f"WITH {sql.GOLD_TIED}, {sql.POOL_IDS}, {sql.NEAR} SELECT id, neighbour, round(distance, 6) AS distance FROM near",
 )
-def nearest_by_cells(spark, sf_dir):
-    """The way taken for gold sets too large to broadcast; the same answer."""
+def nearest_in_blocks(spark, sf_dir):
+    """Gold in many small blocks, as a set too large for one is searched; the same answer."""
     return rounded(
         nearest_gold(
             views.pool_vectors(spark, sf_dir), views.gold_vectors(spark, sf_dir),
-            broadcast_bytes=0, pivots=16, block_rows=64,
+            block_bytes=32 * 2**10,
         )
     )
 

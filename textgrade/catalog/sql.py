@@ -127,14 +127,15 @@ def capped(keep: int) -> str:
         FROM range({keep}) r(j)))"""
 
 
-def pool(limit: int, keep: int = 5) -> str:
-    """CTEs ending in ``pool``: the external pool of the first ``limit`` texts per source."""
+def pool(limit: int | None, keep: int = 5) -> str:
+    """CTEs ending in ``pool``: the external pool of the first ``limit`` texts (all, if None) per source."""
+    first = "true" if limit is None else f"r <= {limit}"
     return f"""{FREE},
     firsts AS (
       SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM free),
     fetched AS (
       SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS doc_index
-      FROM firsts WHERE r <= {limit} AND text <> ''),
+      FROM firsts WHERE {first} AND text <> ''),
     texts AS (SELECT source || ':' || doc_index AS k, text FROM fetched),
     {chunks('texts')},
     {capped(keep)},

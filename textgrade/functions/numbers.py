@@ -29,19 +29,15 @@ def fold_sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda total, x: total + x)
 
 
-def value_per_name(
-    df: DataFrame, keys: list[str], name_col: str, names: list, value_col: str
-) -> DataFrame:
-    """Per key an array ``values`` with one number per name (null where there is none).
+def values_by_name(df: DataFrame, keys: list[str], name_col: str, value_col: str) -> DataFrame:
+    """Per key the array ``values`` of structs ``(name, value)`` in the order of their names.
 
-    ``most`` is the largest number of rows any name has for the key.
+    A key with two rows of one name is an error. The state of a key is one slot for each of its rows, whatever the
+    number of names, and the order is fixed, so that sums over it repeat to the bit.
     """
-    mine = [F.col(name_col) == F.lit(name) for name in names]
-    value = as_number(F.col(value_col))
-    slots = [F.max(F.when(m, value)).alias(f"_v{i}") for i, m in enumerate(mine)]
-    counts = [F.count_if(m).alias(f"_n{i}") for i, m in enumerate(mine)]
-    most = F.array_max(F.array(*[F.col(f"_n{i}") for i in range(len(names))]))
-    values = F.array(*[F.col(f"_v{i}") for i in range(len(names))])
-    return df.groupBy(*keys).agg(*slots, *counts).select(
-        *keys, values.alias("values"), most.alias("most")
-    )
+    pair = F.struct(F.col(name_col).alias("name"), as_number(F.col(value_col)).alias("value"))
+    listed = df.groupBy(*keys).agg(F.sort_array(F.collect_list(pair)).alias("values"))
+    names = F.transform("values", lambda v: v["name"])
+    twice = F.size(F.array_distinct(names)) < F.size(names)
+    told = F.raise_error(F.lit(f"several values for one {name_col} of the same {', '.join(keys)}"))
+    return listed.select(*keys, F.when(twice, told).otherwise(F.col("values")).alias("values"))

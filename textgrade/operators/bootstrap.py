@@ -3,8 +3,8 @@
 Two ways to resample. ``exact`` draws n row positions for each replicate, as textbooks do; every
 draw is a row in a shuffle. ``poisson`` gives each row an independent Poisson(1) count per
 replicate, so nothing is shuffled by row and value metrics reduce to one partial sum per replicate
-and partition; for large n both have the same distribution. ``auto`` takes ``exact`` up to
-``EXACT_DRAWS`` draws. The result names the way taken.
+and partition; for large n both have the same distribution. The caller names the way; the size of
+the data never changes it.
 """
 
 from __future__ import annotations
@@ -17,9 +17,7 @@ from textgrade.operators.metrics import HIGHER_IS_BETTER, score_cells
 from textgrade.operators.ranks import SPACING, unique_rank
 from textgrade.sources.settled import settle
 
-EXACT_DRAWS = 200_000_000
-
-# Cumulative Poisson(1) probabilities for counts 0, 1, 2, ...
+# Cumulative Poisson(1) probabilities for counts 0, 1, 2, ..., as far as 32-bit draws can tell apart.
 POISSON_STEPS = (
     0.36787944117144233,
     0.7357588823428847,
@@ -31,6 +29,9 @@ POISSON_STEPS = (
     0.9999897508033253,
     0.9999988747974020,
     0.9999998885745217,
+    0.9999999899522336,
+    0.9999999991683893,
+    0.9999999999364022,
 )
 
 
@@ -73,12 +74,9 @@ def resample(
     )
 
 
-def _mode(rows: DataFrame, n_boot: int, mode: str) -> str:
-    if mode not in ("auto", "exact", "poisson"):
-        raise ValueError(f"mode must be 'auto', 'exact' or 'poisson', got {mode!r}")
-    if mode != "auto":
-        return mode
-    return "exact" if rows.count() * n_boot <= EXACT_DRAWS else "poisson"
+def _check(mode: str) -> None:
+    if mode not in ("exact", "poisson"):
+        raise ValueError(f"mode must be 'exact' or 'poisson', got {mode!r}")
 
 
 def bootstrap_ci(
@@ -91,14 +89,14 @@ def bootstrap_ci(
     n_boot: int = 1000,
     alpha: float = 0.05,
     seed: int = 42,
-    mode: str = "auto",
+    mode: str = "exact",
     spacing: int = SPACING,
 ) -> DataFrame:
     """Point value and percentile interval of a metric, per group; undefined replicates are ignored."""
     keys = group or ["_all"]
     base = df if group else df.withColumn("_all", F.lit(0))
+    _check(mode)
     rows = _positions(base, keys, row_id, [target, pred], spacing)
-    mode = _mode(rows, n_boot, mode)
     whole = rows.groupBy(*keys, target, pred).agg(F.count(F.lit(1)).alias("cnt"))
     point = score_cells(whole, keys, target, pred, (metric,), spacing)
     reps = resample(rows, keys, [target, pred], n_boot, seed, mode)
@@ -126,7 +124,7 @@ def paired_bootstrap_diff(
     group: list[str] | None = None,
     n_boot: int = 2000,
     seed: int = 42,
-    mode: str = "auto",
+    mode: str = "exact",
     spacing: int = SPACING,
 ) -> DataFrame:
     """Full minus variant on the same rows and the same resamples, turned so that + favours full.
@@ -137,8 +135,8 @@ def paired_bootstrap_diff(
     keys = group or ["_all"]
     base = df if group else df.withColumn("_all", F.lit(0))
     values = [target, pred_full, pred_variant]
+    _check(mode)
     rows = _positions(base, keys, row_id, values, spacing)
-    mode = _mode(rows, n_boot, mode)
 
     def differences(weighted: DataFrame, by: list[str]) -> DataFrame:
         sides = F.array(

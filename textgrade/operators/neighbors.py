@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,12 +12,10 @@ from textgrade.functions.numbers import as_number, clip
 from textgrade.operators.ranks import SPACING, adjacent_knots, running_totals
 from textgrade.sources.settled import settle
 
-# Reference vectors up to this many bytes are broadcast; larger sets go through cells.
-BROADCAST_BYTES = 256 * 2**20
+# Bytes of reference vectors that tasks hold at a time.
+BLOCK_BYTES = 256 * 2**20
 # Reference rows compared with one task's batch at a time.
 BLOCK_ROWS = 4096
-PIVOTS = 1024
-SHELL = 0.05
 # Distances are compared at this many decimals, so that equal vectors tie in every layout.
 DECIMALS = 9
 # Knots up to this many are held by every task (16 bytes each).
@@ -45,125 +42,20 @@ def _closest(rows: np.ndarray, ids: np.ndarray, gold: np.ndarray) -> tuple[np.nd
     return np.maximum(best, 0.0), ids[who]
 
 
-def _through_broadcast(pool: DataFrame, gold: pd.DataFrame, schema: str) -> DataFrame:
-    shared = pool.sparkSession.sparkContext.broadcast(
-        (gold["neighbour"].to_numpy(), _unit(gold["vector"]))
-    )
+def _search(pool: DataFrame, gold: pd.DataFrame, schema: str) -> DataFrame:
+    """The nearest row of one block of gold for every pool row; written, so that the block can be let go."""
+    shared = pool.sparkSession.sparkContext.broadcast((gold["neighbour"].to_numpy(), _unit(gold["vector"])))
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, matrix = shared.value
         for batch in batches:
             if len(batch):
                 distance, neighbour = _closest(_unit(batch["vector"]), ids, matrix)
-                yield pd.DataFrame(
-                    {"id": batch["id"], "neighbour": neighbour, "distance": distance}
-                )
-
-    return pool.mapInPandas(search, schema)
-
-
-def _angles(rows: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    return np.arccos(np.clip(rows @ pivots.T, -1.0, 1.0))
-
-
-def _through_cells(
-    pool: DataFrame, gold: DataFrame, schema: str, pivots: int, block_rows: int
-) -> DataFrame:
-    """Exact search when the reference set is too large for one task.
-
-    Reference vectors are filed under their nearest pivot and their angle to it. The angle between
-    vectors obeys the triangle inequality, so a row needs only the files that can hold something
-    closer than its nearest pivot (itself a reference vector). Files and the rows that visit them
-    are cut into bounded parts before they meet.
-    """
-    spark = pool.sparkSession
-    chosen = gold.orderBy(F.xxhash64("neighbour"), "neighbour").limit(pivots).toPandas()
-    centres = spark.sparkContext.broadcast(_unit(chosen["vector"]))
-
-    @F.pandas_udf("struct<cell int, angle double>")
-    def file_under(vectors: pd.Series) -> pd.DataFrame:
-        angle = _angles(_unit(vectors), centres.value)
-        cell = angle.argmin(axis=1)
-        return pd.DataFrame({"cell": cell.astype("int32"), "angle": angle.min(axis=1)})
+                yield pd.DataFrame({"id": batch["id"], "neighbour": neighbour, "distance": distance})
 
-    filed = settle(
-        gold.withColumn("at", file_under("vector")).select(
-            "neighbour",
-            "vector",
-            F.col("at.cell").alias("cell"),
-            F.floor(F.col("at.angle") / SHELL).cast("int").alias("shell"),
-            F.col("at.angle").alias("angle"),
-        )
-    )
-    # At most pivots x (pi / SHELL) files, whatever the size of the set.
-    files = (
-        filed.groupBy("cell", "shell")
-        .agg(F.min("angle").alias("lo"), F.max("angle").alias("hi"), F.count(F.lit(1)).alias("n"))
-        .toPandas()
-    )
-    limits = spark.sparkContext.broadcast(
-        (files["cell"].to_numpy(), files["lo"].to_numpy(), files["hi"].to_numpy())
-    )
-    slack = 1e-6
-
-    @F.pandas_udf("array<int>")
-    def visits(vectors: pd.Series) -> pd.Series:
-        cell, lo, hi = limits.value
-        out = []
-        rows = _unit(vectors)
-        for at in range(0, len(rows), 128):
-            angle = _angles(rows[at : at + 128], centres.value)
-            reach = angle.min(axis=1, keepdims=True) + slack
-            own = angle[:, cell]
-            out += [np.flatnonzero(hit) for hit in (own - hi <= reach) & (lo - own <= reach)]
-        return pd.Series(out)
-
-    routed = settle(pool.withColumn("file", F.explode(visits("vector"))))
-    seen = {r["file"]: r["count"] for r in routed.groupBy("file").count().collect()}
-    plan = [
-        (
-            i,
-            int(f.cell),
-            int(f.shell),
-            max(math.ceil(f.n / block_rows), 1),
-            max(math.ceil(seen.get(i, 0) / block_rows), 1),
-        )
-        for i, f in enumerate(files.itertuples())
-    ]
-    parts = F.broadcast(
-        spark.createDataFrame(plan, "file int, cell int, shell int, gold_parts int, pool_parts int")
-    )
-
-    def share(key: str, n: str) -> Column:
-        return F.pmod(F.xxhash64(key), F.col(n)).cast("int")
-
-    def all_of(n: str) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-
-    left = routed.join(parts, "file").select(
-        "id", "vector", "file", share("id", "pool_parts").alias("mine"), all_of("gold_parts").alias("theirs")
-    )
-    right = filed.join(parts, ["cell", "shell"]).select(
-        "neighbour",
-        "vector",
-        "file",
-        share("neighbour", "gold_parts").alias("theirs"),
-        all_of("pool_parts").alias("mine"),
-    )
-
-    def meet(rows: pd.DataFrame, refs: pd.DataFrame) -> pd.DataFrame:
-        if rows.empty or refs.empty:
-            return pd.DataFrame({"id": [], "neighbour": [], "distance": []})
-        refs = refs.sort_values("neighbour")
-        distance, neighbour = _closest(
-            _unit(rows["vector"]), refs["neighbour"].to_numpy(), _unit(refs["vector"])
-        )
-        return pd.DataFrame({"id": rows["id"], "neighbour": neighbour, "distance": distance})
-
-    key = ["file", "mine", "theirs"]
-    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(meet, schema)
-    best = F.min(F.struct("distance", "neighbour")).alias("best")
-    return found.groupBy("id").agg(best).select("id", "best.neighbour", "best.distance")
+    found = settle(pool.mapInPandas(search, schema))
+    shared.destroy()
+    return found
 
 
 def nearest_gold(
@@ -171,24 +63,35 @@ def nearest_gold(
     gold: DataFrame,
     id_col: str = "id",
     vector_col: str = "embedding",
-    broadcast_bytes: int = BROADCAST_BYTES,
-    pivots: int = PIVOTS,
-    block_rows: int = BLOCK_ROWS,
+    block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """``(id, neighbour, distance)``: the closest gold row of every pool row by cosine distance.
 
-    Ties go to the smaller gold id; a zero vector is at distance 1 from everything. The size of the
-    gold set is measured first: a small one is broadcast, a large one is searched by cells.
+    Ties go to the smaller gold id; a zero vector is at distance 1 from everything. Null vectors count as missing:
+    such rows have no neighbour and are none. Gold goes to the tasks in blocks of bounded size, one after the other;
+    vectors of the pool are never shuffled, and the answer does not depend on the size of the blocks.
     """
-    rows = pool.select(F.col(id_col).alias("id"), F.col(vector_col).alias("vector"))
-    refs = gold.select(F.col(id_col).alias("neighbour"), F.col(vector_col).alias("vector"))
+    rows = pool.where(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector_col).alias("vector"))
+    refs = gold.where(F.col(vector_col).isNotNull()).select(
+        F.col(id_col).alias("neighbour"), F.col(vector_col).alias("vector")
+    )
     types = dict(pool.select(id_col).dtypes), dict(gold.select(id_col).dtypes)
     schema = f"id {types[0][id_col]}, neighbour {types[1][id_col]}, distance double"
     cost = refs.agg(F.coalesce(F.sum(F.size("vector") * 8), F.lit(0))).first()[0]
-    if cost <= broadcast_bytes:
-        held = refs.orderBy("neighbour").toPandas()
-        return _through_broadcast(rows, held, schema)
-    return _through_cells(rows, refs, schema, pivots, block_rows)
+    blocks = max(1, -(-cost // block_bytes))
+    number = F.pmod(F.xxhash64("neighbour"), F.lit(blocks))
+    found = None
+    for k in range(blocks):
+        held = refs.where(number == k).orderBy("neighbour").toPandas()
+        if len(held):
+            part = _search(rows, held, schema)
+            found = part if found is None else found.unionByName(part)
+    if found is None:
+        return pool.sparkSession.createDataFrame([], schema)
+    if blocks == 1:
+        return found
+    best = F.min(F.struct("distance", "neighbour")).alias("best")
+    return found.groupBy("id").agg(best).select("id", "best.neighbour", "best.distance")
 
 
 def _end_slopes(first, second, last, before) -> tuple[float, float]:

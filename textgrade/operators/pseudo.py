@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from textgrade.functions.numbers import as_number, fold_sum, value_per_name
+from textgrade.functions.numbers import as_number, fold_sum, values_by_name
 from textgrade.operators.neighbors import map_to_axis, nearest_gold
 from textgrade.operators.ranks import SPACING, exact_quantiles
 from textgrade.schema import coerce
@@ -15,41 +15,34 @@ DEDUP_COSINE = 0.05
 NARROWEST_RANGE = 1e-9
 
 
-MOST_TEACHERS = 1000
-
-
 def teacher_names(preds: DataFrame) -> list:
     """The teachers of a prediction table, in order."""
-    found = preds.select("teacher").distinct().limit(MOST_TEACHERS + 1).collect()
-    if len(found) > MOST_TEACHERS:
-        raise ValueError(f"more than {MOST_TEACHERS} teachers")
-    return sorted(r.teacher for r in found)
+    return sorted(r.teacher for r in preds.select("teacher").distinct().collect())
 
 
 def ensemble_stats(preds: DataFrame, teachers: list) -> DataFrame:
     """``(id, mean, std)`` over the named teachers of a long table ``(id, teacher, pred)``.
 
     ``std`` is the population deviation. An id without all teachers' predictions has nulls; one
-    with two predictions of a teacher is an error. One slot per teacher keeps the state of an id
-    fixed in size, and values are added in the teachers' order, so results repeat to the bit.
+    with two predictions of a teacher is an error. Values are added in the teachers' order, so
+    results repeat to the bit.
     """
     k = len(teachers)
-    slots = value_per_name(preds, ["id"], "teacher", teachers, "pred")
-    checked = F.when(
-        F.col("most") > 1, F.raise_error(F.lit("an id has several predictions of one teacher"))
-    ).otherwise(F.col("values"))
-    full = F.when(~F.exists("values", lambda x: x.isNull()), F.col("values"))
-    rows = slots.select("id", checked.alias("values")).select("id", full.alias("values"))
+    named = F.filter("values", lambda v: v["name"].isin(teachers)) if teachers else F.col("values")
+    slots = values_by_name(preds, ["id"], "teacher", "pred")
+    slots = slots.select("id", F.transform(named, lambda v: v["value"]).alias("values"))
+    whole = (F.size("values") == k) & ~F.exists("values", lambda x: x.isNull())
+    rows = slots.select("id", F.when(whole, F.col("values")).alias("values"))
     rows = rows.select("id", "values", (fold_sum(F.col("values")) / k).alias("mean"))
     spread = fold_sum(F.transform("values", lambda x: (x - F.col("mean")) * (x - F.col("mean"))))
     return rows.select("id", "mean", F.sqrt(spread / k).alias("std"))
 
 
 def missing_inputs(pool: DataFrame, preds: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Pool ids without predictions or without an embedding, as one row of counts."""
+    """Pool ids without predictions or without an embedding (none, or a null one), as one row of counts."""
     ids = pool.select("id")
     no_pred = ids.join(preds.select("id"), "id", "left_anti").agg(F.count(F.lit(1)).alias("no_pred"))
-    no_vector = ids.join(vectors.select("id"), "id", "left_anti").agg(
+    no_vector = ids.join(vectors.where("embedding is not null").select("id"), "id", "left_anti").agg(
         F.count(F.lit(1)).alias("no_embedding")
     )
     return no_pred.withColumn("no_embedding", no_vector.scalar())

@@ -18,10 +18,16 @@ def keep_in_band(
     max_tokens: int = MAX_TOKENS,
     languages: tuple[str, ...] = LANGUAGES,
 ) -> DataFrame:
-    """Rows with some text, a stored token count inside the closed band, and a wanted language."""
+    """Rows with some text, a stored token count inside the closed band, and a wanted language.
+
+    On a count that is a number the band reaches the Parquet scan.
+    """
+    count = F.col("length_tokens")
+    if dict(df.dtypes)["length_tokens"] not in ("bigint", "int", "smallint", "tinyint"):
+        count = count.try_cast("double")
     return df.where(
         F.col("language").isin(*languages)
-        & F.col("length_tokens").try_cast("double").between(min_tokens, max_tokens)
+        & count.between(min_tokens, max_tokens)
         & has_text("text")
     )
 

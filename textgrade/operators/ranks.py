@@ -12,9 +12,7 @@ data is small and one plain window does.
 
 from __future__ import annotations
 
-import json
-
-from pyspark.sql import Column, DataFrame, Row, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from textgrade.functions.numbers import as_number
 from textgrade.sources.settled import settle
@@ -24,7 +22,12 @@ SPACING = 2**20
 FAN = 16
 
 
-def _marks(cells: DataFrame, keys: list[str], spacing: int) -> list[Row]:
+# Both ways alike, so that keys of every type come back as they were.
+_JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
+def _marks(cells: DataFrame, keys: list[str], spacing: int) -> list[str]:
+    """The marks in order, as JSON written by Spark."""
     digest = F.xxhash64(*keys)
     return (
         cells.where(F.pmod(digest, F.lit(spacing)) == 0)
@@ -32,6 +35,7 @@ def _marks(cells: DataFrame, keys: list[str], spacing: int) -> list[Row]:
         .orderBy("digest", "key")
         .limit(FAN**3 - 1)
         .agg(F.sort_array(F.collect_list("key")).alias("keys"))
+        .select(F.transform("keys", lambda k: F.to_json(k, _JSON)).alias("keys"))
         .first()["keys"]
     )
 
@@ -41,15 +45,17 @@ def _let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), 0)
 
 
-def _stretch(keys: list[str], schema: T.StructType, marks: list[Row]) -> Column:
+def _stretch(keys: list[str], schema: T.StructType, marks: list[str]) -> Column:
     """Number of marks at or below the key, found by walking a three-level search tree."""
-    dicts = [m.asDict() for m in marks]
     size, wide = FAN * FAN, FAN * FAN * FAN
-    tree = {
-        "top": dicts[size - 1 :: size][: FAN - 1],
-        "middle": [dicts[i + FAN - 1 : i + size - 1 : FAN] for i in range(0, wide, size)],
-        "low": [dicts[i : i + FAN - 1] for i in range(0, wide, FAN)],
-    }
+
+    def listed(items: list[str]) -> str:
+        return f"[{','.join(items)}]"
+
+    top = listed(marks[size - 1 :: size][: FAN - 1])
+    middle = listed([listed(marks[i + FAN - 1 : i + size - 1 : FAN]) for i in range(0, wide, size)])
+    low = listed([listed(marks[i : i + FAN - 1]) for i in range(0, wide, FAN)])
+    tree = f'{{"top":{top},"middle":{middle},"low":{low}}}'
     one = T.StructType([schema[k] for k in keys])
     several = T.ArrayType(one)
     shape = T.StructType(
@@ -59,7 +65,7 @@ def _stretch(keys: list[str], schema: T.StructType, marks: list[Row]) -> Column:
             T.StructField("low", T.ArrayType(several)),
         ]
     )
-    fixed = F.from_json(F.lit(json.dumps(tree)), shape)
+    fixed = F.from_json(F.lit(tree), shape, _JSON)
     key = F.struct(*keys)
 
     def passed(nodes: Column) -> Column:
@@ -115,7 +121,12 @@ def running_totals(
     counted = placed.select(
         "*", *[F.coalesce(F.sum(c).over(inside), none).alias(f"_in_{c}") for c in counters]
     )
-    return counted.join(offsets, part).select(
+    # groups may be null, and a null group is one like any other
+    there = offsets.withColumnsRenamed({p: f"_of_{p}" for p in part})
+    match = F.lit(True)
+    for p in part:
+        match = match & F.col(p).eqNullSafe(F.col(f"_of_{p}"))
+    return counted.join(there, match).select(
         *cells.columns,
         *[(F.col(f"_in_{c}") + F.col(f"_off_{c}")).alias(f"before_{c}") for c in counters],
         *[F.col(f"all_{c}") for c in summed],
@@ -283,6 +294,8 @@ def measured_joint_ranks(
 ) -> tuple[DataFrame, bool]:
     """``joint_ranks``, and whether every group turned out to be small."""
     both = df.where(F.col(target).isNotNull() & F.col(pred).isNotNull())
+    for g in group:  # as in value_ranks, a null group has no ranks
+        both = both.where(F.col(g).isNotNull())
     weight = F.sum("cnt") if "cnt" in df.columns else F.count(F.lit(1))
     cells = settle(both.groupBy(*group, target, pred).agg(weight.alias("cnt")))
     largest = cells.groupBy(*group).count().agg(F.max("count")).first()[0] or 0

@@ -158,13 +158,13 @@ def load_levelled_csv(spark: SparkSession, path: str) -> DataFrame:
 
 def fetch_texts(
     df: DataFrame,
-    limit: int,
+    limit: int | None,
     order_col: str,
     source_col: str = "source",
     text_col: str = "text",
     spacing: int = SPACING,
 ) -> DataFrame:
-    """The first ``limit`` documents of every source by ``order_col``, then without empty texts.
+    """The first ``limit`` documents (all, if None) of every source by ``order_col``, then without empty texts.
 
     The limit counts empty documents. ``doc_index`` numbers the kept ones from 0 in each source.
     Counting is done on a narrow table; texts are only joined to the chosen keys.
@@ -174,7 +174,8 @@ def fetch_texts(
     counted = running_totals(
         narrow, [source_col], [order_col], ["seen", "filled"], spacing, with_all=False
     )
-    chosen = counted.where((F.col("before_seen") < limit) & (F.col("filled") == 1)).select(
+    within = F.lit(True) if limit is None else F.col("before_seen") < limit
+    chosen = counted.where(within & (F.col("filled") == 1)).select(
         source_col, order_col, F.col("before_filled").cast("long").alias("doc_index")
     )
     return df.join(chosen, [source_col, order_col])
