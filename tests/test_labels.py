@@ -29,17 +29,17 @@ def mapped(spark, preds, gold, **kw):
 
 @pytest.mark.parametrize("held", [1000, 0])
 def test_axis_extrapolates_or_clamps(spark, held):
-    gold = knots(spark, [(-2.0, 0.9), (0.0, 0.5), (2.0, 0.1), (None, 0.3)])
-    a = mapped(spark, [-2.0, -3.0, -4.0, 1.0, 5.0, None], gold, broadcast_knots=held)
-    assert a[:5] == pytest.approx([0.9, 1.1, 1.3, 0.3, -0.5]) and a[5] is None
-    clamped = mapped(spark, [-3.0, -4.0, None], gold, extrapolate=False, broadcast_knots=held)
-    assert clamped == [0.9, 0.9, None]
+    gold = knots(spark, [(-4.0, 0.8), (0.0, 0.6), (4.0, 0.4), (None, 0.3)])
+    a = mapped(spark, [-4.0, -6.0, -8.0, 2.0, 10.0, None], gold, broadcast_knots=held)
+    assert a[:5] == pytest.approx([0.8, 0.9, 1.0, 0.5, 0.1]) and a[5] is None
+    clamped = mapped(spark, [-6.0, -8.0, None], gold, extrapolate=False, broadcast_knots=held)
+    assert clamped == [0.8, 0.8, None]
 
 
 @pytest.mark.parametrize("held", [1000, 0])
 def test_axis_with_tied_end_and_single_knot(spark, held):
-    tied = knots(spark, [(0.0, 0.8), (0.0, 0.8), (1.0, 0.5), (2.0, 0.2)])
-    assert mapped(spark, [-5.0, 3.0, 0.5], tied, broadcast_knots=held) == pytest.approx([0.8, -0.1, 0.65])
+    tied = knots(spark, [(1.0, 0.7), (1.0, 0.7), (3.0, 0.6), (4.0, 0.2)])
+    assert mapped(spark, [-5.0, 5.0, 2.0], tied, broadcast_knots=held) == pytest.approx([0.7, -0.2, 0.65])
     assert mapped(spark, [-5.0, 7.0], knots(spark, [(1.0, 0.4)]), broadcast_knots=held) == [0.4, 0.4]
     assert mapped(spark, [1.0], knots(spark, [(None, 0.4)]), broadcast_knots=held) == [None]
 
@@ -75,7 +75,7 @@ def test_ensemble_uses_population_deviation_and_needs_all_teachers(spark):
     df = spark.createDataFrame(rows, "id string, teacher int, pred double")
     got = {r.id: (r.mean, r.std) for r in ensemble_stats(df, [0, 1]).collect()}
     assert got == {"a": (2.0, 1.0), "b": (None, None), "c": (None, None)}
-    with pytest.raises(Exception, match="several predictions"):
+    with pytest.raises(Exception, match="several values"):
         ensemble_stats(df.unionByName(df), [0, 1]).collect()
 
 

@@ -37,9 +37,9 @@ def test_white_space_follows_unicode(spark):
 
 def test_proxy_orders_simple_below_complex(spark):
     texts = [
-        "The cat sat. The dog ran. I see it.",
-        "Notwithstanding the epistemological ramifications, the dissertation elucidated "
-        "multifarious sociolinguistic considerations.",
+        "We go up. You go in. He is out.",
+        "Intergovernmental deliberations concerning jurisdictional prerogatives precipitated "
+        "unprecedented administrative complications.",
         "123 456",
     ]
     df = spark.createDataFrame([(t,) for t in texts], "t string").select(difficulty_proxy("t").alias("p"))
