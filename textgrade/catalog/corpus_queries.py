@@ -13,9 +13,11 @@ from textgrade.functions.text import (
     difficulty_proxy,
     evenly_spaced,
     normal_form,
+    paragraphs,
     strip,
     token_count,
     window_text,
+    word_slice,
 )
 from textgrade.operators.metrics import value_counts
 from textgrade.operators.quality import dedup_against, drop_repeats, filter_corpus, keep_in_band
@@ -26,7 +28,11 @@ from textgrade.plans.labelling import gold_rows
 from textgrade.schema import canonical, coerce, validate, with_defaults
 from textgrade.sources.corpora import (
     decode_text,
+    excerpt_rows,
     fetch_texts,
+    level_tree_to_canonical,
+    load_levelled_csv,
+    load_wide_corpus,
     levelled_to_canonical,
     read_wide_corpus,
     repair_columns,
@@ -133,6 +139,43 @@ def wide_canonical(spark, sf_dir):
     )
 
 
+@query("s3_wide_file", WIDE.replace("doc_id % 9 <> 0", "true"))
+def wide_file(spark, sf_dir):
+    """The wide corpus through a CSV file with the odd column names."""
+    path = _place(spark, "wide")
+    wide = _wide(spark, sf_dir).withColumn("ID", F.concat("doc_id", F.lit(".0")))
+    write_result(wide, path, fmt="csv")
+    return load_wide_corpus(spark, path).select(
+        "id", "native_label", "std_error", "domain", "license", "native_scale", F.md5("text").alias("text_md5")
+    )
+
+
+@query(
+    "s4_level_tree",
+    f"""WITH named AS (
+      SELECT 'a-' || doc_id || '-' || ['ele', 'int', 'adv'][doc_id % 3 + 1] AS k, doc_id % 3 AS level,
+        replace(text, chr(10), chr(10) || chr(10)) AS text FROM documents WHERE doc_id % 7 <> 0),
+    {sql.chunks('named')}
+    SELECT 'onestop:' || regexp_replace(c.k, '-([a-z]+)$', ':\\1') || ':' || chunk AS id, level::DOUBLE AS native_label,
+      'onestop_level' AS native_scale, md5(c.text) AS text_md5 FROM chunks c JOIN named n USING (k)""",
+)
+def level_tree(spark, sf_dir):
+    """Documents as files of a level tree: some names in two folders, some files outside of the tree."""
+    d = F.col("doc_id")
+    level = F.element_at(F.array(F.lit("ele"), F.lit("int"), F.lit("adv")), (d % 3 + 1).cast("int"))
+    folder = F.when(d % 7 == 0, "/data/other").otherwise("/data/Texts-SeparatedByReadingLevel")
+    files = views.paragraph_docs(spark, sf_dir).select(
+        "doc_id",
+        F.concat(folder, F.lit("/b/a-"), d, F.lit("-"), level, F.lit(".txt")).alias("path"),
+        F.encode("text", "UTF-8").alias("content"),
+    )
+    twice = files.where(d % 5 == 0).select(
+        F.replace("path", F.lit("/b/"), F.lit("/c/")).alias("path"), F.encode(F.lit("later path"), "UTF-8").alias("content")
+    )
+    rows = level_tree_to_canonical(files.select("path", "content").unionByName(twice))
+    return rows.select("id", "native_label", "native_scale", F.md5("text").alias("text_md5"))
+
+
 @query(
     "s5_decode_mixed_encodings",
     r"""SELECT doc_id, md5(regexp_replace(text, '[^\x00-\x7f]', '~', 'g')
@@ -166,17 +209,42 @@ def levelled_texts(spark, sf_dir):
     return levelled_to_canonical(rows, "doc_id").select("id", "native_label", "length_tokens")
 
 
+@query(
+    "s6_levelled_file",
+    f"""WITH {sql.PARAGRAPHS}, {sql.chunks('paras')},
+    named AS (SELECT *, upper(trim({LEVELS}[k % 7 + 1])) AS level FROM chunks)
+    SELECT (list_position(['A1','A2','B1','B2','C1','C2'], level) - 1)::DOUBLE AS native_label, chunk::VARCHAR AS chunk,
+      md5(text) AS text_md5 FROM named WHERE level <> 'D1'""",
+)
+def levelled_file(spark, sf_dir):
+    """The same through CSV files, whose rows are named by their places."""
+    names = F.array(*[F.lit(x) for x in ("A1", " a2 ", "b1", "B2", "c1", "C2 ", "D1")])
+    docs = views.paragraph_docs(spark, sf_dir)
+    path = _place(spark, "levelled")
+    labelled = docs.select("text", F.element_at(names, (F.col("doc_id") % 7 + 1).cast("int")).alias("label"))
+    write_result(labelled, path, fmt="csv")
+    return load_levelled_csv(spark, path).select(
+        "native_label", F.element_at(F.split("id", ":"), -1).alias("chunk"), F.md5("text").alias("text_md5")
+    )
+
+
 @query(
     "s7_stream_ingest",
-    f"""WITH {sql.pool(None)} SELECT id, corpus, length_tokens, md5(text) AS text_md5 FROM pool""",
+    f"""WITH {sql.pool(None)} SELECT id, corpus, length_tokens, md5(text) AS text_md5 FROM rows_
+    WHERE length_tokens BETWEEN 50 AND 320
+    QUALIFY row_number() OVER (PARTITION BY corpus, text ORDER BY split_part(id, ':', 2)::BIGINT % 3, id) = 1""",
 )
 def stream_ingest(spark, sf_dir):
-    """The pool taken in through a stream equals the pool built in one batch."""
-    docs = fetch_texts(views.free_text(spark, sf_dir), None, "doc_id")
-    arrivals = _place(spark, "arrivals")
-    docs.select("source", "doc_index", "domain", "text").write.parquet(arrivals)
-    pool = _place(spark, "pool")
-    ingest_pool(spark, arrivals, pool, _place(spark, "progress"))
+    """A pool taken in over three arrivals. Each later one brings all earlier documents again under other numbers."""
+    docs = settle(
+        fetch_texts(views.free_text(spark, sf_dir), None, "doc_id").select("source", "doc_index", "domain", "text")
+    )
+    arrivals, pool, progress = (_place(spark, name) for name in ("arrivals", "pool", "progress"))
+    turn = F.col("doc_index") % 3
+    for k in range(3):
+        again = docs.where(turn < k).withColumn("doc_index", F.col("doc_index") + 10**9 * k)
+        docs.where(turn == k).unionByName(again).write.mode("append").parquet(arrivals)
+        ingest_pool(spark, arrivals, pool, progress)
     return read_pool(spark, pool).select("id", "corpus", "length_tokens", F.md5("text").alias("text_md5"))
 
 
@@ -194,13 +262,15 @@ def fetch_first(spark, sf_dir):
 
 @query(
     "k1_partitioned_write",
-    f"""WITH {sql.canonical('lang')} SELECT 'unassigned' AS split, corpus, count(*)::BIGINT AS n
-    FROM canon GROUP BY corpus""",
+    f"""WITH {sql.canonical('lang')} SELECT id, 'unassigned' AS split, corpus, native_label, length_tokens,
+    md5(text) AS text_md5 FROM canon""",
 )
 def partitioned_write(spark, sf_dir):
     path = _place(spark, "table")
     write_table(views.canonical_docs(spark, sf_dir, "lang"), path)
-    return read_table(spark, path).groupBy("split", "corpus").agg(F.count(F.lit(1)).alias("n"))
+    return read_table(spark, path).select(
+        "id", "split", "corpus", "native_label", "length_tokens", F.md5("text").alias("text_md5")
+    )
 
 
 @query(
@@ -383,10 +453,8 @@ def windows(spark, sf_dir):
 def chunk_ids(spark, sf_dir):
     labels = views.table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("double").alias("native_label"))
     docs = views.paragraph_docs(spark, sf_dir).join(labels, "doc_id", "left")
-    rows = docs.select("doc_id", "lang", "native_label", window_text("text").alias("w")).select(
-        "doc_id", "lang", "native_label", F.posexplode_outer("w").alias("chunk", "text")
-    )
-    return rows.where("text is not null").select(
+    rows = excerpt_rows(docs, "doc_id", "lang", "native_label")
+    return rows.select(
         F.concat_ws(":", F.lit("docs"), "doc_id", "lang", "chunk").alias("id"), "native_label"
     )
 
@@ -437,9 +505,8 @@ def strip_and_case(spark, sf_dir):
     len(list_filter(regexp_split_to_array(text, '\\n[{sql.BLANK}]*\\n'), lambda p: {sql.strip('p')} <> ''))::BIGINT AS paragraphs FROM paras""",
 )
 def blank_line_split(spark, sf_dir):
-    parts = F.split("text", r"\n[\s\x1c-\x1f\x85\p{Z}]*\n")
     return views.paragraph_docs(spark, sf_dir).select(
-        "doc_id", F.size(F.filter(parts, lambda p: strip(p) != "")).cast("long").alias("paragraphs")
+        "doc_id", F.size(paragraphs("text")).cast("long").alias("paragraphs")
     )
 
 
@@ -448,10 +515,7 @@ def blank_line_split(spark, sf_dir):
     f"""SELECT doc_id, md5(array_to_string(regexp_extract_all(text, '[^{sql.BLANK}]+')[11:20], ' ')) AS words FROM documents""",
 )
 def word_slices(spark, sf_dir):
-    words = F.regexp_extract_all("text", F.lit(r"([^\s\x1c-\x1f\x85\p{Z}]+)"), F.lit(1))
-    return views.documents(spark, sf_dir).select(
-        "doc_id", F.md5(F.array_join(F.slice(words, 11, 10), " ")).alias("words")
-    )
+    return views.documents(spark, sf_dir).select("doc_id", F.md5(word_slice("text", 10, 10)).alias("words"))
 
 
 @query(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from textgrade.catalog import sql, views
 from textgrade.catalog.registry import query, r6, rounded
+from textgrade.operators.bootstrap import POISSON_STEPS
 from textgrade.operators.neighbors import map_to_axis, nearest_gold
 from textgrade.operators.pseudo import ensemble_stats, gate_report, judge_pool, missing_inputs
 from textgrade.operators.training import (
@@ -22,6 +23,7 @@ from textgrade.operators.training import (
 from textgrade.plans.labelling import pseudo_label_pool
 
 DEDUP = 0.55
+STEPS = str(list(POISSON_STEPS)) + "::DOUBLE[]"
 
 
 @query(
@@ -237,12 +239,58 @@ def _length_model():
     return predict
 
 
+def _shape_model():
+    def predict(texts: np.ndarray) -> np.ndarray:
+        return np.array([[len(t) / 100.0, t.count(" ") / 10.0] for t in texts])
+
+    return predict
+
+
 @query("t5_score_rows", "SELECT doc_id::VARCHAR AS id, round(length(text) / 100.0, 6)::DOUBLE AS pred FROM documents")
 def batch_scores(spark, sf_dir):
     docs = views.documents(spark, sf_dir).select(F.col("doc_id").alias("id"), "text")
     return rounded(score_rows(docs, _length_model))
 
 
+@query(
+    "t5_score_vectors",
+    """SELECT doc_id::VARCHAR AS id, place::INTEGER AS place, round(CASE place WHEN 0 THEN length(text) / 100.0
+      ELSE len(regexp_extract_all(text, ' ')) / 10.0 END, 6)::DOUBLE AS value FROM documents, range(2) r(place)""",
+)
+def batch_vectors(spark, sf_dir):
+    docs = views.documents(spark, sf_dir).select(F.col("doc_id").alias("id"), "text")
+    scored = score_rows(docs, _shape_model, out_col="vector", return_type="array<double>")
+    return rounded(scored.select("id", F.posexplode("vector").alias("place", "value")))
+
+
+# A ridge line on one feature; the penalty is in units of the target's deviation.
+TEACHERS = f"""{sql.canonical('lang', 'quality')},
+  featured AS (SELECT id, corpus, native_label AS y, {sql.proxy('text')} AS x FROM canon),
+  weighed AS (SELECT teacher, corpus, x, y, len(list_filter({STEPS}, lambda s: s <= u)) AS w FROM (
+    SELECT teacher, corpus, x, y, {sql.number('teacher', 'id')} / 4294967296.0::DOUBLE AS u
+    FROM featured, range(42, 45) r(teacher) WHERE y IS NOT NULL)),
+  means AS (SELECT teacher, sum(w * x) / sum(w) AS mx, sum(w * y) / sum(w) AS my FROM weighed GROUP BY 1),
+  slopes AS (SELECT teacher, any_value(mx) AS mx, any_value(my) AS my,
+    (sum(w * (x - mx) * (y - my)) / sum(w)) / (sum(w * (x - mx) * (x - mx)) / sum(w)
+      + 0.1 / sqrt(sum(w * (y - my) * (y - my)) / sum(w))) AS b FROM weighed JOIN means USING (teacher) GROUP BY 1),
+  offsets AS (SELECT teacher, corpus, sum(w * (y - my - b * (x - mx))) / (sum(w) + 10) AS miss
+    FROM weighed JOIN slopes USING (teacher) WHERE w > 0 GROUP BY 1, 2)"""
+
+
+@query(
+    "t6_t7_ridge_teachers",
+    f"""WITH {TEACHERS}, asked AS (SELECT id, x, CASE WHEN corpus <> 'es' THEN corpus ELSE 'unseen' END AS corpus FROM featured)
+    SELECT id, teacher::INTEGER AS teacher, round(my + b * (x - mx) + coalesce(miss, 0), 6) AS pred
+    FROM asked JOIN slopes ON true LEFT JOIN offsets USING (teacher, corpus)""",
+)
+def ridge_teachers(spark, sf_dir):
+    """Teachers on the readability proxy alone; one corpus comes under a name that training has not seen."""
+    docs = views.canonical_docs(spark, sf_dir, "lang", "quality")
+    teachers = fit_teachers(docs, n_teachers=3, features=0)
+    renamed = F.when(F.col("corpus") != "es", F.col("corpus")).otherwise("unseen")
+    return rounded(predict_teachers(teachers, docs.select("id", "text", renamed.alias("corpus"))))
+
+
 @query("t6_t7_teacher_ensemble")
 def teacher_ensemble(spark, sf_dir):
     """Three linear teachers with corpus offsets, fitted on labelled documents and applied to all."""

@@ -171,6 +171,18 @@ def splits(spark, sf_dir):
     return assign_splits(docs, ["fr"], ["poetry"]).select("id", "split")
 
 
+@query(
+    "l1_assign_splits_by_article",
+    f"""WITH canon AS (SELECT 'docs:' || conv_id || ':' || role || ':' || turn AS id, 'docs:' || conv_id AS unit FROM conversations),
+    units AS (SELECT unit, row_number() OVER (ORDER BY {sql.draw("'42'", 'unit')}, unit) AS r, count(*) OVER () AS m
+      FROM (SELECT DISTINCT unit FROM canon))
+    SELECT id, CASE WHEN r <= floor(m * 0.1::DOUBLE) THEN 'val' ELSE 'train' END AS split FROM canon JOIN units USING (unit)""",
+)
+def splits_by_article(spark, sf_dir):
+    turns = _articles(spark, sf_dir).withColumn("native_label", F.lit(1.0))
+    return assign_splits(turns, group_safe=True).select("id", "split")
+
+
 ARTICLES = """arts AS (SELECT 'docs:' || conv_id || ':' || role || ':' || turn AS id, 'docs:' || conv_id AS grp FROM conversations),
   sized AS (SELECT grp, row_number() OVER (ORDER BY count(*) DESC, grp) - 1 AS r FROM arts GROUP BY grp)"""
 

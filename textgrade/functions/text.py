@@ -87,6 +87,17 @@ def evenly_spaced(items: Column, keep: int) -> Column:
     return F.when(n > keep, picked).otherwise(items)
 
 
+def paragraphs(text: Column | str) -> Column:
+    """Array of the parts between blank lines, without those of white space alone."""
+    return F.filter(F.split(_col(text), f"\\n[{BLANK}]*\\n"), has_text)
+
+
+def word_slice(text: Column | str, first: int, count: int) -> Column:
+    """``count`` words from place ``first`` (from 0) on, joined by single spaces."""
+    found = F.regexp_extract_all(_col(text), F.lit(f"([^{BLANK}]+)"), F.lit(1))
+    return F.array_join(F.slice(found, first + 1, count), " ")
+
+
 _PARAGRAPH_BREAK = re.compile(r"\n\s*\n")
 
 

@@ -194,14 +194,18 @@ def _per_reference(
     )
 
 
+def _r2() -> Column:
+    """Squared correlation of ``y`` and ``x``."""
+    spread = F.stddev_pop("y") * F.stddev_pop("x")
+    r = F.try_divide(F.covar_pop("y", "x"), spread)
+    return F.when(F.count(F.lit(1)) >= 3, r * r)
+
+
 def formula_baselines(
     df: DataFrame, target_col: str, formula_cols: list[str], spacing: int = SPACING
 ) -> DataFrame:
     """Spearman and linear R^2 of each formula column; fewer than three pairs give nulls."""
-    spread = F.stddev_pop("y") * F.stddev_pop("x")
-    r = F.try_divide(F.covar_pop("y", "x"), spread)
-    r2 = F.when(F.count(F.lit(1)) >= 3, r * r)
-    return _per_reference(df, target_col, formula_cols, {"r2": r2}, ("spearman",), spacing)
+    return _per_reference(df, target_col, formula_cols, {"r2": _r2()}, ("spearman",), spacing)
 
 
 def solution_ceilings(
@@ -221,42 +225,37 @@ def reference_bracket(
 ) -> DataFrame:
     """Floor, noise, baselines and ceilings as one long table ``(section, reference, metric, value, n)``."""
     target = as_number(F.col(target_col))
-    total = df.agg(F.count(target).alias("n"), F.stddev_pop(target).alias("value"))
-
-    def long(part: DataFrame, section: str, metrics: list[str]) -> DataFrame:
-        items = [F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in metrics]
-        return part.select(
-            F.lit(section).alias("section"),
-            "reference",
-            F.explode(F.array(*items)).alias("m"),
-            "n",
-        ).select("section", "reference", "m.metric", "m.value", "n")
-
-    floor = total.select(
-        F.lit("trivial_floor").alias("section"),
-        F.lit(target_col).alias("reference"),
-        F.lit("rmse").alias("metric"),
-        "value",
-        "n",
+    se = as_number(F.col(se_col)) if se_col in df.columns else F.lit(None).cast("double")
+    whole = df.agg(
+        F.count(target).alias("n"), F.stddev_pop(target).alias("sd"), F.count(se).alias("n_se"), F.avg(se).alias("mean_se")
     )
     if se_col in df.columns:
-        noise = label_noise_floor(df, se_col, spacing)
-        count = df.agg(F.count(as_number(F.col(se_col))).alias("n"))
-        noise = noise.withColumn("n", count.scalar())
+        errors = df.select(F.lit(0).alias("g"), se.alias("se"))
+        median = exact_quantiles(errors, ["g"], "se", {"median_se": 0.5}, spacing).select("median_se")
+        whole = whole.withColumn("median_se", median.scalar())
     else:
-        nothing = F.lit(None).cast("double")
-        noise = total.select(
-            nothing.alias("mean_se"), nothing.alias("median_se"), F.lit(0).cast("long").alias("n")
-        )
-    noise = noise.withColumn("reference", F.lit(se_col))
+        whole = whole.withColumn("median_se", F.lit(None).cast("double"))
+
+    def entry(section: str, reference, metric: str, value: str, n: str) -> Column:
+        values = {"section": F.lit(section), "reference": reference, "metric": F.lit(metric), "value": F.col(value), "n": F.col(n)}
+        return F.struct(*[v.alias(k) for k, v in values.items()])
+
+    def listed(names: list[str], section: str, metrics: tuple[str, ...]) -> Column:
+        entries = F.array(*[entry(section, F.col("reference"), m, m, "n") for m in metrics])
+        return F.when(F.col("reference").isin(*names), entries).otherwise(F.slice(entries, 1, 0))
+
+    head = F.array(
+        entry("trivial_floor", F.lit(target_col), "rmse", "sd", "n"),
+        entry("noise_floor", F.lit(se_col), "mean_se", "mean_se", "n_se"),
+        entry("noise_floor", F.lit(se_col), "median_se", "median_se", "n_se"),
+    )
+    columns = list(dict.fromkeys([*formula_cols, *solution_cols]))
+    rest = _per_reference(df, target_col, columns, {"r2": _r2()}, ("rmse", "spearman"), spacing)
+    both = F.concat(listed(formula_cols, "formula", ("spearman", "r2")), listed(solution_cols, "ceiling", ("rmse", "spearman")))
     return (
-        floor.unionByName(long(noise, "noise_floor", ["mean_se", "median_se"]))
-        .unionByName(
-            long(formula_baselines(df, target_col, formula_cols, spacing), "formula", ["spearman", "r2"])
-        )
-        .unionByName(
-            long(solution_ceilings(df, target_col, solution_cols, spacing), "ceiling", ["rmse", "spearman"])
-        )
+        whole.select(F.explode(head).alias("e"))
+        .unionByName(rest.select(F.explode(both).alias("e")))
+        .select("e.*")
     )
 
 

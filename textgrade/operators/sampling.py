@@ -76,10 +76,13 @@ def select_diverse(
     enough comes back whole.
     """
     binned = difficulty_bins(df, n_bins, seed, spacing)
-    if binned.count() <= n_total:
+    sizes = binned.groupBy("corpus", "bin").count()
+    known = F.col("corpus").isNotNull()
+    counted = sizes.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("rows"), F.count_if(known).alias("buckets")).first()
+    if counted.rows <= n_total:
         return df
-    bucketed = binned.where(F.col("corpus").isNotNull())
-    buckets = bucketed.select("corpus", "bin").distinct().count()
+    bucketed = binned.where(known)
+    buckets = counted.buckets
     per = max(n_total // max(buckets, 1), 1)
     keyed = bucketed.select("id", "corpus", "bin", "draw")
     picked = smallest_draws(keyed, ["corpus", "bin"], per, buckets)

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.ml import Pipeline
-from pyspark.ml.feature import HashingTF, IDF, OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.feature import HashingTF, IDF, VectorAssembler
 from pyspark.ml.functions import predict_batch_udf
-from pyspark.ml.regression import LinearRegression
+from pyspark.ml.regression import LinearRegression, LinearRegressionModel
 from pyspark.sql import DataFrame, functions as F
 
 from textgrade.functions.draws import draw_number
@@ -16,6 +17,7 @@ from textgrade.functions.numbers import as_number, clip
 from textgrade.functions.text import BLANKS, difficulty_proxy
 from textgrade.operators.bootstrap import poisson_count
 from textgrade.operators.ranks import SPACING, unique_rank
+from textgrade.operators.sampling import BROADCAST_IDS
 from textgrade.sources.settled import settle
 
 
@@ -41,8 +43,12 @@ def training_view(
         weight = clip(F.coalesce(as_number(F.col("mapping_confidence")), F.lit(1.0)), 0.0, 1.0)
     else:
         weight = F.lit(1.0)
-    unseen = sources.agg(F.coalesce(F.max("sources"), F.lit(0)).alias("n")).scalar()
-    return df.join(sources.select("corpus", "source"), "corpus", "left").select(
+    sources = settle(sources.select("corpus", "source"))
+    known = sources.count()
+    unseen = F.lit(known)
+    # One narrow row per corpus: sent to the tasks while counted to be few, so that texts stay where they are.
+    right = F.broadcast(sources) if known <= BROADCAST_IDS else sources
+    return df.join(right, "corpus", "left").select(
         "id",
         "text",
         as_number(F.col(target_col)).alias("target"),
@@ -116,6 +122,20 @@ def _spark_type(name: str):
     }[name]
 
 
+# Weight of the squared coefficients, and how many rows without error an offset is shrunk by.
+RIDGE = 0.1
+OFFSET_ROWS = 10.0
+
+
+@dataclass(frozen=True)
+class Teachers:
+    """How features are made, a model per seed, and offsets ``(corpus, teacher, offset)`` or None."""
+
+    prepared: PipelineModel
+    models: dict[int, LinearRegressionModel]
+    offsets: DataFrame | None
+
+
 def fit_teachers(
     train: DataFrame,
     target_col: str = "native_label",
@@ -123,35 +143,36 @@ def fit_teachers(
     first_seed: int = 42,
     features: int = 1024,
     source_offset: bool = True,
-) -> list:
-    """An ensemble of linear text models, each on its own md5-drawn resample of the rows.
+) -> Teachers:
+    """An ensemble of ridge models of texts, each on its own md5-drawn resample of the rows.
 
-    Word features and the readability proxy, plus one shrunken offset per corpus; a corpus not seen
-    in training has offset zero.
+    Features are ``features`` hashed word weights (none, if 0) and the readability proxy. What a model misses on
+    average in a corpus, shrunk as if ``OFFSET_ROWS`` further rows missed nothing, is the offset of that corpus; a
+    corpus not seen in training has offset zero.
     """
     rows = _text_features(train).withColumn("target", as_number(F.col(target_col)))
     rows = rows.where("target is not null")
-    encoded = ["source_offset"] if source_offset else []
-    stages = [
-        StringIndexer(
-            inputCol="corpus", outputCol="source", stringOrderType="alphabetAsc", handleInvalid="keep"
-        ),
-        OneHotEncoder(inputCols=["source"], outputCols=["source_offset"], handleInvalid="keep", dropLast=True),
+    words = [
         HashingTF(inputCol="words", outputCol="counts", numFeatures=features),
         IDF(inputCol="counts", outputCol="terms"),
-        VectorAssembler(inputCols=["terms", "proxy", *encoded], outputCol="features"),
-    ]
-    prepared = Pipeline(stages=stages).fit(rows)
+    ] if features else []
+    inputs = ["terms", "proxy"] if features else ["proxy"]
+    prepared = Pipeline(stages=[*words, VectorAssembler(inputCols=inputs, outputCol="features")]).fit(rows)
     # Every teacher reads the features once: few columns, so the normal equations take one pass.
-    ready = settle(prepared.transform(rows).select("id", "features", "target"), spread_by="id")
-    teachers = []
+    ready = settle(prepared.transform(rows).select("id", "corpus", "features", "target"), spread_by="id")
+    models, misses = {}, []
     for seed in range(first_seed, first_seed + n_teachers):
-        drawn = ready.withColumn("weight", poisson_count(draw_number(seed, "id")).cast("double"))
-        fit = LinearRegression(
-            labelCol="target", weightCol="weight", regParam=0.1, solver="normal"
-        ).fit(drawn.where("weight > 0"))
-        teachers.append((seed, prepared, fit))
-    return teachers
+        drawn = ready.withColumn("weight", poisson_count(draw_number(seed, "id")).cast("double")).where("weight > 0")
+        models[seed] = LinearRegression(
+            labelCol="target", weightCol="weight", regParam=RIDGE, standardization=False, solver="normal"
+        ).fit(drawn)
+        missed = F.sum(F.col("weight") * (F.col("target") - F.col("prediction")))
+        misses.append(
+            models[seed].transform(drawn).groupBy("corpus").agg((missed / (F.sum("weight") + OFFSET_ROWS)).alias("offset"))
+            .withColumn("teacher", F.lit(seed))
+        )
+    offsets = settle(reduce(DataFrame.unionByName, misses)) if source_offset else None
+    return Teachers(prepared, models, offsets)
 
 
 def _text_features(df: DataFrame) -> DataFrame:
@@ -161,15 +182,18 @@ def _text_features(df: DataFrame) -> DataFrame:
     )
 
 
-def predict_teachers(teachers: list, df: DataFrame) -> DataFrame:
+def predict_teachers(teachers: Teachers, df: DataFrame) -> DataFrame:
     """One long table ``(id, teacher, pred)`` from all teachers, with the features made once."""
-    prepared = teachers[0][1]
-    ready = prepared.transform(_text_features(df)).select("id", "features")
+    ready = teachers.prepared.transform(_text_features(df)).select("id", "corpus", "features")
     scored = reduce(
-        lambda d, t: t[2].setPredictionCol(f"p{t[0]}").transform(d), teachers, ready
+        lambda d, seed: teachers.models[seed].setPredictionCol(f"p{seed}").transform(d), teachers.models, ready
     )
     items = [
-        F.struct(F.lit(seed).alias("teacher"), F.col(f"p{seed}").alias("pred"))
-        for seed, _, _ in teachers
+        F.struct(F.lit(seed).alias("teacher"), F.col(f"p{seed}").alias("pred")) for seed in teachers.models
     ]
-    return scored.select("id", F.explode(F.array(*items)).alias("t")).select("id", "t.*")
+    long = scored.select("id", "corpus", F.explode(F.array(*items)).alias("t")).select("id", "corpus", "t.*")
+    if teachers.offsets is None:
+        return long.drop("corpus")
+    few = teachers.offsets.count() <= BROADCAST_IDS
+    moved = long.join(F.broadcast(teachers.offsets) if few else teachers.offsets, ["corpus", "teacher"], "left")
+    return moved.select("id", "teacher", (F.col("pred") + F.coalesce("offset", F.lit(0.0))).alias("pred"))

@@ -127,18 +127,23 @@ def validate(df: DataFrame, strict: bool = False) -> DataFrame:
     else:
         difficulty = as_number(F.col("harmonized_difficulty"))
         low, high = DIFFICULTY_BAND
-        counted = df.agg(
+        odd = F.when(~F.col("split").isin(*SPLITS), F.col("split"))
+        counted = df.groupBy(odd.alias("odd")).agg(
             F.count_if(F.col("id").isNull() | F.col("text").isNull()).alias("nulls"),
             F.count_if((difficulty < low) | (difficulty > high)).alias("outside"),
+            F.count(odd).alias("unknown"),
         )
+        stacked = F.array(
+            F.struct(*_issue("null_id_or_text", F.col("nulls"))),
+            F.struct(*_issue("difficulty_out_of_band", F.col("outside"))),
+            F.struct(*_issue("unknown_split", F.col("unknown"), F.col("odd"))),
+        )
+        found = counted.select(F.explode(stacked).alias("i")).groupBy("i.issue", "i.detail").agg(F.sum("i.n").alias("n"))
         repeated = df.groupBy("id").count().agg(F.sum(F.col("count") - 1).alias("n"))
-        splits = df.where(~F.col("split").isin(*SPLITS)).groupBy("split").count()
         issues = (
             repeated.select(*_issue("duplicate_id", F.coalesce("n", F.lit(0))))
-            .unionByName(counted.select(*_issue("null_id_or_text", F.col("nulls"))))
-            .unionByName(counted.select(*_issue("difficulty_out_of_band", F.col("outside"))))
+            .unionByName(found.select("issue", "n", "detail"))
             .where("n > 0")
-            .unionByName(splits.select(*_issue("unknown_split", F.col("count"), F.col("split"))))
         )
     if strict:
         found = issues.limit(20).collect()

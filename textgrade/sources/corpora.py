@@ -8,7 +8,7 @@ from textgrade.functions.numbers import as_number
 from textgrade.functions.text import strip, window_text
 from textgrade.operators.ranks import SPACING, running_totals
 from textgrade.schema import with_defaults
-from textgrade.sources.tables import read_csv
+from textgrade.sources.tables import number_rows, read_csv
 
 # Column names a wide corpus file may use, and the names used here.
 COLUMN_ALIASES = {"BT_easiness": "BT Easiness", "s.e.": "BT s.e.", "Categ": "Category"}
@@ -43,15 +43,8 @@ def read_wide_corpus(spark: SparkSession, path: str) -> DataFrame:
     return repair_columns(read_csv(spark, path))
 
 
-def wide_to_canonical(df: DataFrame, row_key: str | None = None, corpus: str = "clear") -> DataFrame:
-    """Wide labelled rows as canonical ones.
-
-    A row without a usable ID is named by ``row_key``. Without that column rows of a file get their
-    position in it; over several files the numbers are still unique, but no positions.
-    """
-    if row_key is None:
-        row_key = "_row"
-        df = df.withColumn(row_key, F.monotonically_increasing_id())
+def wide_to_canonical(df: DataFrame, row_key: str, corpus: str = "clear") -> DataFrame:
+    """Wide labelled rows as canonical ones; a row without a usable ID is named by ``row_key``."""
     number = as_number(F.col("ID"))
     name = F.when(number.isNotNull(), number.cast("long").cast("string")).otherwise(
         F.concat(F.lit("row"), F.col(row_key).cast("string"))
@@ -73,7 +66,9 @@ def wide_to_canonical(df: DataFrame, row_key: str | None = None, corpus: str = "
 
 
 def load_wide_corpus(spark: SparkSession, path: str, row_key: str | None = None) -> DataFrame:
-    return wide_to_canonical(read_wide_corpus(spark, path), row_key)
+    """The wide labelled corpus as canonical rows, named by their place in the file unless ``row_key`` is given."""
+    wide = read_wide_corpus(spark, path)
+    return wide_to_canonical(wide, row_key) if row_key else wide_to_canonical(number_rows(wide, "_row"), "_row")
 
 
 def decode_text(content: Column) -> Column:
@@ -84,7 +79,7 @@ def decode_text(content: Column) -> Column:
     )
 
 
-def _chunks(df: DataFrame, *keep: str) -> DataFrame:
+def excerpt_rows(df: DataFrame, *keep: str) -> DataFrame:
     """One row per excerpt of column ``text``: ``chunk`` is its number, ``text`` the excerpt."""
     windows = df.select(*keep, window_text("text").alias("_w"))
     return windows.select(*keep, F.posexplode_outer("_w").alias("chunk", "text")).where(
@@ -102,20 +97,27 @@ def load_level_tree(spark: SparkSession, root: str, corpus: str = "onestop") ->
         spark.read.format("binaryFile")
         .options(recursiveFileLookup=True, pathGlobFilter=names)
         .load(root)
-        .select("path", F.element_at(F.split("path", "/"), -1).alias("file"), "content")
         .where(F.col("path").contains(f"/{LEVEL_FOLDER}/"))
     )
     if not files.select("path").limit(1).count():
         raise FileNotFoundError(f"no {LEVEL_FOLDER}/**/{names} under {root}")
-    shape = r"^(.*)-([a-z]+)\.txt$"
-    once = files.groupBy("file").agg(F.min_by("content", "path").alias("content"))
+    return level_tree_to_canonical(files, corpus)
+
+
+def level_tree_to_canonical(files: DataFrame, corpus: str = "onestop") -> DataFrame:
+    """Files ``(path, content)`` of a level tree as labelled excerpts; files outside of it are skipped."""
+    shape = f"^(.*)-({'|'.join(FILE_LEVELS)})\\.txt$"
+    named = files.select("path", F.element_at(F.split("path", "/"), -1).alias("file"), "content").where(
+        F.col("path").contains(f"/{LEVEL_FOLDER}/") & F.col("file").rlike(shape)
+    )
+    once = named.groupBy("file").agg(F.min_by("content", "path").alias("content"))
     texts = once.select(
         F.regexp_extract("file", shape, 1).alias("article"),
         F.regexp_extract("file", shape, 2).alias("level"),
         decode_text(F.col("content")).alias("text"),
     )
     return with_defaults(
-        _chunks(texts, "article", "level").select(
+        excerpt_rows(texts, "article", "level").select(
             F.concat_ws(":", F.lit(corpus), "article", "level", "chunk").alias("id"),
             "text",
             F.lit(corpus).alias("corpus"),
@@ -135,7 +137,7 @@ def levelled_to_canonical(
     rows = df.select(F.col(row_key).alias("row"), level.alias("level"), F.col(text_col).alias("text"))
     known = rows.where(F.col("level").isin(*PROFICIENCY_LEVELS))
     return with_defaults(
-        _chunks(known, "row", "level").select(
+        excerpt_rows(known, "row", "level").select(
             F.concat_ws(":", F.lit(corpus), "level", "row", "chunk").alias("id"),
             "text",
             F.lit(corpus).alias("corpus"),
@@ -149,10 +151,10 @@ def levelled_to_canonical(
 
 def load_levelled_csv(spark: SparkSession, path: str) -> DataFrame:
     """The two-column CSV ``text,label``; rows are numbered in file order."""
-    raw = read_csv(spark, path).select("text", "label")
-    out = levelled_to_canonical(raw.withColumn("row", F.monotonically_increasing_id()), "row")
+    raw = number_rows(read_csv(spark, path), "row")
+    out = levelled_to_canonical(raw, "row")
     if not out.select("id").limit(1).count():
-        raise ValueError(f"no levelled rows in {path} (expected columns text,label)")
+        raise ValueError(f"{path} has no row with a known level in column label")
     return out
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from textgrade.schema import CANONICAL, canonical, coerce
 
@@ -23,6 +23,23 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None)
     return (reader.schema(schema) if schema is not None else reader).csv(path)
 
 
+def number_rows(df: DataFrame, name: str) -> DataFrame:
+    """Add text column ``name``: a row's place in its file, behind the file's name if there are several files.
+
+    For rows as read from unsplit files (``read_csv``). The place depends on the file alone, so other files may come
+    and go. A file is read whole by one task, where the running number of its rows has no gaps.
+    """
+    placed = df.withColumns(
+        {"_file": F.col("_metadata.file_path"), "_number": F.monotonically_increasing_id()}
+    )
+    first = placed.groupBy(F.col("_file").alias("_of")).agg(F.min("_number").alias("_first"))
+    several = first.count() > 1
+    at = (F.col("_number") - F.col("_first")).cast("string")
+    own = F.concat_ws("/", F.element_at(F.split("_file", "/"), -1), at) if several else at
+    joined = placed.join(first, F.col("_file") == F.col("_of")).withColumn(name, own)
+    return joined.drop("_file", "_number", "_of", "_first")
+
+
 def read_table(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
     """A canonical table: CSV where the path or ``fmt`` says so, else Parquet."""
     if fmt is None:

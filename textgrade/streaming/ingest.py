@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession, functions as F, types as T
 
 from textgrade.functions.text import text_key
 from textgrade.operators.quality import drop_repeats, keep_in_band
@@ -48,7 +49,10 @@ def ingest_pool(
 
     Windowing and filters need no state. Each batch is freed of repeats in itself and of texts the
     pool already holds, and lands in its own folder, so a repeated batch replaces its own rows.
+    A new checkpoint numbers its batches from 0 and would replace rows of a pool that has some: refused.
     """
+    if not _exists(spark.read.format("text"), f"{checkpoint}/offsets") and _exists(spark.read.format("parquet"), pool):
+        raise ValueError(f"{pool} holds rows already; go on with the checkpoint it was filled with")
     stream = (
         spark.readStream.schema(DOCUMENTS).option("maxFilesPerTrigger", max_files).parquet(documents)
     )
@@ -72,6 +76,14 @@ def ingest_pool(
     query.awaitTermination()
 
 
+def _exists(reader: DataFrameReader, path: str) -> bool:
+    """Does ``path`` hold anything the reader can read?"""
+    try:
+        return not reader.load(path).isEmpty()
+    except AnalysisException:
+        return False
+
+
 def _stored(spark: SparkSession, pool: str) -> DataFrame:
     return spark.read.schema(STORED).parquet(pool)
 
