@@ -139,7 +139,9 @@ def report(spark, sf_dir):
     return gate_report(_judged(spark, sf_dir))
 
 
-PSEUDO = f"""{sql.judged(DEDUP)}, {sql.axis('mean', 'kept')},
+# Without the copies that repeat a gold text.
+CLEAN_POOL = sql.judged(DEDUP).replace("vec_id % 40 = 0)", "vec_id % 40 = 0 AND vec_id % 80 <> 0)")
+PSEUDO = f"""{CLEAN_POOL}, {sql.axis('mean', 'kept')},
     edge AS (SELECT min(native_label) AS lo, max(native_label) AS hi FROM gold),
     pseudo AS (SELECT p.id, mean AS native_label, axis_value AS h, std,
       1 / (1 + std) / (1 + greatest(0, lo - mean, mean - hi) / (hi - lo)) AS conf FROM placed p, edge)"""
@@ -163,8 +165,11 @@ def pseudo_labels(spark, sf_dir):
 
 
 def _labelled(spark, sf_dir):
-    # Text repeats of gold stay in the pool here: the copies are for the vector gate.
-    pool = views.pool(spark, sf_dir).withColumn("text", F.concat("text", F.lit(" of pool")))
+    # Every other copy repeats a gold text, in capitals; the rest are for the vector gate.
+    repeats = F.col("id").startswith("copy:") & (F.split_part("id", F.lit(":"), F.lit(2)).cast("long") % 80 == 0)
+    pool = views.pool(spark, sf_dir).withColumn(
+        "text", F.when(repeats, F.upper("text")).otherwise(F.concat("text", F.lit(" of pool")))
+    )
     return pseudo_label_pool(
         views.gold(spark, sf_dir),
         pool,

@@ -362,7 +362,7 @@ def bracket(spark, sf_dir):
 
 BOOT = f"""{sql.SMALL}, rows_ AS (
       SELECT *, row_number() OVER (ORDER BY id) - 1 AS position, count(*) OVER () AS n FROM small WHERE p IS NOT NULL),
-    draws AS (SELECT rep, {sql.number("'42'", 'rep', 'position')} % n AS position FROM rows_, range(200) r(rep)),
+    draws AS (SELECT rep, {sql.number("'42'", 'rep', 'position')} % n AS position FROM rows_, range(1000) r(rep)),
     reps AS (SELECT rep, t, p FROM draws JOIN rows_ USING (position))"""
 
 
@@ -380,7 +380,7 @@ def _spearman(source: str, keys: str, pred: str = "p") -> str:
 )
 def boot_spearman(spark, sf_dir):
     rows = views.metric_small(spark, sf_dir)
-    return rounded(bootstrap_ci(rows, "id", "t", "p", "spearman", n_boot=200, mode="exact"))
+    return rounded(bootstrap_ci(rows, "id", "t", "p", "spearman", mode="exact"))
 
 
 @query(
@@ -403,17 +403,17 @@ def boot_rmse(spark, sf_dir):
     f"""WITH {sql.SMALL}, rows_ AS (
       SELECT *, t + ({sql.number("'9'", 'id')} / 4294967296.0::DOUBLE - 0.5) * 9000 AS q,
         row_number() OVER (ORDER BY id) - 1 AS position, count(*) OVER () AS n FROM small WHERE p IS NOT NULL),
-    draws AS (SELECT rep, {sql.number("'42'", 'rep', 'position')} % n AS position FROM rows_, range(200) r(rep)),
+    draws AS (SELECT rep, {sql.number("'42'", 'rep', 'position')} % n AS position FROM rows_, range(2000) r(rep)),
     reps AS (SELECT rep, t, p, q FROM draws JOIN rows_ USING (position)), whole AS (SELECT 1 AS g, t, p, q FROM rows_),
     d AS (SELECT a.value - b.value AS delta FROM {_spearman('reps', 'rep', 'q')} a JOIN {_spearman('reps', 'rep')} b USING (rep))
     SELECT (SELECT round(a.value - b.value, 6) FROM {_spearman('whole', 'g', 'q')} a, {_spearman('whole', 'g')} b) AS delta,
       round(quantile_cont(delta, 0.025), 6) AS ci_lo, round(quantile_cont(delta, 0.975), 6) AS ci_hi,
-      round(count(*) FILTER (WHERE delta <= 0) / 200.0, 6)::DOUBLE AS p_full_not_better, 'exact' AS mode FROM d""",
+      round(count(*) FILTER (WHERE delta <= 0) / 2000.0, 6)::DOUBLE AS p_full_not_better, 'exact' AS mode FROM d""",
 )
 def paired(spark, sf_dir):
     noise = (draw_number(9, "id") / F.lit(float(DRAW_RANGE)) - 0.5) * 9000
     rows = views.metric_small(spark, sf_dir).withColumn("q", F.col("t") + noise)
-    return rounded(paired_bootstrap_diff(rows, "id", "t", "q", "p", n_boot=200, mode="exact"))
+    return rounded(paired_bootstrap_diff(rows, "id", "t", "q", "p", mode="exact"))
 
 
 VARIANT_SCORES = f"""{sql.VARIANTS}, joined AS (SELECT variant, seed, t, pred AS p FROM vpreds JOIN held USING (id)),
@@ -453,20 +453,18 @@ def seeds(spark, sf_dir):
     rows_ AS (SELECT o.variant, t, f.pred AS a, o.pred AS b, row_number() OVER (PARTITION BY o.variant ORDER BY id) - 1 AS position,
         count(*) OVER (PARTITION BY o.variant) AS n
       FROM means o JOIN (SELECT id, pred FROM means WHERE variant = 'full') f USING (id) JOIN held USING (id) WHERE o.variant <> 'full'),
-    draws AS (SELECT variant, rep, {sql.number("'42'", 'rep', 'position')} % n AS position FROM rows_, range(100) r(rep)),
+    draws AS (SELECT variant, rep, {sql.number("'42'", 'rep', 'position')} % n AS position FROM rows_, range(2000) r(rep)),
     reps AS (SELECT variant, rep, t, a, b FROM draws JOIN rows_ USING (variant, position)),
     d AS (SELECT variant, x.value - y.value AS delta FROM {_spearman('reps', 'variant, rep', 'a')} x
       JOIN {_spearman('reps', 'variant, rep', 'b')} y USING (variant, rep)),
     pt AS (SELECT variant, x.value - y.value AS delta FROM {_spearman('rows_', 'variant', 'a')} x JOIN {_spearman('rows_', 'variant', 'b')} y USING (variant))
     SELECT variant, round(any_value(pt.delta), 6) AS delta, round(quantile_cont(d.delta, 0.025), 6) AS ci_lo, round(quantile_cont(d.delta, 0.975), 6) AS ci_hi,
-      round(count(*) FILTER (WHERE d.delta <= 0) / 100.0, 6)::DOUBLE AS p_full_not_better, 'exact' AS mode,
-      count(*) FILTER (WHERE d.delta <= 0) / 100.0 < 0.05 AS significant FROM d JOIN pt USING (variant) GROUP BY variant""",
+      round(count(*) FILTER (WHERE d.delta <= 0) / 2000.0, 6)::DOUBLE AS p_full_not_better, 'exact' AS mode,
+      count(*) FILTER (WHERE d.delta <= 0) / 2000.0 < 0.05 AS significant FROM d JOIN pt USING (variant) GROUP BY variant""",
 )
 def against_full(spark, sf_dir):
     return rounded(
-        compare_to_full(
-            views.holdout(spark, sf_dir), views.variant_preds(spark, sf_dir), n_boot=100, mode="exact"
-        )
+        compare_to_full(views.holdout(spark, sf_dir), views.variant_preds(spark, sf_dir), mode="exact")
     )
 
 
