@@ -23,7 +23,7 @@ from textgrade.llm.minmax import keep_one_of_each, near_duplicates, shared_count
 from textgrade.llm.mixing import mix_sources, mixed_documents
 from textgrade.llm.packing import Limits, pack_documents, plan_runs
 from textgrade.llm.tokenizers_ import default_path, ids_of
-from textgrade.llm.tokens import section_tokens
+from textgrade.llm.tokens import section_tokens, token_ends
 from textgrade.llm.topk import top_products
 from textgrade.llm.warc import archive_digest, new_archive, parse_archive, payload_of, read_archive, records_of, write_archive
 
@@ -518,6 +518,23 @@ def test_packing(spark, docs, awkward, nothing):
     assert pack_documents(nothing).collect() == []
 
 
+def test_ids_of_texts_with_long_runs(monkeypatch):
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(default_path())
+    for length in (1, 7):
+        monkeypatch.setattr("textgrade.llm.tokenizers_.LONG_RUN", length)
+        monkeypatch.setattr("textgrade.llm.tokenizers_._LONG_SPACE", re.compile(rf"[^\S\x1c-\x1f]{{{length},}}"))
+        draw = random.Random(length)
+        for _ in range(300):
+            text = "".join(draw.choice(["a", "'s", "9", "!", " " * 9, "\n" * 8, " \u00a0\t", "\x1c\x1f ", "\u3000", "é"]) for _ in range(12))
+            assert ids_of(text, default_path()).tolist() == own.encode(text, add_special_tokens=False).ids
+    monkeypatch.undo()
+    text = "a" + " " * 1_500_000 + "b" + "\n" * 1_500_000
+    assert len(token_ends(text, default_path())) == len(ids_of(text, default_path()))
+    assert token_ends(text, default_path())[-1] == len(text)
+
+
 def test_packing_with_other_limits(docs):
     limits = Limits(tokens=512, documents=3, cost=300_000, score="dot")
     found = pack_documents(docs, limits=limits).toPandas()

@@ -13,15 +13,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from textgrade.llm.tokenizers_ import default_path, encoder
+from textgrade.llm.tokenizers_ import default_path, encoder, ids_of
 
 RULES = ("start", "share")
 
 
 def token_ends(text: str, path: str) -> np.ndarray:
     """Where each token of the text ends, in bytes of its UTF-8."""
-    encode, widths = encoder(path)
-    return np.cumsum(widths[encode.encode_to_numpy(text)])
+    return np.cumsum(encoder(path)[-1][ids_of(text, path)])
 
 
 def attribute(data: np.ndarray, ends: np.ndarray, starts: np.ndarray, stops: np.ndarray, rule: str) -> tuple[np.ndarray, np.ndarray]:
