@@ -285,6 +285,23 @@ def test_archive_of_awkward_rows(spark):
     assert read_archive(spark, path).collect() == []
 
 
+def test_archive_of_long_rows_that_share_an_id_or_have_none(spark):
+    rows = [(None, "u", "a" * 3000), (None, "u", "b" * 3000), (None, "v", "b" * 3000), (7, "u", "c" * 3000), (7, "u", "d" * 4000)]
+    rows += [(7, "w", "d" * 4000), (8, "x", "d" * 4000), (9, "x", "e" * 3000), (9, "x", "e" * 3000)]
+    path = new_archive(spark)
+    write_archive(spark.createDataFrame(rows, "page_id long, url string, html string"), path, segment=500)
+    records = read_archive(spark, path).collect()
+    responses = sorted((r.url, bytes(r.payload).decode()) for r in records if r.kind == "response")
+    assert responses == sorted((u, h) for i, u, h in rows if i != 8)
+    assert {r.refers for r in records if r.kind == "revisit"} < {r.record_id for r in records if r.kind == "response"}
+    found = archive_digest(read_archive(spark, path)).collect()
+    order = lambda r: (r[0] or 0, *r[1:])
+    facts = [(r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in found]
+    assert sorted(facts, key=order) == sorted(
+        [(i, len(h), *(("revisit", 7) if i == 8 else ("response", None))) for i, _, h in rows], key=order
+    )
+
+
 def test_archive_errors():
     parts = records_of("<urn:row:31>", "u", b"y" * 2000, "D", None, 600, 100)
     assert len(list(parse_archive(b"".join(p + b"\r\n\r\n" for p in parts)))) == len(parts) > 3

@@ -116,29 +116,37 @@ def write_archive(
     """One record (and its continuations) per row, into the folder ``path``.
 
     Of rows whose payloads are equal and at least ``least_bytes`` long, that with the smallest id is a response, the
-    others revisits of it; shorter ones and rows without an id are responses. Ids name records and must be unique: of
-    rows that repeat an id each is written, and :func:`read_archive` returns each.
+    others revisits of it; shorter ones and rows without an id are responses. A record is named by its row's id, payload
+    digest and address, so that rows which repeat an id, or have none, do not mix their segments. Only rows equal in all
+    three share a name; each is written, and :func:`read_archive` returns each.
     """
     html = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
     source = pages.select(F.col(id_col).alias("row"), F.col(url_col).cast("string").alias("url"), html.alias("html"))
-    digests = settle(source.select("row", base32(F.sha1("html")).alias("digest"), F.octet_length("html").alias("bytes")))
+    mark = F.xxhash64("url")
+    digests = settle(
+        source.select("row", base32(F.sha1("html")).alias("digest"), F.octet_length("html").alias("bytes"), mark.alias("mark"))
+    )
     firsts = (
         digests.where(F.col("row").isNotNull() & (F.col("bytes") >= least_bytes))
         .groupBy("digest")
-        .agg(F.min("row").alias("first"), F.max("row").alias("last"))
-        .where("first < last")
+        .agg(F.min(F.struct("row", "mark")).alias("first"), F.max("row").alias("last"))
+        .where("first.row < last")
     )
-    repeats = digests.alias("d").join(firsts.alias("f"), "digest").where("row != first").select("row", "digest", "first").distinct()
+    repeats = digests.alias("d").join(firsts.alias("f"), "digest").where("row != first.row").select("row", "digest", "first").distinct()
     repeats = settle(repeats).select(F.col("row").alias("r"), F.col("digest").alias("rd"), "first")
     rows = source.withColumn("digest", base32(F.sha1("html")))
     rows = rows.join(broadcast_if_small(repeats), (F.col("row") == F.col("r")) & (F.col("digest") == F.col("rd")), "left")
-    name = lambda c: F.concat(F.lit("<urn:row:"), F.hex(F.encode(c.cast("string"), "UTF-8")), F.lit(">"))
+
+    def name(row: Column, mark: Column) -> Column:
+        own = F.coalesce(F.hex(F.encode(row.cast("string"), "UTF-8")), F.lit("-"))
+        return F.concat(F.lit("<urn:row:"), own, F.lit(":"), "digest", F.lit(":"), F.hex(mark), F.lit(">"))
+
     rows = rows.select(
-        F.coalesce(name(F.col("row")), F.lit("<urn:row:->")).alias("record_id"),
+        name(F.col("row"), mark).alias("record_id"),
         "url",
         F.when(F.col("first").isNull(), F.col("html")).alias("html"),
         "digest",
-        name(F.col("first")).alias("refers"),
+        F.when(F.col("first").isNotNull(), name(F.col("first.row"), F.col("first.mark"))).alias("refers"),
     )
     records = rows.mapInPandas(_writer(segment, chunk), "record binary")
     (
@@ -255,7 +263,7 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
 
     Continuations are grouped by their origin and only they are shuffled. A missing segment, a wrong total length and
     a wrong digest are errors. A revisit has an empty payload and the digest of what it refers to. Of segmented
-    records that share one id (repeated rows) one is returned for each complete set.
+    records that share one id (equal rows) one is returned for each complete set.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
     kind = "array<struct<segment:int,total:bigint,block:binary>>"
@@ -283,7 +291,7 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
 def archive_digest(records: DataFrame, id_type: str = "long") -> DataFrame:
     """Per record its row, the bytes and digest of its full payload, its type and the row it refers to."""
     row = lambda c: F.decode(F.unhex(F.regexp_extract(c, "<urn:row:([0-9A-F]*)", 1)), "UTF-8").cast(id_type)
-    named = F.col("record_id") != "<urn:row:->"
+    named = ~F.col("record_id").startswith("<urn:row:-")
     facts = settle(
         records.select(
             F.when(named, row(F.col("record_id"))).alias("page_id"),
