@@ -230,6 +230,19 @@ def test_main_text_of_a_page_without_article():
     assert main_text(article) == "\n".join(lines)
 
 
+def test_main_text_of_sibling_articles():
+    first = [f"Sentence {k} of the first part, which is long enough to be the centre of the page." for k in range(4)]
+    second = [f"Sentence {k} of the second part, not so long." for k in range(3)]
+    teasers = "".join(f"<li><a href=/{k}>More {k}</a></li>" for k in range(9))
+    parts = ["".join(f"<p>{x}</p>" for x in lines) for lines in (first, second)]
+    lead = "A lead that stands beside the articles and is of some length."
+    page = f"<body><main><h1>Title</h1><p>{lead}</p><article>{parts[0]}</article><article>{parts[1]}</article>"
+    page += f"<article><ul>{teasers}</ul></article></main></body>"
+    expected = "\n".join(["Title", lead, *first, *second])
+    assert main_text(page) == expected
+    assert main_text(page.replace("article>", "div>").replace("main>", "div>")) == expected
+
+
 @pytest.mark.parametrize("page", ["", "<", "<p", "<!--", "</p></div>", "<script>x", "<a b='", "<p>" * 3000 + "x", "<![CDATA[x", "<p>\x00é"])
 def test_main_text_bears_broken_pages(page):
     assert isinstance(main_text(page), str)

@@ -3,6 +3,7 @@
 Every element gets a density, its characters for each tag, adjusted by how much of both lies in links. Densities of the
 children of an element are summed, and the element with the greatest sum is the centre of the page. The least density
 on the way from there up to the body is the threshold that anything beside this way must reach to belong to the text.
+A centre within an article (or main part) is raised to it; other articles are taken as any element is, by the threshold.
 Elements that by name, role or class are menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or
 reader comments take no part.
 """
@@ -248,7 +249,11 @@ def _measure(root: Node, body: Node) -> None:
 
 
 def _wanted(body: Node) -> list[Node]:
-    """The parts of the page that are its text, in page order."""
+    """The parts of the page that are its text, in page order.
+
+    The centre is raised to the outermost article around it, or to the main part if there is none. What is beside the
+    way from there to the body is taken by the threshold, in tagged pages too.
+    """
     nodes = list(_elements(body))
     centre = max(nodes, key=lambda n: n.total)  # the first, thus the outermost, of equals
     path = [centre]
@@ -258,7 +263,8 @@ def _wanted(body: Node) -> list[Node]:
         n for n in path if n.tag == "main" or re.search(r"role\s*=\s*[\"']?main\b|articleBody", n.attributes)
     ]
     if articles:
-        return [articles[-1]]
+        centre = articles[-1]
+        path = path[path.index(centre) :]
     threshold = min(n.density for n in path)
     chosen: list[Node] = []
 
