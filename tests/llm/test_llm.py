@@ -230,6 +230,23 @@ def test_main_text_of_a_page_without_article():
     assert main_text(article) == "\n".join(lines)
 
 
+WRAPPERS = ["form", *(f"div class={c}" for c in ("right-sidebar", "layout-sidebar", "page-header-fixed", "long-form", "related-work"))]
+
+
+@pytest.mark.parametrize("wrapper", [*WRAPPERS, "div role=form"])
+def test_main_text_of_a_page_in_a_wrapper(wrapper):
+    lines = [f"Paragraph {k} of the page, with a good number of words in it." for k in range(4)]
+    text = "".join(f"<p>{x}</p>" for x in lines)
+    close = f"</{wrapper.split()[0]}>"
+    controls = "<button>Send</button><select><option>One</option></select><textarea>typed</textarea><div class=sidebar>Side</div>"
+    for inner in (text, f"<article>{text}</article>", f"<article class=long-form>{text}</article>", f"<{wrapper} id=sidebar>{text}{close}", f"<main>{text}</main>"):
+        page = f"<html><body><nav>Menu</nav><{wrapper}>{controls}{inner}{close}<div class=footer>Foot</div></body></html>"
+        assert main_text(page) == "\n".join(lines)
+    remark = "<div class=comment><p>A remark of a reader that is longer than all of the page, so long that it is not read.</p></div>"
+    page = f"<body><div>{text}</div><div class=comments>{remark * 9}</div><form><p>Field</p></form></body>"
+    assert main_text(page) == "\n".join(lines)
+
+
 def test_main_text_of_sibling_articles():
     first = [f"Sentence {k} of the first part, which is long enough to be the centre of the page." for k in range(4)]
     second = [f"Sentence {k} of the second part, not so long." for k in range(3)]

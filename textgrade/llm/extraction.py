@@ -5,7 +5,7 @@ children of an element are summed, and the element with the greatest sum is the
 on the way from there up to the body is the threshold that anything beside this way must reach to belong to the text.
 A centre within an article (or main part) is raised to it; other articles are taken as any element is, by the threshold.
 Elements that by name, role or class are menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or
-reader comments take no part.
+reader comments take no part, unless they are wrapped around the article itself.
 """
 
 from __future__ import annotations
@@ -172,7 +172,7 @@ def _elements(node: Node) -> Iterator[Node]:
 
 def _aside(node: Node, keeps: set[int]) -> bool:
     """Whether the element is not part of the article by its name, role, class or id."""
-    if node.tag in DROPPED:
+    if node.tag in DROPPED and not (node.tag == "form" and id(node) in keeps):
         return True
     if node.tag in ("html", "body", "main") or not node.attributes:
         return False
@@ -192,17 +192,43 @@ def _aside(node: Node, keeps: set[int]) -> bool:
     return False
 
 
+def _unlinked(nodes: list[Node], keeps: set[int]) -> dict[int, int]:
+    """Characters outside of links, and of what is no part of the article, of every element by its identity."""
+    chars: dict[int, int] = {}
+    for node in reversed(nodes):
+        n = 0
+        for part in node.parts:
+            if isinstance(part, str):
+                n += len("".join(part.split()))
+            elif part.tag != "a" and not (part.tag == "header" and id(part) not in keeps) and not _aside(part, keeps):
+                n += chars[id(part)]
+        chars[id(node)] = n
+    return chars
+
+
+def _wrappers(nodes: list[Node]) -> set[int]:
+    """The elements that hold the greater part of the page's unlinked characters, also when all that their forms, roles
+    and classes tell not to be the article is left out inside of them (reader comments have then nothing left)."""
+    everything = {id(n) for n in nodes}
+    gross = _unlinked(nodes, everything)
+    holds = {k for k, n in gross.items() if 2 * n > gross[id(nodes[0])]}
+    net = _unlinked(nodes, holds)
+    return {k for k in holds if 2 * net[k] > net[id(nodes[0])]}
+
+
 def _prune(root: Node) -> None:
-    """Take out what is not the article. An element that holds the article itself stays; of a header inside an article
-    the headings stay."""
+    """Take out what is not the article. A form, or an element with such a role, class or id, that holds the article or
+    main part stays without its controls; so does, on a page without these, one that holds the greater part of the
+    unlinked characters. Of a header inside an article the headings stay."""
     nodes = list(_elements(root))
     keeps: set[int] = set()
     for node in nodes:
-        if node.tag in ("article", "main"):
+        if node.tag in ("article", "main") and not _aside(node, set()):
             up = node.parent
             while up is not None and id(up) not in keeps:
                 keeps.add(id(up))
                 up = up.parent
+    keeps = keeps or _wrappers(nodes)
     inside = {id(root): False}
     for node in nodes[1:]:
         inside[id(node)] = inside[id(node.parent)] or node.parent.tag in ("article", "main")
