@@ -471,18 +471,28 @@ def spaced_chunks(spark, sf_dir):
     return rows.select("doc_id", F.col("chunk").cast("long").alias("chunk"), F.md5("text").alias("text_md5"))
 
 
-@query(
-    "w4_external_pool",
-    f"""WITH {sql.pool(30)} SELECT id, corpus, language, length_tokens, md5(text) AS text_md5,
-    'unlabeled' AS split, NULL::DOUBLE AS native_label FROM pool""",
-)
-def external_pool(spark, sf_dir):
-    pool = build_external_pool(views.free_text(spark, sf_dir), 30, "doc_id")
+def _pool_sql(limit: int | None) -> str:
+    return f"""WITH {sql.pool(limit)} SELECT id, corpus, language, length_tokens, md5(text) AS text_md5,
+    'unlabeled' AS split, NULL::DOUBLE AS native_label FROM pool"""
+
+
+def _pool(spark, sf_dir, limit: int | None):
+    pool = build_external_pool(views.free_text(spark, sf_dir), limit, "doc_id")
     return pool.select(
         "id", "corpus", "language", "length_tokens", F.md5("text").alias("text_md5"), "split", "native_label"
     )
 
 
+@query("w4_external_pool", _pool_sql(30))
+def external_pool(spark, sf_dir):
+    return _pool(spark, sf_dir, 30)
+
+
+@query("w4_external_pool_whole", _pool_sql(None))
+def external_pool_whole(spark, sf_dir):
+    return _pool(spark, sf_dir, None)
+
+
 @query("f1_difficulty_proxy", f"SELECT doc_id, round({sql.proxy('text')}, 6) AS proxy FROM documents")
 def proxies(spark, sf_dir):
     return views.documents(spark, sf_dir).select("doc_id", r6(difficulty_proxy("text")).alias("proxy"))

@@ -383,21 +383,28 @@ def boot_spearman(spark, sf_dir):
     return rounded(bootstrap_ci(rows, "id", "t", "p", "spearman", mode="exact"))
 
 
-@query(
-    "m13_bootstrap_rmse_poisson",
-    f"""WITH {sql.SMALL}, rows_ AS (SELECT * FROM small WHERE p IS NOT NULL),
-    u AS (SELECT rep, t, p, {sql.number("'42'", 'rep', 'id')} / 4294967296.0::DOUBLE AS u FROM rows_, range(200) r(rep)),
+def _rmse_poisson(reps: int) -> str:
+    return f"""WITH {sql.SMALL}, rows_ AS (SELECT * FROM small WHERE p IS NOT NULL),
+    u AS (SELECT rep, t, p, {sql.number("'42'", 'rep', 'id')} / 4294967296.0::DOUBLE AS u FROM rows_, range({reps}) r(rep)),
     w AS (SELECT rep, t, p, len(list_filter([0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462,
       0.9963401531726563, 0.9994058151824183, 0.999916758850712, 0.9999897508033253, 0.9999988747974020, 0.9999998885745217]::DOUBLE[], lambda x: x <= u)) AS w FROM u),
     s AS (SELECT rep, sqrt(sum(w * pow(t - p, 2)) / sum(w)) AS value FROM w GROUP BY rep)
     SELECT 'rmse' AS metric, (SELECT round(sqrt(avg(pow(t - p, 2))), 6) FROM rows_) AS point,
-      round(quantile_cont(value, 0.025), 6) AS ci_lo, round(quantile_cont(value, 0.975), 6) AS ci_hi, 'poisson' AS mode FROM s""",
-)
+      round(quantile_cont(value, 0.025), 6) AS ci_lo, round(quantile_cont(value, 0.975), 6) AS ci_hi, 'poisson' AS mode FROM s"""
+
+
+@query("m13_bootstrap_rmse_poisson", _rmse_poisson(200))
 def boot_rmse(spark, sf_dir):
     rows = views.metric_small(spark, sf_dir)
     return rounded(bootstrap_ci(rows, "id", "t", "p", "rmse", n_boot=200, mode="poisson"))
 
 
+@query("m13_bootstrap_rmse_poisson_default", _rmse_poisson(1000))
+def boot_rmse_default(spark, sf_dir):
+    rows = views.metric_small(spark, sf_dir)
+    return rounded(bootstrap_ci(rows, "id", "t", "p", "rmse", mode="poisson"))
+
+
 @query(
     "m14_paired_bootstrap",
     f"""WITH {sql.SMALL}, rows_ AS (

@@ -77,14 +77,17 @@ def chunk_documents(
 
 def build_external_pool(
     docs: DataFrame,
-    per_source_docs: int,
+    per_source_docs: int | None,
     order_col: str,
     min_tokens: int = POOL_MIN_TOKENS,
     max_tokens: int = POOL_MAX_TOKENS,
     max_chunks_per_doc: int = CHUNKS_PER_DOCUMENT,
     spacing: int = SPACING,
 ) -> DataFrame:
-    """Free text ``(source, domain, text, <order_col>)`` as a filtered pool of excerpts."""
+    """Free text ``(source, domain, text, <order_col>)`` as a filtered pool of excerpts.
+
+    Of every source the first ``per_source_docs`` documents (all, if None) are taken.
+    """
     fetched = fetch_texts(docs, per_source_docs, order_col, spacing=spacing)
     chunks = chunk_documents(fetched, min_tokens, max_tokens, max_chunks_per_doc)
     return filter_corpus(chunks, min_tokens, max_tokens)
