@@ -175,6 +175,22 @@ def test_language_on_held_out_rows(spark, docs, awkward, nothing):
     assert all(r.language is None for r in undeclared) and sum(r.kept for r in undeclared) == sum(r.kept for r in rows)
 
 
+def test_rare_languages_and_texts_in_none(spark):
+    draw = random.Random(3)
+    stock = {
+        "en": "the wood and night with some light over every hill where people walk slowly home".split(),
+        "nl": "het bos en de nacht met wat licht over elke heuvel waar mensen langzaam naar huis lopen".split(),
+    }
+    text = lambda n: " ".join(draw.choice(stock[n]) for _ in range(40))
+    rows = [(i, text("en"), "en", "s0") for i in range(5000)] + [(10000 + i, text("nl"), "nl", "s0") for i in range(22)]
+    rows += [(20000, "ꙮ" + "метсä юössä кулкее хилйайнен миес йока эи пуху койраллеен митääн" * 3, "en", "s0")]
+    found = identify_language(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
+    got = {r.doc_id: r for r in found.where("doc_id >= 10000").collect()}
+    assert all(r.language == "nl" and r.kept for i, r in got.items() if i < 20000)
+    assert not got[20000].kept and got[20000].confidence < 0.5
+    assert found.where("doc_id < 10000 and (not kept or language <> 'en')").count() == 0
+
+
 def test_language_evidence_beside_the_text(spark):
     sure = {"de": "der wald und die nacht " * 8, "en": "the wood and the night " * 8}
     rows = [(k, sure[n], n, f"http://h{k % 4}.site-{n}.{n}/p") for k in range(40) for n in ("de", "en")]

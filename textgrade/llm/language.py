@@ -19,12 +19,14 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from textgrade.llm.common import broadcast_if_small, same
 from textgrade.sources.settled import settle
 
-#: Rows for each declared language that the models are fitted on, and the least share of the declared rows that makes
-#: a declared value one of the languages (thus 200 of them at most).
-FIT_ROWS, LEAST_SHARE = 2000, 0.005
+#: Rows for each declared language that the models are fitted on, and what makes a declared value one of the languages:
+#: so many rows, whatever else the table holds, or (in small tables) such a share of the declared rows.
+FIT_ROWS, LEAST_ROWS, LEAST_SHARE = 2000, 20, 0.005
 BUCKETS = 1 << 14
 #: Letters that a prior counts as, weight of overlapping trigrams, and the posterior below which a text is rejected.
 STRENGTH, OVERLAP, THRESHOLD = 20.0, 1 / 3, 0.5
+#: How likely a text is in none of the languages before it is read.
+BACKGROUND = 0.01
 _STEP = 1 << 20
 
 
@@ -64,7 +66,9 @@ def _counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"declared": name, "bucket": used, "n": total[used]})
 
 
-def fit(rows: DataFrame, fit_rows: int = FIT_ROWS, least_share: float = LEAST_SHARE) -> tuple[list[str], np.ndarray]:
+def fit(
+    rows: DataFrame, fit_rows: int = FIT_ROWS, least_share: float = LEAST_SHARE, least_rows: int = LEAST_ROWS
+) -> tuple[list[str], np.ndarray]:
     """Languages and their log probabilities by bucket, from rows ``(doc_id, text, declared)``.
 
     At most ``fit_rows`` rows of each language are fitted, those with the smallest hashes of id and text.
@@ -72,7 +76,8 @@ def fit(rows: DataFrame, fit_rows: int = FIT_ROWS, least_share: float = LEAST_SH
     labelled = rows.where("declared is not null and text is not null")
     shares = labelled.groupBy("declared").count()
     whole = shares.agg(F.sum("count").alias("n")).first()["n"] or 0
-    names = sorted(r["declared"] for r in shares.where(F.col("count") >= least_share * whole).collect())
+    enough = (F.col("count") >= least_rows) | (F.col("count") >= least_share * whole)
+    names = sorted(r["declared"] for r in shares.where(enough).collect())
     if not names:
         return [], np.zeros((BUCKETS, 0))
     drawn = labelled.where(F.col("declared").isin(names)).withColumn("draw", F.xxhash64("doc_id", "text"))
@@ -83,8 +88,10 @@ def fit(rows: DataFrame, fit_rows: int = FIT_ROWS, least_share: float = LEAST_SH
     sample = drawn.join(F.broadcast(cuts), within, "left_semi").dropDuplicates(["declared", "draw"])
     counts = sample.select("declared", "text").mapInPandas(_counted, "declared string, bucket int, n long")
     table = np.full((BUCKETS, len(names)), 0.5)
-    for r in counts.groupBy("declared", "bucket").agg(F.sum("n").alias("n")).collect():
-        table[r["bucket"], names.index(r["declared"])] += r["n"]
+    place = {n: k for k, n in enumerate(names)}
+    found = counts.groupBy("declared", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    columns = [place[n] for n in found.column("declared").to_pylist()]
+    table[found.column("bucket").to_numpy(), np.array(columns, dtype=int)] += found.column("n").to_numpy()
     return names, np.log(table / table.sum(axis=0))
 
 
@@ -185,12 +192,16 @@ def identify_language(
     least_share: float = LEAST_SHARE,
     strength: float = STRENGTH,
     threshold: float = THRESHOLD,
+    least_rows: int = LEAST_ROWS,
+    background: float = BACKGROUND,
 ) -> DataFrame:
     """Per row: ``doc_id, language, confidence, text_language, declared, letters, kept``.
 
-    The address is a URL or a bare host name. Languages are the declared values frequent enough to be fitted. A row is
-    kept if its text has letters and the posterior of its language reaches ``threshold``; what is declared or where it
-    comes from never rejects a text by itself. Null or letterless texts have no text language; the other evidence
+    The address is a URL or a bare host name. Languages are the declared values with at least ``least_rows`` rows, or
+    ``least_share`` of the declared rows. The confidence is the posterior of the language among them, times the
+    probability that the text is in one of them at all and not from a background model, in which all trigrams are
+    equally likely. A row is kept if its text has letters and the confidence reaches ``threshold``; what is declared or
+    where it comes from never rejects a text by itself. Null or letterless texts have no text language; the other evidence
     still names one. Null declarations and addresses are no evidence. Without any declared row the language is null
     and every text with letters is kept. Repeated rows are each judged; an empty table gives an empty result; other
     columns are ignored.
@@ -206,7 +217,7 @@ def identify_language(
         domain.alias("domain"),
         suffix.alias("suffix"),
     )
-    names, table = fit(source.select("doc_id", "text", "declared"), fit_rows, least_share)
+    names, table = fit(source.select("doc_id", "text", "declared"), fit_rows, least_share, least_rows)
     kind = source.schema["doc_id"].dataType.simpleString()
     weights = docs.sparkSession.sparkContext.broadcast(table.astype(np.float32).astype(np.float64))
     scored = settle(
@@ -223,9 +234,10 @@ def identify_language(
     several = range(len(names))
     text = [F.col("scores")[k] * OVERLAP for k in several]
     own = _best(names, _posterior(text))
-    judged = scored.withColumn("own", own).withColumn(
-        "text_language", F.when((F.col("letters") > 0) & (F.col("own.p") >= 0.9), F.col("own.name"))
-    )
+    flat = F.col("letters") * float(-np.log(BUCKETS) * OVERLAP) + F.lit(float(np.log(background / (1 - background) * len(names))))
+    judged = scored.withColumn("own", own).withColumn("foreign", _posterior([*text, flat])[-1])
+    sure = (F.col("letters") > 0) & (F.col("own.p") >= 0.9) & (F.col("foreign") < 0.5)
+    judged = judged.withColumn("text_language", F.when(sure, F.col("own.name")))
     fused = judged
     evidence = [_priors(judged, names, strength), *[_likelihood(judged, c, names) for c in ("declared", "suffix")]]
     for name, values in zip(("host", "declared", "suffix"), evidence, strict=True):
@@ -233,15 +245,16 @@ def identify_language(
     logs = [
         sum((F.coalesce(F.col(f"{name}_{k}"), F.lit(0.0)) for name in ("host", "declared", "suffix")), text[k]) for k in several
     ]
-    fused = fused.withColumn("best", _best(names, _posterior(logs)))
+    confidence = F.col("best.p") * F.when(F.col("letters") > 0, 1 - F.col("foreign")).otherwise(1.0)
+    fused = fused.withColumn("best", _best(names, _posterior(logs))).withColumn("confidence", confidence)
     return fused.select(
         "doc_id",
         F.col("best.name").alias("language"),
-        F.col("best.p").alias("confidence"),
+        "confidence",
         F.when(F.col("letters") > 0, F.col("own.name")).alias("text_language"),
         "declared",
         "letters",
-        ((F.col("letters") > 0) & (F.col("best.p") >= threshold)).alias("kept"),
+        ((F.col("letters") > 0) & (F.col("confidence") >= threshold)).alias("kept"),
     )
 
 
