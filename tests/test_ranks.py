@@ -14,7 +14,7 @@ from textgrade.operators.ranks import (
     unique_rank,
 )
 
-WIDE, NARROW = 2**19, 7
+WIDE, NARROW = 2**19, 120
 
 
 @pytest.fixture(scope="module")
@@ -66,7 +66,7 @@ def test_harmonize_names_and_errors(spark):
         harmonize(df, "other")
 
 
-@pytest.mark.parametrize("spacing", [WIDE, NARROW, 1])
+@pytest.mark.parametrize("spacing", [WIDE, NARROW, 33])
 def test_unique_rank_and_totals(frame, rows, spacing):
     got = unique_rank(frame.select("id", "p"), ["p", "id"], spacing=spacing).toPandas()
     got = got.sort_values("rank")
@@ -132,3 +132,13 @@ def test_no_plan_puts_all_rows_on_one_task(frame):
     cut = unique_rank(frame.select("corpus", "p", "id"), ["p", "id"], ["corpus"], spacing=NARROW)
     plan = cut._jdf.queryExecution().executedPlan().toString()
     assert "_stretch" in plan and "SinglePartition" not in plan and "CartesianProduct" not in plan
+
+
+@pytest.mark.parametrize("n", [1000, 30000])
+def test_stretches_stay_level(spark, n):
+    """Ten times the keys make ten times the stretches, not longer ones."""
+    table = spark.range(n).select(F.lit("g").alias("grp"), F.expr("id * id").alias("v"), F.lit(1).alias("n"))
+    cut = running_totals(table, ["grp"], ["v"], ["n"], spacing=500)
+    assert cut.where("before_n <> cast(sqrt(v) as long) or all_n <> %d" % n).isEmpty()
+    part = table.repartitionByRange(n // 500, "grp", "v").groupBy(F.spark_partition_id()).count()
+    assert part.agg(F.max("count")).first()[0] <= 3 * 500

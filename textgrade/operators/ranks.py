@@ -1,83 +1,23 @@
 """Ranks, running totals and exact quantiles that hold when one group has most of the rows.
 
 A window partitioned by the group alone puts a whole group on one task. Here the ordered cells of
-all groups are cut at *marks*: keys picked by a hash of the key itself, so they depend on the data
-only and a repeated or lost task sees the same cuts. Each stretch between two marks is its own
-window partition, and a small table of stretch totals supplies what came before.
+all groups are range-partitioned into *stretches* and written once. Each stretch is its own window
+partition, and a small table of stretch totals supplies what came before.
 
-The marks (at most 4095 keys, whatever the data size) are read by one job when the plan is built.
-The hash filter reaches the scan, so that job moves next to nothing; where it finds no marks the
-data is small and one plain window does.
+The number of stretches follows from the number of cells, so a stretch stays as long as it is at
+any table size. The cells are written before they are cut: the sampling that Spark cuts by then
+reads a table, and a repeated or lost task sees the same stretches.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from textgrade.functions.numbers import as_number
 from textgrade.sources.settled import settle
 
-# One mark per this many cells on average, and never more than FAN ** 3 - 1 marks in all.
+# Cells in a stretch, on average.
 SPACING = 2**20
-FAN = 16
-
-
-# Both ways alike, so that keys of every type come back as they were.
-_JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
-
-
-def _marks(cells: DataFrame, keys: list[str], spacing: int) -> list[str]:
-    """The marks in order, as JSON written by Spark."""
-    digest = F.xxhash64(*keys)
-    return (
-        cells.where(F.pmod(digest, F.lit(spacing)) == 0)
-        .select(F.struct(*keys).alias("key"), digest.alias("digest"))
-        .orderBy("digest", "key")
-        .limit(FAN**3 - 1)
-        .agg(F.sort_array(F.collect_list("key")).alias("keys"))
-        .select(F.transform("keys", lambda k: F.to_json(k, _JSON)).alias("keys"))
-        .first()["keys"]
-    )
-
-
-def _let(value: Column, use) -> Column:
-    """Evaluate ``value`` once and hand it to ``use``."""
-    return F.get(F.transform(F.array(value), use), 0)
-
-
-def _stretch(keys: list[str], schema: T.StructType, marks: list[str]) -> Column:
-    """Number of marks at or below the key, found by walking a three-level search tree."""
-    size, wide = FAN * FAN, FAN * FAN * FAN
-
-    def listed(items: list[str]) -> str:
-        return f"[{','.join(items)}]"
-
-    top = listed(marks[size - 1 :: size][: FAN - 1])
-    middle = listed([listed(marks[i + FAN - 1 : i + size - 1 : FAN]) for i in range(0, wide, size)])
-    low = listed([listed(marks[i : i + FAN - 1]) for i in range(0, wide, FAN)])
-    tree = f'{{"top":{top},"middle":{middle},"low":{low}}}'
-    one = T.StructType([schema[k] for k in keys])
-    several = T.ArrayType(one)
-    shape = T.StructType(
-        [
-            T.StructField("top", several),
-            T.StructField("middle", T.ArrayType(several)),
-            T.StructField("low", T.ArrayType(several)),
-        ]
-    )
-    fixed = F.from_json(F.lit(tree), shape, _JSON)
-    key = F.struct(*keys)
-
-    def passed(nodes: Column) -> Column:
-        return F.size(F.filter(nodes, lambda m: m <= key))
-
-    return _let(
-        passed(fixed["top"]),
-        lambda a: _let(
-            a * FAN + passed(F.get(fixed["middle"], a)),
-            lambda b: b * FAN + passed(F.get(fixed["low"], b)),
-        ),
-    )
 
 
 def running_totals(
@@ -95,11 +35,14 @@ def running_totals(
     """
     summed = counters if with_all else []
     keys = [*group, *order]
-    marks = _marks(cells, keys, spacing) if spacing else []
+    stretches = 1
+    if spacing:
+        cells = settle(cells)
+        stretches = -(-cells.count() // spacing)
     lead_in = [F.col(g) for g in group] or [F.lit(0)]
     earlier = (Window.unboundedPreceding, -1)
     none = F.lit(0)
-    if not marks:
+    if stretches <= 1:
         inside = Window.partitionBy(*lead_in).orderBy(*order).rowsBetween(*earlier)
         whole = Window.partitionBy(*lead_in)
         return cells.select(
@@ -107,16 +50,16 @@ def running_totals(
             *[F.coalesce(F.sum(c).over(inside), none).alias(f"before_{c}") for c in counters],
             *[F.sum(c).over(whole).alias(f"all_{c}") for c in summed],
         )
-    placed = cells.withColumn("_stretch", _stretch(keys, cells.schema, marks))
+    placed = settle(cells.repartitionByRange(stretches, *keys).withColumn("_stretch", F.spark_partition_id()))
     part = ["_stretch", *group]
     inside = Window.partitionBy(*part).orderBy(*order).rowsBetween(*earlier)
     totals = placed.groupBy(*part).agg(*[F.sum(c).alias(f"_sum_{c}") for c in counters])
-    stretches = Window.partitionBy(*lead_in)
-    done = stretches.orderBy("_stretch").rowsBetween(*earlier)
+    of_group = Window.partitionBy(*lead_in)
+    done = of_group.orderBy("_stretch").rowsBetween(*earlier)
     offsets = totals.select(
         *part,
         *[F.coalesce(F.sum(f"_sum_{c}").over(done), none).alias(f"_off_{c}") for c in counters],
-        *[F.sum(f"_sum_{c}").over(stretches).alias(f"all_{c}") for c in summed],
+        *[F.sum(f"_sum_{c}").over(of_group).alias(f"all_{c}") for c in summed],
     )
     counted = placed.select(
         "*", *[F.coalesce(F.sum(c).over(inside), none).alias(f"_in_{c}") for c in counters]
@@ -284,7 +227,7 @@ def joint_ranks(
     ``cnt``, the counts and average ranks of either value, and the places used for counting pairs.
     Hot ties shrink to one cell before anything is shuffled by value. The cells are settled and the
     largest group is measured: where a group fits one task two windows do, else rank tables of the
-    distinct values, cut at marks.
+    distinct values, cut into stretches.
     """
     return measured_joint_ranks(df, group, target, pred, spacing)[0]
 
