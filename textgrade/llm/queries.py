@@ -9,11 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from textgrade.llm.common import table
 from textgrade.llm.curves import nearest_neighbours
 from textgrade.llm.extraction import extract_main_text
+from textgrade.llm.imatch import fingerprint_documents
 from textgrade.llm.language import identify_language
 from textgrade.llm.ledger import scan_secrets, span_digest
+from textgrade.llm.merkle import merkle_manifest, merkle_sql, without_line_breaks
 from textgrade.llm.minmax import near_duplicates
 from textgrade.llm.mixing import MIX_SQL, mix_sources
 from textgrade.llm.packing import pack_documents
+from textgrade.llm.periodic import periodic_runs
 from textgrade.llm.tokens import section_tokens
 from textgrade.llm.topk import TOP_SQL, top_products
 from textgrade.llm.warc import archive_digest, new_archive, read_archive, write_archive
@@ -62,6 +65,19 @@ def op10_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = merkle_manifest(table(spark, sf_dir, "documents"), changed=without_line_breaks())
+    return manifest.drop("proof")
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs(table(spark, sf_dir, "documents"), plant=True).drop("runs", "collapsed")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     q.__name__: q
     for q in (
@@ -75,6 +91,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_curve_neighbours,
         op9_pareto_mix,
         op10_vector_packing,
+        op11_imatch_fingerprints,
+        op12_merkle_manifest,
+        op13_periodic_runs,
     )
 }
 
@@ -126,4 +145,5 @@ ORACLES: dict[str, str] = {
     "op6_secret_ledger": SECRET_SQL,
     "op7_top_products": TOP_SQL,
     "op9_pareto_mix": MIX_SQL.format(docs="documents"),
+    "op12_merkle_manifest": merkle_sql(),
 }
