@@ -81,6 +81,40 @@ def test_nearest_gold_does_not_depend_on_blocks(spark):
     assert tuple(missing_inputs(pool, preds, pool).first()) == (0, 1)
 
 
+def test_repeated_and_null_ids_keep_a_row_each(spark):
+    """Pool ids 1, 1, 2 and null: a row each, whatever the blocks; null and repeated gold ids take part."""
+    kind = "id long, embedding array<double>"
+    pool = spark.createDataFrame([(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 1.0]), (None, [-1.0, 0.0]), (None, [1.0, 0.1])], kind)
+    gold = spark.createDataFrame([(7, [1.0, 0.0]), (7, [0.0, 1.0]), (7, [0.0, 1.0]), (8, [-1.0, 0.1]), (None, [1.0, 1.0])], kind)
+    whole = rows_of(nearest_gold(pool, gold))
+    assert len(whole) == 5 and sum("neighbour=7, distance=0.0)" in r for r in whole) == 2
+    for size in (16, 32, 48):
+        assert rows_of(nearest_gold(pool, gold, block_bytes=size)) == whole
+    plan = nearest_gold(pool, gold, block_bytes=16)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInPandas" in plan and "CartesianProduct" not in plan
+
+
+@pytest.mark.parametrize("limit", [None, 1, 2, 9])
+def test_documents_of_repeated_keys_and_null_sources(spark, limit):
+    rows = [("s", 1, "a"), ("s", 1, "b"), (None, 1, "c"), (None, None, "d"), ("s", 2, ""), ("s", 3, None), ("s", 4, "e"), ("s", 4, "e")]
+    table = spark.createDataFrame(rows, "source string, n int, text string")
+    got = fetch_texts(table, limit, "n").collect()
+    most = limit or 99
+    assert [r.text for r in sorted((r for r in got if r.source is None), key=lambda r: r.doc_index)] == ["d", "c"][:most]
+    mine = sorted((r.doc_index, r.n) for r in got if r.source == "s")
+    assert mine == [(0, 1), (1, 1), (2, 4), (3, 4)][: {1: 1, 2: 2}.get(limit, 4)]
+    assert sorted(r.text for r in got if r.source == "s" and r.n == 1) == ["a", "b"] or limit == 1
+    cut = rows_of(fetch_texts(table, limit, "n", spacing=2))
+    assert cut == rows_of(fetch_texts(table, limit, "n"))
+
+
+def test_a_limit_moves_no_texts_of_other_rows(spark):
+    """Keys are put in order without texts; the rows meet one key a source."""
+    table = spark.range(1000).select((F.col("id") % 3).cast("string").alias("source"), "id", F.lit("long text").alias("text"))
+    plan = fetch_texts(table, 5, "id")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("WindowGroupLimit") >= 2 and fetch_texts(table, 5, "id").count() == 15
+
+
 def test_repeated_predictions_are_refused(spark):
     preds = [("v", 1, "a", 1.0), ("v", 2, "a", 3.0), ("v", 1, "b", None)]
     kind = "variant string, seed int, id string, pred double"

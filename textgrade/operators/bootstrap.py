@@ -35,14 +35,12 @@ POISSON_STEPS = (
 )
 
 
-def poisson_count(number: Column) -> Column:
-    """Poisson(1) count for a uniform draw number, which is evaluated once."""
-    steps = [F.lit(step) for step in POISSON_STEPS]
-
-    def count(u: Column) -> Column:
-        return sum((F.when(u >= s, 1).otherwise(0) for s in steps[1:]), F.when(u >= steps[0], 1).otherwise(0))
-
-    return F.get(F.transform(F.array(number / F.lit(DRAW_RANGE)), count), 0)
+def poisson_count(u: Column) -> Column:
+    """Poisson(1) count for a uniform draw in [0, 1), the likeliest counts first."""
+    count = F.when(u < POISSON_STEPS[0], 0)
+    for k, step in enumerate(POISSON_STEPS[1:], 1):
+        count = count.when(u < step, k)
+    return count.otherwise(len(POISSON_STEPS))
 
 
 def _positions(df: DataFrame, group: list[str], row_id: str, values: list[str], spacing: int):
@@ -61,7 +59,8 @@ def resample(
     reps = F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("rep")
     if mode == "poisson":
         drawn = rows.select(*group, *values, "row_id", reps)
-        drawn = drawn.withColumn("cnt", poisson_count(draw_number(seed, "rep", "row_id")))
+        drawn = drawn.withColumn("_u", draw_number(seed, "rep", "row_id") / F.lit(DRAW_RANGE))
+        drawn = drawn.withColumn("cnt", poisson_count(F.col("_u")))
         return drawn.where("cnt > 0").select(*group, "rep", *values, F.col("cnt").cast("long"))
     draws = rows.select(*group, "position", "rows", reps).select(
         *group,

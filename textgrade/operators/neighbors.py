@@ -12,8 +12,8 @@ from textgrade.functions.numbers import as_number, clip
 from textgrade.operators.ranks import SPACING, adjacent_knots, running_totals
 from textgrade.sources.settled import settle
 
-# Bytes of reference vectors that tasks hold at a time.
-BLOCK_BYTES = 256 * 2**20
+# Bytes of vectors in a block: of gold that is broadcast, or of either side that a task holds at a time.
+BLOCK_BYTES = 64 * 2**20
 # Reference rows compared with one task's batch at a time.
 BLOCK_ROWS = 4096
 # Distances are compared at this many decimals, so that equal vectors tie in every layout.
@@ -42,9 +42,19 @@ def _closest(rows: np.ndarray, ids: np.ndarray, gold: np.ndarray) -> tuple[np.nd
     return np.maximum(best, 0.0), ids[who]
 
 
-def _search(pool: DataFrame, gold: pd.DataFrame, schema: str) -> DataFrame:
-    """The nearest row of one block of gold for every pool row; written, so that the block can be let go."""
-    shared = pool.sparkSession.sparkContext.broadcast((gold["neighbour"].to_numpy(), _unit(gold["vector"])))
+def _matches(rows: pd.DataFrame, gold: pd.DataFrame) -> pd.DataFrame:
+    """The nearest of some gold rows for each of some pool rows."""
+    gold = gold.sort_values("neighbour", na_position="first")
+    distance, neighbour = _closest(_unit(rows["vector"]), gold["neighbour"].to_numpy(), _unit(gold["vector"]))
+    return pd.DataFrame({"row": rows["row"], "id": rows["id"], "neighbour": neighbour, "distance": distance})
+
+
+def _search_one_block(rows: DataFrame, refs: DataFrame, schema: str) -> DataFrame:
+    """Gold that was measured to fit one block goes to every task."""
+    held = refs.toPandas().sort_values("neighbour", na_position="first")
+    if not len(held):
+        return rows.sparkSession.createDataFrame([], schema)
+    shared = rows.sparkSession.sparkContext.broadcast((held["neighbour"].to_numpy(), _unit(held["vector"])))
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, matrix = shared.value
@@ -53,9 +63,33 @@ def _search(pool: DataFrame, gold: pd.DataFrame, schema: str) -> DataFrame:
                 distance, neighbour = _closest(_unit(batch["vector"]), ids, matrix)
                 yield pd.DataFrame({"id": batch["id"], "neighbour": neighbour, "distance": distance})
 
-    found = settle(pool.mapInPandas(search, schema))
-    shared.destroy()
-    return found
+    return rows.mapInPandas(search, schema)
+
+
+def _search_blocks(rows: DataFrame, refs: DataFrame, blocks: int, block_bytes: int, schema: str) -> DataFrame:
+    """Every block of the pool meets every block of gold in a cogroup; the least of a row's matches is kept."""
+    numbered = settle(rows.withColumn("row", F.monotonically_increasing_id()))
+    cost = numbered.agg(F.sum(F.size("vector") * 8)).first()[0] or 0
+    parts = max(1, -(-cost // block_bytes))
+    left = numbered.withColumns(
+        {"part": F.pmod(F.xxhash64("row"), F.lit(parts)), "block": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))}
+    )
+    right = refs.withColumns(
+        {
+            "block": F.pmod(F.xxhash64("neighbour", "vector"), F.lit(blocks)).cast("int"),
+            "part": F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))),
+        }
+    )
+
+    def match(pool: pd.DataFrame, gold: pd.DataFrame) -> pd.DataFrame:
+        if len(pool) and len(gold):
+            return _matches(pool, gold)
+        return pd.DataFrame({"row": [], "id": [], "neighbour": [], "distance": []})
+
+    by = ["part", "block"]
+    found = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(match, f"row long, {schema}")
+    best = F.min(F.struct("distance", "neighbour")).alias("best")
+    return found.groupBy("row").agg(F.first("id").alias("id"), best).select("id", "best.neighbour", "best.distance")
 
 
 def nearest_gold(
@@ -67,9 +101,10 @@ def nearest_gold(
 ) -> DataFrame:
     """``(id, neighbour, distance)``: the closest gold row of every pool row by cosine distance.
 
-    Ties go to the smaller gold id; a zero vector is at distance 1 from everything. Null vectors count as missing:
-    such rows have no neighbour and are none. Gold goes to the tasks in blocks of bounded size, one after the other;
-    vectors of the pool are never shuffled, and the answer does not depend on the size of the blocks.
+    Ties go to the smaller gold id, null first; a zero vector is at distance 1 from everything. Null vectors count as missing:
+    such rows have no neighbour and are none. Every other pool row gives one row, whether its id is null or repeated or not.
+    Gold that is measured to fit one block is broadcast, and vectors of the pool stay where they are; beyond that blocks of
+    both meet in a shuffle. The answer does not depend on the size of the blocks.
     """
     rows = pool.where(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector_col).alias("vector"))
     refs = gold.where(F.col(vector_col).isNotNull()).select(
@@ -79,19 +114,10 @@ def nearest_gold(
     schema = f"id {types[0][id_col]}, neighbour {types[1][id_col]}, distance double"
     cost = refs.agg(F.coalesce(F.sum(F.size("vector") * 8), F.lit(0))).first()[0]
     blocks = max(1, -(-cost // block_bytes))
-    number = F.pmod(F.xxhash64("neighbour"), F.lit(blocks))
-    found = None
-    for k in range(blocks):
-        held = refs.where(number == k).orderBy("neighbour").toPandas()
-        if len(held):
-            part = _search(rows, held, schema)
-            found = part if found is None else found.unionByName(part)
-    if found is None:
-        return pool.sparkSession.createDataFrame([], schema)
     if blocks == 1:
-        return found
-    best = F.min(F.struct("distance", "neighbour")).alias("best")
-    return found.groupBy("id").agg(best).select("id", "best.neighbour", "best.distance")
+        return _search_one_block(rows, refs, schema)
+    # copies of a gold row can only tie with it
+    return _search_blocks(rows, refs.distinct(), blocks, block_bytes, schema)
 
 
 def _end_slopes(first, second, last, before) -> tuple[float, float]:

@@ -12,7 +12,7 @@ from pyspark.ml.functions import predict_batch_udf
 from pyspark.ml.regression import LinearRegression, LinearRegressionModel
 from pyspark.sql import DataFrame, functions as F
 
-from textgrade.functions.draws import draw_number
+from textgrade.functions.draws import DRAW_RANGE, draw_number
 from textgrade.functions.numbers import as_number, clip
 from textgrade.functions.text import BLANKS, difficulty_proxy
 from textgrade.operators.bootstrap import poisson_count
@@ -162,7 +162,8 @@ def fit_teachers(
     ready = settle(prepared.transform(rows).select("id", "corpus", "features", "target"), spread_by="id")
     models, misses = {}, []
     for seed in range(first_seed, first_seed + n_teachers):
-        drawn = ready.withColumn("weight", poisson_count(draw_number(seed, "id")).cast("double")).where("weight > 0")
+        uniform = ready.withColumn("_u", draw_number(seed, "id") / F.lit(DRAW_RANGE))
+        drawn = uniform.withColumn("weight", poisson_count(F.col("_u")).cast("double")).where("weight > 0").drop("_u")
         models[seed] = LinearRegression(
             labelCol="target", weightCol="weight", regParam=RIDGE, standardization=False, solver="normal"
         ).fit(drawn)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from textgrade.functions.numbers import as_number
 from textgrade.functions.text import strip, window_text
@@ -158,6 +158,26 @@ def load_levelled_csv(spark: SparkSession, path: str) -> DataFrame:
     return out
 
 
+#: Rows with texts in a stretch when all documents of a source are numbered.
+TEXT_ROWS = 2**14
+
+
+def _until(df: DataFrame, limit: int, source_col: str) -> DataFrame:
+    """Rows up to the ``limit``-th key ``(_order, _tie)`` of their source; more only where that key repeats.
+
+    Keys alone are put in order, first in salted parts of a source, of which at most ``limit`` each go on. What comes
+    back to the rows is one key a source.
+    """
+    parts = df.sparkSession.sparkContext.defaultParallelism
+    keys = df.select(F.col(source_col).alias("_of"), "_order", "_tie", F.pmod("_tie", F.lit(parts)).alias("_salt"))
+    for by in (["_of", "_salt"], ["_of"]):
+        place = F.row_number().over(Window.partitionBy(*by).orderBy("_order", "_tie"))
+        keys = keys.withColumn("_place", place).where(F.col("_place") <= limit)
+    last = keys.groupBy("_of").agg(F.max(F.struct("_order", "_tie")).alias("_last"))
+    met = df.join(last, F.col(source_col).eqNullSafe(F.col("_of")))
+    return met.where(F.struct("_order", "_tie") <= F.col("_last")).drop("_of", "_last")
+
+
 def fetch_texts(
     df: DataFrame,
     limit: int | None,
@@ -168,16 +188,19 @@ def fetch_texts(
 ) -> DataFrame:
     """The first ``limit`` documents (all, if None) of every source by ``order_col``, then without empty texts.
 
-    The limit counts empty documents. ``doc_index`` numbers the kept ones from 0 in each source.
-    Counting is done on a narrow table; texts are only joined to the chosen keys.
+    The limit counts empty documents. ``doc_index`` numbers the kept ones from 0 in each source. Rows of one source with the same
+    ``order_col`` are told apart by a hash of the whole row; equal rows are documents of their own, and a null source
+    is a source. With a limit only the rows within it are moved, else every row once.
     """
     filled = F.coalesce(F.length(text_col) > 0, F.lit(False)).cast("long")
-    narrow = df.select(source_col, order_col, filled.alias("filled"), F.lit(1).alias("seen"))
+    keyed = df.withColumns({"_order": F.col(order_col), "_tie": F.xxhash64(*df.columns)})
+    if limit is not None:
+        keyed = _until(keyed, limit, source_col)
+        spacing = None
     counted = running_totals(
-        narrow, [source_col], [order_col], ["seen", "filled"], spacing, with_all=False
+        keyed.withColumns({"seen": F.lit(1), "filled": filled}),
+        [source_col], ["_order", "_tie"], ["seen", "filled"], spacing and min(spacing, TEXT_ROWS), with_all=False,
     )
     within = F.lit(True) if limit is None else F.col("before_seen") < limit
-    chosen = counted.where(within & (F.col("filled") == 1)).select(
-        source_col, order_col, F.col("before_filled").cast("long").alias("doc_index")
-    )
-    return df.join(chosen, [source_col, order_col])
+    chosen = counted.where(within & (F.col("filled") == 1))
+    return chosen.select(*df.columns, F.col("before_filled").cast("long").alias("doc_index"))
