@@ -1,6 +1,7 @@
 """Fingerprints, manifests and periodic runs against brute force, SQL and awkward rows."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -10,7 +11,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from textgrade.llm import imatch, merkle, periodic, queries
+from textgrade.llm import extraction, imatch, merkle, periodic, queries
+from textgrade.llm.extraction import main_text, parse
 from textgrade.llm.imatch import Lexicon, fingerprint_documents, lexicon_of, likeness
 from textgrade.llm.merkle import merkle_manifest, merkle_sql, without_line_breaks
 from textgrade.llm.periodic import fragments, periodic_runs, planted, stitched, tiles_of, z_function
@@ -349,3 +351,98 @@ def test_queries_return_the_contract_columns(spark):
     }
     for query, columns in kinds.items():
         assert query(spark, SF).columns == columns.split()
+
+
+# ---- Main text
+
+
+PARAGRAPH = "Der Wald liegt hinter dem Dorf und reicht bis an den See, an dem im Sommer die Boote liegen. " * 3
+
+
+@pytest.mark.parametrize(
+    "part, text",
+    [
+        ('<h2 id="related-work">Verwandtes</h2>', "Verwandtes"),
+        ('<h2 id="comment-syntax">Kommentare im Text</h2>', "Kommentare im Text"),
+        ('<p id="market-share">Anteil am Markt</p>', "Anteil am Markt"),
+        ('<p class="share">Geteilt</p>', "Geteilt"),
+        (f'<section id="search"><h2>Suche</h2><p>{PARAGRAPH}</p></section>', "Suche\n" + PARAGRAPH.strip()),
+        ('<div class="post-header"><h1>Ein Titel</h1></div>', "Ein Titel"),
+        ('<div class="header"><h1>Ein Titel</h1><span>Menü</span></div>', "Ein Titel"),
+        ('<header><h1>Ein Titel</h1><span>Menü</span></header>', "Ein Titel"),
+        ('<div class="related-work">Was andere fanden.</div>', "Was andere fanden."),
+        ('<div id="comments"><h2>Kommentare</h2><p>Schön!</p></div>', None),
+        ('<div class="comment-list"><p>Schön!</p></div>', None),
+        ('<article class="comment"><p>Schön!</p></article>', None),
+        ('<div class="ad">Kauft jetzt.</div>', None),
+        ('<div class="cookie-banner top">Wir nutzen Kekse.</div>', None),
+        ('<ul class="share-buttons"><li>Teilen</li></ul>', None),
+        ('<form class="x"><p>Name</p><input></form>', None),
+    ],
+)
+def test_parts_of_an_article(part, text):
+    page = f"<body><nav><a href=x>Menü</a></nav><article><p>{PARAGRAPH}</p>{part}<p>{PARAGRAPH}</p></article><footer>Ende</footer></body>"
+    want = [PARAGRAPH.strip(), *([text] if text else []), PARAGRAPH.strip()]
+    assert main_text(page) == "\n".join(want)
+
+
+def density(node, body_share):
+    """Link-adjusted characters for each tag, recomputed from the tree."""
+    chars = len("".join("".join(flat(node)).split()))
+    below = [n for n in elements(node) if n is not node]
+    links = [n for n in elements(node) if n.tag == "a" and not any(a.tag == "a" for a in above(n, node))]
+    linked = sum(len("".join("".join(flat(n)).split())) for n in links)
+    tags, link_tags = max(len(below), 1), max(sum(n.tag == "a" for n in below), 1)
+    if not chars:
+        return 0.0
+    base = math.log(chars / max(chars - linked, 1) * linked + body_share * chars + math.e) + 1
+    return chars / tags * math.log(max(chars / max(linked, 1) * tags / link_tags, 1)) / math.log(base)
+
+
+def flat(node):
+    return [x for p in node.parts for x in ([p] if isinstance(p, str) else flat(p))]
+
+
+def elements(node):
+    return [node, *[n for p in node.parts if not isinstance(p, str) for n in elements(p)]]
+
+
+def above(node, top):
+    out = []
+    while node is not top:
+        node = node.parent
+        out.append(node)
+    return out
+
+
+def test_densities_and_threshold_by_themselves():
+    """A page of divs: the kept blocks are those that reach the least density between the densest element and the body."""
+    draw = random.Random(8)
+    for _ in range(30):
+        blocks = []
+        for k in range(draw.randrange(2, 7)):
+            words = [f"w{k}{i}" for i in range(draw.randrange(1, 60))]
+            linked = draw.randrange(len(words) + 1)
+            links = "".join(f"<a href=x>{w}</a> " for w in words[:linked])
+            blocks.append(f"<div><p>{links}{' '.join(words[linked:])}</p></div>")
+        page = f"<body><div>{''.join(blocks)}</div><div>{draw.choice(blocks)}</div></body>"
+        root = parse(page)
+        body = next(n for n in elements(root) if n.tag == "body")
+        whole = "".join("".join(flat(body)).split())
+        share = sum(len("".join(flat(n))) for n in elements(body) if n.tag == "a") / max(len(whole), 1)
+        own = {id(n): density(n, share) for n in elements(body)}
+        inner = {id(n): [own[id(p)] for p in n.parts if not isinstance(p, str)] for n in elements(body)}
+        total = {n: sum(c) if c else own[n] for n, c in inner.items()}
+        extraction._measure(root, body)
+        for n in elements(body):
+            assert math.isclose(n.density, own[id(n)], abs_tol=1e-9) and math.isclose(n.total, total[id(n)], abs_tol=1e-9)
+        centre = max(elements(body), key=lambda n: total[id(n)])
+        least = min(own[id(n)] for n in [centre, *above(centre, body)])
+        way = {id(n) for n in [centre, *above(centre, body)]}
+
+        def taken(node):
+            if node is centre or (id(node) not in way and own[id(node)] >= least and "".join(flat(node)).strip()):
+                return [" ".join("".join(flat(n)).split()) for n in elements(node) if n.tag == "p"]
+            return [x for p in node.parts for x in taken(p)] if id(node) in way else []
+
+        assert main_text(page) == "\n".join(x for x in taken(body) if x)

@@ -4,8 +4,10 @@ Every element gets a density, its characters for each tag, adjusted by how much
 children of an element are summed, and the element with the greatest sum is the centre of the page. The least density
 on the way from there up to the body is the threshold that anything beside this way must reach to belong to the text.
 A centre within an article (or main part) is raised to it; other articles are taken as any element is, by the threshold.
-Elements that by name, role or class are menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or
-reader comments take no part, unless they are wrapped around the article itself.
+Elements that by tag or role, or by a class or id that is just their name, are menus, headers, footers, sidebars, notices,
+adverts, forms, scripts, styles or reader comments take no part, unless they are wrapped around the article itself. A class
+or id that only contains such a word halves the density and leaves the decision to the threshold. Headings
+and paragraphs are judged by neither, nor is what lies in an article by an id that can be its heading's.
 """
 
 from __future__ import annotations
@@ -51,7 +53,21 @@ ASIDE = set(
     " signup login comment comments disqus reply replies respond share sharing social related recommended"
     " recommendations widget widgets pagination pager toolbar form search skip".split()
 )
+# Words that say where or how such a part is placed; others ("related-work", "post-header") say that it is something else.
+PLACES = set(
+    "area author back bar block body bottom box btn button buttons center col column container content count date entry"
+    " fixed global group holder inner item items large left link links list main meta mobile outer page panel posts"
+    " primary right row secondary section site small sticky text thread title top wrap wrapper".split()
+)
+# Of the above, what goes from inside an article too by an id; other ids there are names of its sections.
+INNER = set(
+    "ad ads advert adverts advertisement advertisements adsbygoogle sponsor sponsored sponsors promo promos cookie"
+    " cookies consent gdpr newsletter subscribe subscription popup modal overlay comment comments disqus reply replies"
+    " respond".split()
+)
 NEGATIONS = set("has with no without".split())
+#: What a class or id that only contains such a word leaves of an element's density.
+DOUBT = 0.5
 
 _TAG = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*))")
 _QUOTE_OR_END = re.compile(r"[>\"']")
@@ -72,6 +88,8 @@ class Node:
     tags: int = 0
     link_chars: int = 0
     link_tags: int = 0
+    #: Whether it lies in an article or main part.
+    inside: bool = False
 
 
 def _end_of_tag(html: str, at: int, quotes: bool) -> tuple[int, bool]:
@@ -170,8 +188,27 @@ def _elements(node: Node) -> Iterator[Node]:
         stack += [p for p in reversed(node.parts) if isinstance(p, Node)]
 
 
+def _words(node: Node) -> Iterator[tuple[str, set[str]]]:
+    """For each name in the class and id of an element the attribute and the words in it, if one is of ``ASIDE``."""
+    for name, *values in _ATTRIBUTE.findall(node.attributes):
+        if name.lower() in ("class", "id"):
+            for one in unescape(next((v for v in values if v), "")).split():
+                words = {w.lower() for w in _WORD.findall(one)}
+                if words & ASIDE and not words & NEGATIONS:
+                    yield name.lower(), words
+
+
+def _named_aside(node: Node) -> bool:
+    """Whether class or id are just the name of what is not the article. Headings and paragraphs are never judged by these,
+    and the id of an element in an article, or of a section, is mostly that of its heading."""
+    if node.tag in HEADINGS or node.tag == "p":
+        return False
+    anchor = node.tag == "section" or node.inside
+    return any(words <= ASIDE | PLACES and (name == "class" or not anchor or words & INNER) for name, words in _words(node))
+
+
 def _aside(node: Node, keeps: set[int]) -> bool:
-    """Whether the element is not part of the article by its name, role, class or id."""
+    """Whether the element is not part of the article by its tag, role, or class and id."""
     if node.tag in DROPPED and not (node.tag == "form" and id(node) in keeps):
         return True
     if node.tag in ("html", "body", "main") or not node.attributes:
@@ -184,12 +221,12 @@ def _aside(node: Node, keeps: set[int]) -> bool:
             return True
         if name == "style" and re.search(r"display\s*:\s*none", value, re.I):
             return True
-        if name in ("class", "id") and id(node) not in keeps:
-            for one in unescape(value).split():
-                words = {w.lower() for w in _WORD.findall(one)}
-                if words & ASIDE and not words & NEGATIONS:
-                    return True
-    return False
+    return id(node) not in keeps and _named_aside(node)
+
+
+def _header(node: Node) -> bool:
+    """Whether the element is a header by its tag or class, whose headings stay in an article."""
+    return node.tag == "header" or (node.tag not in HEADINGS and any("header" in words for _, words in _words(node)) and _named_aside(node))
 
 
 def _unlinked(nodes: list[Node], keeps: set[int]) -> dict[int, int]:
@@ -200,7 +237,7 @@ def _unlinked(nodes: list[Node], keeps: set[int]) -> dict[int, int]:
         for part in node.parts:
             if isinstance(part, str):
                 n += len("".join(part.split()))
-            elif part.tag != "a" and not (part.tag == "header" and id(part) not in keeps) and not _aside(part, keeps):
+            elif part.tag != "a" and not (_header(part) and id(part) not in keeps) and not _aside(part, keeps):
                 n += chars[id(part)]
         chars[id(node)] = n
     return chars
@@ -221,6 +258,8 @@ def _prune(root: Node) -> None:
     main part stays without its controls; so does, on a page without these, one that holds the greater part of the
     unlinked characters. Of a header inside an article the headings stay."""
     nodes = list(_elements(root))
+    for node in nodes[1:]:
+        node.inside = node.parent.inside or node.parent.tag in ("article", "main")
     keeps: set[int] = set()
     for node in nodes:
         if node.tag in ("article", "main") and not _aside(node, set()):
@@ -229,16 +268,13 @@ def _prune(root: Node) -> None:
                 keeps.add(id(up))
                 up = up.parent
     keeps = keeps or _wrappers(nodes)
-    inside = {id(root): False}
-    for node in nodes[1:]:
-        inside[id(node)] = inside[id(node.parent)] or node.parent.tag in ("article", "main")
     for node in nodes:
         kept = []
         for part in node.parts:
             if isinstance(part, str):
                 kept.append(part)
-            elif part.tag == "header" and id(part) not in keeps:
-                if inside[id(part)] or node.tag in ("article", "main"):
+            elif _header(part) and id(part) not in keeps:
+                if part.inside or node.tag in ("article", "main"):
                     kept += [n for n in _elements(part) if n.tag in HEADINGS and not _aside(n, keeps)]
             elif not _aside(part, keeps):
                 kept.append(part)
@@ -270,6 +306,8 @@ def _measure(root: Node, body: Node) -> None:
             base = math.log(node.chars / plain * node.link_chars + share * node.chars + math.e) + 1
             links = node.chars / max(node.link_chars, 1) * tags / max(node.link_tags, 1)
             node.density = node.chars / tags * math.log(max(links, 1)) / math.log(base)
+            if node.tag not in HEADINGS and next(_words(node), None):
+                node.density *= DOUBT
         children = [p for p in node.parts if isinstance(p, Node)]
         node.total = sum(p.density for p in children) if children else node.density
 
