@@ -1,5 +1,6 @@
 """Fingerprints, manifests and periodic runs against brute force, SQL and awkward rows."""
 
+import collections
 import hashlib
 import math
 import random
@@ -11,9 +12,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from textgrade.llm import extraction, imatch, merkle, periodic, queries
+from textgrade.llm import extraction, imatch, language, merkle, periodic, queries
 from textgrade.llm.extraction import main_text, parse
 from textgrade.llm.imatch import Lexicon, fingerprint_documents, lexicon_of, likeness
+from textgrade.llm.language import identify_language
 from textgrade.llm.merkle import merkle_manifest, merkle_sql, without_line_breaks
 from textgrade.llm.periodic import fragments, periodic_runs, planted, stitched, tiles_of, z_function
 
@@ -446,3 +448,112 @@ def test_densities_and_threshold_by_themselves():
             return [x for p in node.parts for x in taken(p)] if id(node) in way else []
 
         assert main_text(page) == "\n".join(x for x in taken(body) if x)
+
+
+# ---- Language identification
+
+
+def posteriors(rows):
+    """All of the posterior again, from the table: models, background, host priors, declarations and suffixes."""
+
+    def grams(text):
+        return [b for part in language.trigrams(text or "") for b in part.tolist()]
+
+    names = sorted({r[2] for r in rows if r[2] is not None and r[1] is not None})
+    model = {n: collections.Counter(g for r in rows if r[2] == n for g in grams(r[1])) for n in names}
+    size = language.BUCKETS
+    total = {n: sum(c.values()) + 0.5 * size for n, c in model.items()}
+
+    def text_logs(text):
+        return {n: sum(math.log((model[n][g] + 0.5) / total[n]) for g in grams(text)) / 3 for n in names}
+
+    def weigh(logs):
+        most = max(logs.values())
+        mass = {n: math.exp(v - most) for n, v in logs.items()}
+        return {n: v / sum(mass.values()) for n, v in mass.items()}
+
+    def host(url):
+        name = re.sub(r"^https?://([^/]*).*", r"\1", url).lower()
+        labels = name.split(".")
+        return (name, ".".join(labels[-2:]), labels[-1]) if len(labels) > 1 else (name, name, None)
+
+    seen, own = [], []
+    for _, text, declared, url in rows:
+        logs = text_logs(text)
+        p, n = weigh(logs), len(grams(text))
+        flat = -n * math.log(size) / 3 + math.log(0.01 / 0.99 * len(names))
+        foreign = weigh({**logs, None: flat})[None]
+        best = max(names, key=lambda x: p[x])
+        sure = best if n and p[best] >= 0.9 and foreign < 0.5 else None
+        own.append((logs, n, foreign))
+        seen.append((*(host(url) if url else (None,) * 3), declared, sure))
+    count = lambda place, value: collections.Counter(s[4] for s in seen if s[place] == value and s[4] is not None)
+    everywhere = collections.Counter(s[4] for s in seen if s[0] is not None and s[4] is not None)
+    base = {n: (everywhere[n] + 1) / (sum(everywhere.values()) + len(names)) for n in names}
+    out = []
+    for (logs, n, foreign), s in zip(own, seen, strict=True):
+        logs = dict(logs)
+        if s[0] is not None:
+            here, around = count(0, s[0]), count(1, s[1])
+            for k in names:
+                wide = (around[k] + 20 * base[k]) / (sum(around.values()) + 20)
+                logs[k] += math.log((here[k] + 20 * wide) / (sum(here.values()) + 20))
+        for place in (3, 2):
+            if s[place] is not None:
+                values = len({x[place] for x in seen if x[place] is not None})
+                for k in names:
+                    in_k = sum(1 for x in seen if x[place] is not None and x[4] == k)
+                    logs[k] += math.log((count(place, s[place])[k] + 1) / (in_k + values))
+        p = weigh(logs)
+        best = max(names, key=lambda x: p[x])
+        out.append((best, p[best] * (1 - foreign if n else 1.0)))
+    return out
+
+
+STOCK = {
+    "en": "the wood and night with some light over every hill where people walk slowly home".split(),
+    "nl": "het bos en de nacht met wat licht over elke heuvel waar mensen langzaam naar huis lopen".split(),
+    "sv": "skogen och natten med lite ljus över varje kulle där folk går långsamt hem".split(),
+}
+TABLE = "doc_id long, text string, lang string, source string"
+
+
+def speak(draw, name, n):
+    return " ".join(draw.choice(STOCK[name]) for _ in range(n))
+
+
+def test_posterior_recomputed(spark):
+    draw = random.Random(6)
+    rows = [(i, speak(draw, n, draw.randrange(1, 12)), n if i % 3 else None, f"http://w{i % 4}.a-{n}.{n}/x" if i % 5 else None) for i, n in enumerate(draw.choices(list(STOCK), k=80))]
+    rows += [(100, "xq", None, "http://new.a-sv.sv/"), (101, "xq zz", "nl", None), (102, "", "en", "w1.a-en.en"), (103, None, None, None), (104, "the och", "sv", "plain")]
+    found = {r.doc_id: r for r in identify_language(spark.createDataFrame(rows, TABLE)).collect()}
+    for row, (name, p) in zip(rows, posteriors(rows), strict=True):
+        got = found[row[0]]
+        assert (got.language == name or abs(p - 1 / 3) < 0.2) and math.isclose(got.confidence, p, rel_tol=1e-3, abs_tol=1e-6)
+
+
+@pytest.mark.parametrize("others", [1000, 3000])
+def test_a_rare_language_stays_at_every_size(spark, others):
+    draw = random.Random(7)
+    rows = [(i, speak(draw, "en", 40), "en", "s0") for i in range(others)] + [(10000 + i, speak(draw, "nl", 40), "NL-be", "s0") for i in range(12)]
+    found = identify_language(spark.createDataFrame(rows, TABLE))
+    assert [(r.language, r.kept) for r in found.where("doc_id >= 10000").collect()] == [("nl", True)] * 12
+
+
+def test_many_declared_values(spark):
+    draw = random.Random(3)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = {k: ["".join(draw.choices(letters, k=draw.randrange(3, 9))) for _ in range(12)] for k in range(500)}
+    rows = [(2 * k + j, " ".join(draw.choices(words[k], k=40)), f"l{k}", "h") for k in words for j in range(2)]
+    table = spark.createDataFrame(rows, TABLE)
+    found = identify_language(table).collect()
+    assert len(found) == 1000 and all(r.language == r.declared and r.kept for r in found)
+    few = identify_language(table, languages=3).collect()
+    assert len({r.language for r in few}) <= 3 and len(few) == 1000
+
+
+def test_evidence_of_pages(spark):
+    """Addresses and markup act: a page without letters gets its host's language."""
+    found = queries.pages_language_id(spark, SF).toPandas()
+    assert len(found) == spark.read.parquet(f"{SF}/pages.parquet").count() and found["declared"].notna().all()
+    assert (found["language"] == found["declared"]).mean() > 0.95 and found["kept"].all()

@@ -19,14 +19,17 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from textgrade.llm.common import broadcast_if_small, same
 from textgrade.sources.settled import settle
 
-#: Rows for each declared language that the models are fitted on, and what makes a declared value one of the languages:
-#: so many rows, whatever else the table holds, or (in small tables) such a share of the declared rows.
-FIT_ROWS, LEAST_ROWS, LEAST_SHARE = 2000, 20, 0.005
+#: Rows for each declared language that the models are fitted on. Every declared value is a language, the most common
+#: ones if there are more than LANGUAGES; so the models have at most 64 MB.
+FIT_ROWS, LANGUAGES = 2000, 1024
 BUCKETS = 1 << 14
 #: Letters that a prior counts as, weight of overlapping trigrams, and the posterior below which a text is rejected.
 STRENGTH, OVERLAP, THRESHOLD = 20.0, 1 / 3, 0.5
 #: How likely a text is in none of the languages before it is read.
 BACKGROUND = 0.01
+#: A language whose text is less likely by so many nats than the best one's is out: what is declared, suffix and host
+#: together cannot make up for it in a table of less than 10^15 rows.
+MARGIN = 200.0
 _STEP = 1 << 20
 
 
@@ -66,56 +69,73 @@ def _counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"declared": name, "bucket": used, "n": total[used]})
 
 
-def fit(
-    rows: DataFrame, fit_rows: int = FIT_ROWS, least_share: float = LEAST_SHARE, least_rows: int = LEAST_ROWS
-) -> tuple[list[str], np.ndarray]:
+def fit(rows: DataFrame, fit_rows: int = FIT_ROWS, languages: int = LANGUAGES) -> tuple[list[str], np.ndarray]:
     """Languages and their log probabilities by bucket, from rows ``(doc_id, text, declared)``.
 
     At most ``fit_rows`` rows of each language are fitted, those with the smallest hashes of id and text.
     """
     labelled = rows.where("declared is not null and text is not null")
-    shares = labelled.groupBy("declared").count()
-    whole = shares.agg(F.sum("count").alias("n")).first()["n"] or 0
-    enough = (F.col("count") >= least_rows) | (F.col("count") >= least_share * whole)
-    names = sorted(r["declared"] for r in shares.where(enough).collect())
+    shares = labelled.groupBy(F.col("declared").alias("of")).agg(F.count(F.lit(1)).alias("rows"))
+    shares = settle(shares.orderBy(F.desc("rows"), "of").limit(languages))
+    names = sorted(r["of"] for r in shares.select("of").collect())
     if not names:
         return [], np.zeros((BUCKETS, 0))
-    drawn = labelled.where(F.col("declared").isin(names)).withColumn("draw", F.xxhash64("doc_id", "text"))
+    drawn = labelled.withColumn("draw", F.xxhash64("doc_id", "text")).join(F.broadcast(shares), F.col("declared") == F.col("of"))
+    # hashes are uniform: of a common language only the lowest part of their range is put in order
+    low = drawn.where(F.col("draw") / 2.0**64 + 0.5 <= (2 * fit_rows + 100) / F.col("rows"))
     order = Window.partitionBy("declared").orderBy("draw")
-    first = drawn.select("declared", "draw").distinct().withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= fit_rows)
-    cuts = settle(first.groupBy(F.col("declared").alias("of")).agg(F.max("draw").alias("cut")))
-    within = (F.col("declared") == F.col("of")) & (F.col("draw") <= F.col("cut"))
-    sample = drawn.join(F.broadcast(cuts), within, "left_semi").dropDuplicates(["declared", "draw"])
+    first = low.select("declared", "draw").distinct().withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= fit_rows)
+    cuts = settle(first.groupBy(F.col("declared").alias("_of")).agg(F.max("draw").alias("cut")))
+    within = (F.col("declared") == F.col("_of")) & (F.col("draw") <= F.col("cut"))
+    sample = low.join(F.broadcast(cuts), within, "left_semi").dropDuplicates(["declared", "draw"])
     counts = sample.select("declared", "text").mapInPandas(_counted, "declared string, bucket int, n long")
-    table = np.full((BUCKETS, len(names)), 0.5)
+    table = np.full((BUCKETS, len(names)), 0.5, dtype=np.float32)
     place = {n: k for k, n in enumerate(names)}
     found = counts.groupBy("declared", "bucket").agg(F.sum("n").alias("n")).toArrow()
     columns = [place[n] for n in found.column("declared").to_pylist()]
     table[found.column("bucket").to_numpy(), np.array(columns, dtype=int)] += found.column("n").to_numpy()
-    return names, np.log(table / table.sum(axis=0))
+    table /= table.sum(axis=0, dtype=np.float64).astype(np.float32)
+    return names, np.log(table, out=table)
 
 
-def _scored(weights):
+_SCORED = "declared string, host string, domain string, suffix string, letters long, own int, sure boolean, foreign double, ks array<int>, logs array<double>"
+
+
+def _scored(weights, background: float):
+    """Adds what the text says: the likeliest language, whether that is sure, how likely it is none, and the logarithms of those in reach."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = weights.value
+        several = table.shape[1]
         for batch in batches:
-            letters, scores = [], []
+            rows = {name: [] for name in ("letters", "own", "sure", "foreign", "ks", "logs")}
             for text in batch.column("text"):
-                total, n = np.zeros(table.shape[1]), 0
+                total, n = np.zeros(several), 0
                 for part in trigrams(text.as_py() or ""):
-                    total += table[part].sum(axis=0)
+                    buckets, times = np.unique(part, return_counts=True)
+                    total += times @ table[buckets].astype(np.float64)
                     n += len(part)
-                letters.append(n)
-                scores.append(total)
-            flat = np.concatenate(scores) if scores else np.zeros(0)
-            ends = np.arange(len(scores) + 1, dtype=np.int32) * table.shape[1]
+                total *= OVERLAP
+                own, foreign, p = None, None, 0.0
+                if several:
+                    own = int(total.argmax())
+                    odds = np.exp(total - total[own])
+                    p = 1 / odds.sum()
+                    flat = -n * np.log(BUCKETS) * OVERLAP + np.log(background / (1 - background) * several)
+                    most = max(flat, total[own])
+                    none = np.exp(flat - most)
+                    foreign = none / (none + np.exp(total - most).sum())
+                near = np.flatnonzero(total >= total.max() - MARGIN) if several else []
+                rows["letters"].append(n)
+                rows["own"].append(own)
+                rows["sure"].append(bool(n and p >= 0.9 and foreign < 0.5))
+                rows["foreign"].append(foreign)
+                rows["ks"].append(near)
+                rows["logs"].append(total[near] if several else [])
+            kinds = {"letters": pa.int64(), "own": pa.int32(), "sure": pa.bool_(), "foreign": pa.float64(), "ks": pa.list_(pa.int32()), "logs": pa.list_(pa.float64())}
+            given = ["doc_id", "declared", "host", "domain", "suffix"]
             yield pa.RecordBatch.from_arrays(
-                [
-                    *[batch.column(c) for c in ("doc_id", "declared", "host", "domain", "suffix")],
-                    pa.array(letters, pa.int64()),
-                    pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
-                ],
-                names=["doc_id", "declared", "host", "domain", "suffix", "letters", "scores"],
+                [*[batch.column(c) for c in given], *[pa.array(rows[c], kind) for c, kind in kinds.items()]], names=[*given, *kinds]
             )
 
     return run
@@ -130,56 +150,89 @@ def host_parts(url: Column) -> tuple[Column, Column, Column]:
     return host, domain, F.when(dotted, F.element_at(labels, -1))
 
 
-def _posterior(columns: list[Column]) -> list[Column]:
-    """Probabilities from logarithms."""
-    most = F.greatest(*columns) if len(columns) > 1 else columns[0]
-    parts = [F.exp(c - most) for c in columns]
-    total = sum(parts[1:], parts[0])
-    return [p / total for p in parts]
-
-
-def _best(names: list[str], posterior: list[Column]) -> Column:
-    """The likeliest language and its probability; the first in order of equals."""
-    ranked = [F.struct(p.alias("p"), F.lit(-k).alias("k"), F.lit(n).alias("name")) for k, (n, p) in enumerate(zip(names, posterior, strict=True))]
-    return F.greatest(*ranked) if len(ranked) > 1 else ranked[0]
-
-
-def _likelihood(rows: DataFrame, key: str, names: list[str]) -> DataFrame:
-    """``k`` and, for each language, the smoothed log probability that its rows have this value of ``key``."""
-    counts = [F.count_if(F.col("text_language") == n).alias(f"n{k}") for k, n in enumerate(names)]
-    table = settle(rows.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg(*counts))
-    totals = table.agg(F.count("*").alias("values"), *[F.sum(f"n{k}").alias(f"n{k}") for k in range(len(names))]).first()
-    values = totals["values"] or 1
-    return table.select(
-        F.col("k").alias(f"{key}_k"),
-        *[
-            F.log((F.col(f"n{k}") + 1.0) / F.lit(float((totals[f"n{k}"] or 0) + values))).alias(f"{key}_{k}")
-            for k in range(len(names))
-        ],
-    )
+_COUNTS = "array<struct<k:int,n:bigint>>"
 
 
-def _priors(rows: DataFrame, names: list[str], strength: float) -> DataFrame:
-    """``host_k`` and the log prior of every language there: counts smoothed by the domain's, and those by all rows'."""
-    counts = [F.count_if(F.col("text_language") == n).alias(f"n{k}") for k, n in enumerate(names)]
-    hosts = settle(rows.where("host is not null").groupBy("host", "domain").agg(*counts))
-    several = range(len(names))
-    domains = hosts.groupBy("domain").agg(*[F.sum(f"n{k}").alias(f"d{k}") for k in several])
-    whole = hosts.agg(*[F.sum(f"n{k}").alias(f"n{k}") for k in several]).first()
-    everything = sum((whole[f"n{k}"] or 0) + 1 for k in several)
-    base = [((whole[f"n{k}"] or 0) + 1) / everything for k in several]
-    in_domain = sum((F.col(f"d{k}") for k in several), F.lit(0))
-    domains = settle(
-        domains.select(
-            F.col("domain").alias("of"),
-            *[((F.col(f"d{k}") + strength * base[k]) / (in_domain + strength)).alias(f"p{k}") for k in several],
-        )
-    )
-    in_host = sum((F.col(f"n{k}") for k in several), F.lit(0))
-    return hosts.join(broadcast_if_small(domains), same(F.col("domain"), F.col("of"))).select(
-        F.col("host").alias("host_k"),
-        *[F.log((F.col(f"n{k}") + strength * F.col(f"p{k}")) / (in_host + strength)).alias(f"host_{k}") for k in several],
-    )
+def _counts(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys`` and ``counts``: of every value how many rows are surely in which language, without the languages of none."""
+    k = F.when(F.col("sure"), F.col("own")).alias("k")
+    by_language = rows.where(F.col(keys[0]).isNotNull()).groupBy(*keys, k).agg(F.count(F.lit(1)).alias("n"))
+    one = F.when(F.col("k").isNotNull(), F.struct("k", "n"))
+    return by_language.groupBy(*keys).agg(F.collect_list(one).cast(_COUNTS).alias("counts"))
+
+
+def _totals(table: DataFrame, several: int) -> tuple[np.ndarray, int]:
+    """Rows of each language over all values, and the number of values."""
+    totals = np.zeros(several)
+    for r in table.select(F.explode("counts").alias("c")).groupBy("c.k").agg(F.sum("c.n").alias("n")).collect():
+        totals[r["k"]] = r["n"]
+    return totals, table.count()
+
+
+def _dense(counts: list[dict] | None, several: int) -> np.ndarray:
+    out = np.zeros(several)
+    for c in counts or ():
+        out[c["k"]] = c["n"]
+    return out
+
+
+def host_log_prior(host: np.ndarray, domain: np.ndarray, everywhere: np.ndarray, strength: float) -> np.ndarray:
+    """Log prior of the languages on a host: its counts smoothed by its domain's, and those by all hosts'."""
+    base = (everywhere + 1) / (everywhere + 1).sum()
+    of_domain = (domain + strength * base) / (domain.sum() + strength)
+    return np.log((host + strength * of_domain) / (host.sum() + strength))
+
+
+def log_likelihood(value: np.ndarray, totals: np.ndarray, values: int) -> np.ndarray:
+    """Log probability of a declaration or suffix in each language, one row added to each of its values."""
+    return np.log((value + 1) / (totals + max(values, 1)))
+
+
+_FUSED = "language string, confidence double, text_language string, declared string, letters long, kept boolean"
+
+
+def _fused(facts):
+    """The posterior of the languages in reach from all evidence; evidence is worked out once for each value in a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, everywhere, declared, suffix, strength, threshold = facts.value
+        several = len(names)
+        for batch in batches:
+            column = {name: batch.column(name) for name in batch.schema.names}
+            keys = {c: column[c].to_pylist() for c in ("host", "declared", "suffix")}
+            known: dict[str, dict] = {c: {None: np.zeros(several)} for c in keys}
+
+            def evidence(kind: str, row: int) -> np.ndarray:
+                key = keys[kind][row]
+                if key not in known[kind]:
+                    own = _dense(column[f"{kind}_counts"][row].as_py(), several)
+                    if kind == "host":
+                        wider = _dense(column["domain_counts"][row].as_py(), several)
+                        known[kind][key] = host_log_prior(own, wider, everywhere, strength)
+                    else:
+                        known[kind][key] = log_likelihood(own, *(declared if kind == "declared" else suffix))
+                return known[kind][key]
+
+            out = {c: [] for c in ("language", "confidence", "text_language", "kept")}
+            letters = column["letters"].to_pylist()
+            for row, (n, own, foreign) in enumerate(zip(letters, column["own"].to_pylist(), column["foreign"].to_pylist(), strict=True)):
+                ks = column["ks"][row].values.to_numpy()
+                logs = column["logs"][row].values.to_numpy() + sum(evidence(c, row)[ks] for c in keys)
+                best = int(logs.argmax())
+                p = float(1 / np.exp(logs - logs[best]).sum()) * (1 - foreign if n else 1.0)
+                out["language"].append(names[ks[best]])
+                out["confidence"].append(p)
+                out["text_language"].append(names[own] if n else None)
+                out["kept"].append(bool(n and p >= threshold))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    column["doc_id"], pa.array(out["language"], pa.string()), pa.array(out["confidence"], pa.float64()),
+                    pa.array(out["text_language"], pa.string()), column["declared"], column["letters"], pa.array(out["kept"], pa.bool_()),
+                ],
+                names=["doc_id", "language", "confidence", "text_language", "declared", "letters", "kept"],
+            )
+
+    return run
 
 
 def identify_language(
@@ -189,16 +242,16 @@ def identify_language(
     declared_col: str | None = "lang",
     address_col: str | None = "source",
     fit_rows: int = FIT_ROWS,
-    least_share: float = LEAST_SHARE,
     strength: float = STRENGTH,
     threshold: float = THRESHOLD,
-    least_rows: int = LEAST_ROWS,
+    languages: int = LANGUAGES,
     background: float = BACKGROUND,
 ) -> DataFrame:
     """Per row: ``doc_id, language, confidence, text_language, declared, letters, kept``.
 
-    The address is a URL or a bare host name. Languages are the declared values with at least ``least_rows`` rows, or
-    ``least_share`` of the declared rows. The confidence is the posterior of the language among them, times the
+    The address is a URL or a bare host name. Every declared value is a language, whatever else the table holds, in lower case and
+    without a region behind ``-`` or ``_``; beyond ``languages`` values the most common ones are, and other declarations
+    speak for none of their own. The confidence is the posterior of the language among them, times the
     probability that the text is in one of them at all and not from a background model, in which all trigrams are
     equally likely. A row is kept if its text has letters and the confidence reaches ``threshold``; what is declared or
     where it comes from never rejects a text by itself. Null or letterless texts have no text language; the other evidence
@@ -209,53 +262,45 @@ def identify_language(
     nothing = F.lit(None).cast("string")
     address = nothing if address_col is None else F.col(address_col).cast("string")
     host, domain, suffix = host_parts(address)
+    said = nothing if declared_col is None else F.lower(F.trim(F.col(declared_col).cast("string")))
+    said = F.regexp_replace(said, "[-_].*$", "")
     source = docs.select(
         F.col(id_col).alias("doc_id"),
         F.col(text_col).cast("string").alias("text"),
-        (nothing if declared_col is None else F.lower(F.trim(F.col(declared_col).cast("string")))).alias("declared"),
+        F.when(said != "", said).alias("declared"),
         host.alias("host"),
         domain.alias("domain"),
         suffix.alias("suffix"),
     )
-    names, table = fit(source.select("doc_id", "text", "declared"), fit_rows, least_share, least_rows)
+    context = docs.sparkSession.sparkContext
+    names, table = fit(source.select("doc_id", "text", "declared"), fit_rows, languages)
     kind = source.schema["doc_id"].dataType.simpleString()
-    weights = docs.sparkSession.sparkContext.broadcast(table.astype(np.float32).astype(np.float64))
-    scored = settle(
-        source.mapInArrow(
-            _scored(weights),
-            f"doc_id {kind}, declared string, host string, domain string, suffix string, letters long, scores array<double>",
-        )
-    )
+    scored = settle(source.mapInArrow(_scored(context.broadcast(table), background), f"doc_id {kind}, {_SCORED}"))
     if not names:
         return scored.select(
             "doc_id", nothing.alias("language"), F.lit(None).cast("double").alias("confidence"), nothing.alias("text_language"),
             "declared", "letters", (F.col("letters") > 0).alias("kept"),
         )
-    several = range(len(names))
-    text = [F.col("scores")[k] * OVERLAP for k in several]
-    own = _best(names, _posterior(text))
-    flat = F.col("letters") * float(-np.log(BUCKETS) * OVERLAP) + F.lit(float(np.log(background / (1 - background) * len(names))))
-    judged = scored.withColumn("own", own).withColumn("foreign", _posterior([*text, flat])[-1])
-    sure = (F.col("letters") > 0) & (F.col("own.p") >= 0.9) & (F.col("foreign") < 0.5)
-    judged = judged.withColumn("text_language", F.when(sure, F.col("own.name")))
-    fused = judged
-    evidence = [_priors(judged, names, strength), *[_likelihood(judged, c, names) for c in ("declared", "suffix")]]
-    for name, values in zip(("host", "declared", "suffix"), evidence, strict=True):
-        fused = fused.join(broadcast_if_small(settle(values)), F.col(name) == F.col(f"{name}_k"), "left")
-    logs = [
-        sum((F.coalesce(F.col(f"{name}_{k}"), F.lit(0.0)) for name in ("host", "declared", "suffix")), text[k]) for k in several
-    ]
-    confidence = F.col("best.p") * F.when(F.col("letters") > 0, 1 - F.col("foreign")).otherwise(1.0)
-    fused = fused.withColumn("best", _best(names, _posterior(logs))).withColumn("confidence", confidence)
-    return fused.select(
-        "doc_id",
-        F.col("best.name").alias("language"),
-        "confidence",
-        F.when(F.col("letters") > 0, F.col("own.name")).alias("text_language"),
-        "declared",
-        "letters",
-        ((F.col("letters") > 0) & (F.col("confidence") >= threshold)).alias("kept"),
+    hosts = settle(_counts(scored, ["host", "domain"]))
+    in_domain = F.explode_outer("counts").alias("c")
+    domains = hosts.select("domain", in_domain).groupBy("domain", "c.k").agg(F.sum("c.n").alias("n"))
+    one = F.when(F.col("k").isNotNull(), F.struct("k", "n"))
+    domains = settle(domains.groupBy(F.col("domain").alias("of")).agg(F.collect_list(one).cast(_COUNTS).alias("domain_counts")))
+    of_hosts = settle(
+        hosts.join(broadcast_if_small(domains), same(F.col("domain"), F.col("of"))).select(
+            F.col("host").alias("host_k"), F.col("counts").alias("host_counts"), "domain_counts"
+        )
     )
+    everywhere, _ = _totals(hosts, len(names))
+    facts, fused = [], scored.join(broadcast_if_small(of_hosts), F.col("host") == F.col("host_k"), "left")
+    for key in ("declared", "suffix"):
+        values = settle(_counts(scored, [key]).select(F.col(key).alias(f"{key}_k"), F.col("counts").alias(f"{key}_counts")))
+        facts.append(_totals(values.select(F.col(f"{key}_counts").alias("counts")), len(names)))
+        fused = fused.join(broadcast_if_small(values), F.col(key) == F.col(f"{key}_k"), "left")
+    shared = context.broadcast((names, everywhere, *facts, strength, threshold))
+    given = ["doc_id", "declared", "host", "suffix", "letters", "own", "foreign", "ks", "logs"]
+    given += ["host_counts", "domain_counts", "declared_counts", "suffix_counts"]
+    return fused.select(*given).mapInArrow(_fused(shared), f"doc_id {kind}, {_FUSED}")
 
 
 def in_a_language(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:

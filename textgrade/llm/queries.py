@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from textgrade.llm.common import table
 from textgrade.llm.curves import nearest_neighbours
@@ -26,6 +26,15 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_language(table(spark, sf_dir, "documents"))
 
 
+def pages_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same on web pages, which have real addresses and declare their language in the markup."""
+    pages = table(spark, sf_dir, "pages")
+    declared = F.regexp_extract("html", r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]+)", 1)
+    texts = extract_main_text(pages.withColumn("declared", declared), ("page_id", "url", "declared"))
+    found = identify_language(texts, "page_id", "text", "declared", "url")
+    return found.withColumnRenamed("doc_id", "page_id")
+
+
 def op2_minmax_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=2)
 
@@ -82,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     q.__name__: q
     for q in (
         op1_language_id,
+        pages_language_id,
         op2_minmax_near_duplicates,
         op3_section_tokens,
         op4_main_text,
