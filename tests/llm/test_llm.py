@@ -18,7 +18,7 @@ from textgrade.llm.components import components
 from textgrade.llm.curves import hilbert_keys, nearest_neighbours
 from textgrade.llm.extraction import extract_main_text, main_text
 from textgrade.llm.language import host_parts, identify_language, in_a_language
-from textgrade.llm.ledger import Rule, new_ledger, scan_secrets, span_digest, without_secrets
+from textgrade.llm.ledger import RULES, Rule, new_ledger, scan_secrets, span_digest, without_secrets
 from textgrade.llm.minmax import keep_one_of_each, near_duplicates, shared_counts
 from textgrade.llm.mixing import mix_sources, mixed_documents
 from textgrade.llm.packing import Limits, pack_documents, plan_runs
@@ -382,6 +382,12 @@ SECRETS = [
 ]
 
 
+def brute_secret(text):
+    """Whether a span is more than a bare number."""
+    spans = (s.split(":") for s in brute_spans(text).split(",") if s)
+    return any(kind != "hex" or any(c in "abcdef" for c in text[int(a) : int(b)]) for kind, a, b in spans)
+
+
 def test_secret_spans(spark, awkward, nothing):
     table = spark.createDataFrame(list(enumerate(SECRETS)), "doc_id long, text string")
     got = {r.doc_id: r for r in span_digest(scan_secrets(table)).collect()}
@@ -389,8 +395,11 @@ def test_secret_spans(spark, awkward, nothing):
         expected = brute_spans(text)
         assert got[i].spans == expected and got[i].base_sha256 == hashlib.sha256(expected.encode()).hexdigest()
         assert [got[i].n_assign, got[i].n_access, got[i].n_hex] == [expected.count(n) for n in ("assign:", "access:", "hex:")]
-    clean = [r.doc_id for r in without_secrets(table).collect()]
+    clean = [r.doc_id for r in without_secrets(table, rules=RULES).collect()]
     assert sorted(clean) == [i for i, t in enumerate(SECRETS) if not brute_spans(t)]
+    numbers = ["0123456789012345", "x 01234567890123456789 y", "0" * 15 + "a", "0123456789 012345", "deadbeefdeadbeef", "A0123456789012345", "0" * 99 + "f"]
+    sure = without_secrets(spark.createDataFrame(list(enumerate(numbers)), "doc_id long, text string"))
+    assert sorted(r.doc_id for r in sure.collect()) == [0, 1, 3, 5]
     assert scan_secrets(awkward).count() == len(awkward_rows()) and without_secrets(awkward).columns == awkward.columns
     assert scan_secrets(nothing).collect() == [] and without_secrets(nothing).collect() == []
 
@@ -538,6 +547,25 @@ def test_mixing_by_merit(spark):
     assert means.is_monotonic_increasing
 
 
+@pytest.mark.parametrize("top", [2.0, 50.0, 5000.0])
+def test_skewed_merits_meet_the_target(spark, top):
+    """What a few documents of great merit cannot take goes to the others."""
+    draw = random.Random(int(top))
+    rows = [(k, "w " * draw.randrange(1, 30), "a" if k % 3 else "b", top if k % 40 == 1 else 1 + draw.random()) for k in range(1500)]
+    how = {"share": 1.2, "weights": (4, 3), "merit_col": "m"}
+    found = mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string, m double"), **how).toPandas()
+    per = found.groupby("source").agg(target=("target", "first"), taken=("taken", "sum"))
+    assert (abs(per["target"] - per["taken"]) <= 30).all() and (found["copies"] <= 2).all()
+    assert found.loc[found["doc_id"] % 40 == 1, "copies"].mean() >= found["copies"].mean()
+
+
+def test_merit_by_length(spark):
+    rows = [(k, "w " * (50 if k % 2 else 700), "a", "s") for k in range(600)]
+    found = mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string"), share=0.5).toPandas()
+    short, long = (found.loc[found["size"] == n, "copies"].mean() for n in (50, 700))
+    assert abs(long / short - 4) < 1.5 and abs(found["taken"].sum() - found["target"].iloc[0]) <= 700
+
+
 @pytest.mark.parametrize("limits", [Limits(), Limits(tokens=60, documents=4, cost=1500), Limits(tokens=60, documents=5, cost=3600, score="dot")])
 def test_plan_keeps_all_limits(limits):
     draw = np.random.default_rng(3)
@@ -634,7 +662,7 @@ def test_pipeline_against_brute_force(spark, docs, awkward, nothing):
     kept = kept[kept["text"].map(lambda t: any(c.isalpha() for c in t))]
     links = brute_components(list(zip(kept["doc_id"], kept["text"], strict=True)), 5)
     kept = kept[kept["doc_id"].map(lambda i: links[i][1] == i)]
-    kept = kept[kept["text"].map(lambda t: not brute_spans(t))]
+    kept = kept[kept["text"].map(lambda t: not brute_secret(t))]
     copies = mix_sources(spark.createDataFrame(kept)).toPandas().set_index("doc_id")["copies"]
     starts = out[out["piece"] == 0].groupby("doc_id").size()
     assert starts.to_dict() == copies[copies > 0].to_dict()

@@ -1,7 +1,8 @@
 """Mixing sources to target weights by Pareto order sampling, in DataFrame functions only.
 
-A source's target over its size is the number of copies a document of it should get on average. The whole part is
-given to every document. For the rest documents are ranked by their random odds over their inclusion odds, and the
+Documents of a source have merits, by default by their length. The number of copies a document should get on average is
+in proportion to its merit, but at most two; what this cuts off is shared by the others again, until the source's target is
+met. The whole part is given to every document. For the rest documents are ranked by their random odds over their inclusion odds, and the
 first of them are taken as long as the words stay within the target; what is then missing is made up by the one
 document that comes nearest to it among those next in rank. Ranks are never computed for a whole source: words are
 summed by stretches of the rank value, and only the one stretch in which the target lies is put in order.
@@ -12,9 +13,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from textgrade.llm.common import WORD, broadcast_if_small, same
+from textgrade.operators.ranks import running_totals
 from textgrade.sources.settled import settle
 
 WEIGHTS = (5, 2, 1)
+#: By default a document's merit is 1, and one more for each so many words, up to the last number.
+MERIT_WORDS, MERIT_MOST = 200, 4
 #: Documents that a stretch of the rank value holds on average.
 STRETCH = 4096
 
@@ -23,6 +27,36 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def _merit(size: Column, merit_col: str | None) -> Column:
+    """Whole numbers by length, or what a column says; null and less than 0 count as 0."""
+    if merit_col is None:
+        return F.least(F.floor(size / MERIT_WORDS) + 1, F.lit(MERIT_MOST)).cast("long")
+    return F.greatest(F.coalesce(F.col(merit_col).cast("double"), F.lit(0.0)), F.lit(0.0))
+
+
+def _ratios(sized: DataFrame, targets: DataFrame, most: int) -> DataFrame:
+    """``name``, ``source_size``, ``target`` and ``ratio``, the copies for a merit of 1, of each source.
+
+    Documents in order of falling merit reach ``most`` one merit after the other; the ratio that shares the rest of the target
+    by merit is the greatest at which the next merit does not. Only distinct merits are put in order.
+    """
+    cells = sized.where("merit > 0").groupBy("source", "merit").agg(
+        F.sum("size").alias("words"), F.sum(F.col("size") * F.col("merit")).alias("mass")
+    )
+    cells = cells.withColumn("falling", -F.col("merit"))
+    steps = running_totals(cells, ["source"], ["falling"], ["words", "mass"], STRETCH)
+    steps = steps.join(broadcast_if_small(targets), same(F.col("source"), F.col("name")))
+    ratio = F.try_divide(
+        F.col("target") - F.lit(float(most)) * F.col("before_words"), (F.col("all_mass") - F.col("before_mass")).cast("double")
+    )
+    found = steps.withColumn("ratio", ratio).groupBy("name").agg(
+        F.max(F.when(F.col("ratio") * F.col("merit") <= most, F.col("ratio"))).alias("ratio"), F.min("merit").alias("least")
+    )
+    found = found.select(F.col("name").alias("of"), F.coalesce("ratio", F.lit(float(most)) / F.col("least")).alias("ratio"))
+    met = targets.join(found, same(F.col("name"), F.col("of")), "left")
+    return met.select("name", "source_size", "target", F.when(F.col("target") > 0, F.col("ratio")).alias("ratio")).fillna(0.0, ["ratio"])
+
+
 def water_fill(sizes: DataFrame, weights=WEIGHTS, share: float = 1.5, most: int = 2) -> DataFrame:
     """``source``, ``source_size`` and ``target`` of every row ``(source, source_size)``.
 
@@ -82,25 +116,17 @@ def plan_mix(
 ) -> tuple[DataFrame, DataFrame, int]:
     """Sized rows, the cut of each source, and the number of rows: what :func:`copies_of` decides by.
 
-    Merits (means are scaled by them; null counts as 0) make the inclusion odds of a source's documents unequal.
+    Merits make the inclusion odds of a source's documents unequal: by length, or those of ``merit_col``, where a null counts
+    as 0 and a document of merit 0 is never taken; the others then make up for it as far as they can.
     """
-    merit = F.lit(1.0) if merit_col is None else F.greatest(F.coalesce(F.col(merit_col).cast("double"), F.lit(0.0)), F.lit(0.0))
+    size = n_words(F.col(text_col))
     sized = settle(
-        docs.select(
-            F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), merit.alias("merit")
-        )
+        docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), _merit(size, merit_col).alias("merit"))
     )
     count = sized.count()
-    sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("merit")).alias("mass"))
-    targets = water_fill(sums.select("source", "source_size"), weights, share, most).withColumnRenamed("source", "name")
-    sources = settle(
-        targets.join(sums.select("source", "mass"), same(F.col("name"), F.col("source"))).select(
-            "name",
-            "source_size",
-            "target",
-            F.coalesce(F.try_divide("target", "mass"), F.lit(0.0)).alias("ratio"),
-        )
-    )
+    sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    targets = settle(water_fill(sums, weights, share, most).withColumnRenamed("source", "name"))
+    sources = settle(_ratios(sized, targets, most))
     known = broadcast_if_small(sources)
     ranked = _ranked(sized.join(known, same(F.col("source"), F.col("name"))), seed, most)
     ranked = ranked.withColumn("stretch", _stretch(count))
@@ -184,14 +210,14 @@ def mixed_documents(
     """``docs`` with every row repeated as often as the mix takes it. Texts are not shuffled."""
     merit_col = how.get("merit_col")
     _, plan, count = plan_mix(docs, id_col, text_col, source_col, most=most, seed=seed, **how)
-    merit = F.lit(1.0) if merit_col is None else F.greatest(F.coalesce(F.col(merit_col).cast("double"), F.lit(0.0)), F.lit(0.0))
+    size = n_words(F.col(text_col))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     rows = docs.select(
         row.alias("row"),
         F.col(id_col).alias("id"),
         F.col(source_col).alias("source"),
-        n_words(F.col(text_col)).alias("size"),
-        merit.alias("merit"),
+        size.alias("size"),
+        _merit(size, merit_col).alias("merit"),
     )
     taken = _copies(rows, plan, count, seed, most).where("copies > 0")
     return taken.select("row", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select("row.*")
@@ -199,8 +225,10 @@ def mixed_documents(
 
 #: The same in DuckDB, for the default settings.
 MIX_SQL = """
-with d as (
+with sized as (
   select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::bigint as size from {docs}
+), d as (
+  select *, least(size // 200 + 1, 4)::bigint as merit from sized
 ), s as (
   select source, sum(size)::bigint as source_size,
     [5, 2, 1][((row_number() over (order by source asc nulls last) - 1) % 3 + 1)::int] as weight
@@ -216,11 +244,20 @@ with d as (
 ), t as (
   select source, source_size, case when shared is null or source_size * 2 < shared * weight then (source_size * 2)::double
     else shared * weight end as target from m
+), c as (
+  select source, merit, sum(size)::double as words, sum(size * merit)::double as mass from d group by source, merit
+), k as (
+  select c.source, merit, (target - 2.0::double * coalesce(sum(words) over before, 0))
+      / nullif(sum(mass) over (partition by c.source) - coalesce(sum(mass) over before, 0), 0) as ratio
+  from c join t on c.source is not distinct from t.source
+  window before as (partition by c.source order by merit desc rows between unbounded preceding and 1 preceding)
+), q as (
+  select source, coalesce(max(case when ratio * merit <= 2 then ratio end), 2.0::double / min(merit)) as ratio from k group by source
 ), r as (
   select d.doc_id, d.source, d.size, t.source_size, t.target,
-    least(case when t.source_size = 0 then 0 else t.target / t.source_size::double end, 2.0::double) as mean,
+    least(case when t.target = 0 then 0 else q.ratio * d.merit end, 2.0::double) as mean,
     md5('9:' || coalesce(d.doc_id::varchar, '') || ':' || coalesce(d.source, '') || ':' || d.size::varchar) as draw
-  from d join t on d.source is not distinct from t.source
+  from d join t on d.source is not distinct from t.source join q on d.source is not distinct from q.source
 ), v as (
   select *, floor(mean)::bigint as whole, mean - floor(mean) as part,
     (('0x' || substr(draw, 1, 13))::bigint + 0.5::double) / 4503599627370496.0::double as u from r

@@ -11,7 +11,7 @@ from textgrade.llm.curves import nearest_neighbours
 from textgrade.llm.extraction import extract_main_text
 from textgrade.llm.imatch import fingerprint_documents
 from textgrade.llm.language import identify_language
-from textgrade.llm.ledger import scan_secrets, span_digest
+from textgrade.llm.ledger import new_ledger, scan_secrets, span_digest
 from textgrade.llm.merkle import merkle_manifest, merkle_sql, without_line_breaks
 from textgrade.llm.minmax import near_duplicates
 from textgrade.llm.mixing import MIX_SQL, mix_sources
@@ -54,7 +54,10 @@ def op5_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return span_digest(scan_secrets(table(spark, sf_dir, "documents")))
+    # two states of one collection: an earlier one with about half of the documents, then all of them
+    docs, ledger = table(spark, sf_dir, "documents"), new_ledger(spark)
+    scan_secrets(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0), ledger=ledger)
+    return span_digest(scan_secrets(docs, ledger=ledger))
 
 
 def op7_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
