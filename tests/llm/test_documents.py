@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 from textgrade.llm import extraction, imatch, language, merkle, periodic, queries
 from textgrade.llm.extraction import main_text, parse
 from textgrade.llm.imatch import Lexicon, fingerprint_documents, lexicon_of, likeness
+from textgrade.llm.curves import nearest_neighbours
 from textgrade.llm.language import identify_language
 from textgrade.llm.merkle import merkle_manifest, merkle_sql, without_line_breaks
+from textgrade.llm.topk import top_products
 from textgrade.llm.periodic import fragments, periodic_runs, planted, stitched, tiles_of, z_function
 
 SF = "/root/testdata/sf0.001"
@@ -557,3 +559,32 @@ def test_evidence_of_pages(spark):
     found = queries.pages_language_id(spark, SF).toPandas()
     assert len(found) == spark.read.parquet(f"{SF}/pages.parquet").count() and found["declared"].notna().all()
     assert (found["language"] == found["declared"]).mean() > 0.95 and found["kept"].all()
+
+
+# ---- Very large values
+
+
+def test_products_beyond_a_long(spark):
+    rows = [(0, [1e20, 1.0]), (1, [1e20, 0.0]), (2, [3e9, 0.5]), (3, [0.5, 0.25]), (4, [-1e20, 7.0]), (50, [2.0, -3e9]), (100, [3e9, 3e9])]
+    whole = {i: [max(-(1 << 63), min((1 << 63) - 1, math.floor(256 * x))) for x in v] for i, v in rows}
+    found = top_products(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    for q in (0, 50, 100):
+        scores = [(-max(-(1 << 63), min((1 << 63) - 1, sum(a * b for a, b in zip(whole[q], v, strict=True)))), i) for i, v in whole.items() if i != q]
+        assert [(r.vec_id, r.score) for r in sorted((r for r in found if r.query_id == q), key=lambda r: r.rank)] == [(i, -s) for s, i in sorted(scores)[:5]]
+
+
+def test_neighbours_of_far_points(spark):
+    """One far query, candidate or pair leaves the others' answers as they are."""
+    draw = np.random.default_rng(4)
+    rows = [(i, draw.normal(size=8).tolist()) for i in range(400)]
+    rows += [(1000, [1e200] + [0.0] * 7), (1001, [1e200] + [1.0] * 7), (1002, [1e308] * 8), (1100, [-1e308] * 8)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = nearest_neighbours(table).collect()
+    plain = np.array([v for _, v in rows[:400]])
+    for q in (0, 100, 200, 300):
+        mine = sorted((r for r in found if r.query_id == q), key=lambda r: r.rank)
+        true = np.sort(np.sqrt(((plain - plain[q]) ** 2).sum(axis=1)))[1:11]
+        assert [r.rank for r in mine] == list(range(1, 11)) and sum(np.isclose(r.score, true).any() for r in mine) >= 9
+    far = sorted((r for r in found if r.query_id == 1000), key=lambda r: r.rank)
+    assert far[0].vec_id == 1001 and far[0].score == math.sqrt(7) and all(math.isclose(r.score, 1e200) for r in far[1:9])
+    assert len([r for r in found if r.query_id == 1100]) == 10

@@ -25,6 +25,10 @@ from textgrade.sources.settled import settle
 CURVES, AXES, BITS, WINDOW = 8, 4, 12, 0.2
 #: Points in a block, and blocks whose queries go together.
 BLOCK, TOGETHER = 2048, 64
+#: Rows, drawn by their hash, that projections are centred and scaled by.
+SAMPLE = 20_000
+#: Components beyond which squares may overflow, and the bound of projections.
+LARGE, FAR = 1e150, 1e300
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -61,17 +65,21 @@ def _axes(width: int, curve: int, axes: int, seed: int) -> tuple[np.ndarray, np.
     return np.linalg.qr(wide)[0][:width], draw.uniform(size=axes)
 
 
-def _moments(width: int, curves: int, axes: int, seed: int):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = matrix(frame["v"], width)
-            for curve in range(curves):
-                y = rows @ _axes(width, curve, axes, seed)[0]
-                yield pd.DataFrame(
-                    {"curve": curve, "axis": range(axes), "n": len(y), "s": y.sum(axis=0), "ss": (y * y).sum(axis=0)}
-                )
+def _middle(vectors: np.ndarray, curves: int, axes: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Median of every projection, and its spread by the median distance from it: single far points move neither."""
+    centre, spread = np.zeros((curves, axes)), np.ones((curves, axes))
+    if len(vectors):
+        for curve in range(curves):
+            y = _projected(vectors, _axes(vectors.shape[1], curve, axes, seed)[0])
+            centre[curve] = np.median(y, axis=0)
+            off = 1.4826 * np.median(np.abs(y - centre[curve]), axis=0)
+            spread[curve] = np.where(off > 0, off, np.maximum(np.abs(y - centre[curve]).max(axis=0), 1e-300))
+    return centre, spread
 
-    return run
+
+def _projected(rows: np.ndarray, turn: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore", invalid="ignore"):
+        return np.clip(np.nan_to_num(rows @ turn), -FAR, FAR)
 
 
 def _keyed(width: int, curves: int, axes: int, bits: int, seed: int, centre: np.ndarray, spread: np.ndarray):
@@ -80,7 +88,7 @@ def _keyed(width: int, curves: int, axes: int, bits: int, seed: int, centre: np.
             rows = matrix(frame["v"], width)
             for curve in range(curves):
                 turn, shift = _axes(width, curve, axes, seed)
-                y = (rows @ turn - centre[curve]) / spread[curve] / 3
+                y = (_projected(rows, turn) - centre[curve]) / spread[curve] / 3
                 cells = np.clip((y + 1 + shift) / 3, 0, 1 - 1e-9) * (1 << bits)
                 yield frame.assign(curve=curve, key=hilbert_keys(cells, bits))[["curve", "key", "rep", "asked", "ids", "v"]]
 
@@ -94,6 +102,15 @@ def _numbered(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen += len(frame)
 
 
+def distances(points: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Euclidean distances; where squares would overflow, in units of the largest difference."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        apart = points - query
+        most = np.abs(apart).max(axis=1, initial=0.0)
+        unit = np.where(most > LARGE, most, 1.0)
+        return unit * np.sqrt(((apart / unit[:, None]) ** 2).sum(axis=1))
+
+
 def _nearest(k: int):
     """The ``k + 1`` nearest points of a block for each query (one of them may be the query itself)."""
 
@@ -104,17 +121,22 @@ def _nearest(k: int):
             width = max(map(len, [*left["v"], *right["w"]]))
             points = matrix(left["v"], width)
             reps, ids = left["rep"].to_numpy(), left["ids"].to_numpy()
-            norms = (points * points).sum(axis=1)
+            with np.errstate(over="ignore"):
+                norms = np.where((np.abs(points) > LARGE).any(axis=1), np.inf, (points * points).sum(axis=1))
             for low in range(0, len(right), 256):
                 part = right.iloc[low : low + 256]
                 asked = matrix(part["w"], width)
-                rough = norms[None, :] - 2 * (asked @ points.T)
+                own = np.where(np.abs(asked) > LARGE, 0.0, asked)
+                with np.errstate(over="ignore", invalid="ignore"):
+                    rough = norms[None, :] - 2 * (asked @ points.T)
+                rough[:, ~np.isfinite(norms)] = np.inf
+                rough[(np.abs(asked) > LARGE).any(axis=1)] = 0.0  # squares that overflow: all points are compared
                 most = min(k + 1, len(points))
                 limit = np.partition(rough, most - 1, axis=1)[:, most - 1]
-                scale = np.abs(rough).max(axis=1) + (asked * asked).sum(axis=1) + 1
+                scale = np.where(np.isfinite(rough), np.abs(rough), 0).max(axis=1) + (own * own).sum(axis=1) + 1
                 for row, (query, bound) in enumerate(zip(part["q"].tolist(), limit + 1e-9 * scale, strict=True)):
                     rows = np.flatnonzero(rough[row] <= bound)
-                    true = np.sqrt(((points[rows] - asked[row]) ** 2).sum(axis=1))
+                    true = distances(points[rows], asked[row])
                     best = np.lexsort((reps[rows], true))[:most]
                     out.append(pd.DataFrame({"q": query, "c": reps[rows][best], "d": true[best], "ids": ids[rows][best]}))
         empty = {"q": pd.Series(dtype="int64"), "c": pd.Series(dtype="int64"), "d": pd.Series(dtype="float64"), "ids": pd.Series(dtype=object)}
@@ -168,12 +190,8 @@ def nearest_neighbours(
     facts = points.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("width")).first()
     count, width = facts["n"], facts["width"] or 1
 
-    centre, spread = np.zeros((curves, axes)), np.ones((curves, axes))
-    sums = points.select("v").mapInPandas(_moments(width, curves, axes, seed), "curve int, axis int, n long, s double, ss double")
-    for r in sums.groupBy("curve", "axis").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss")).collect():
-        mean = r["s"] / r["n"]
-        centre[r["curve"], r["axis"]] = mean
-        spread[r["curve"], r["axis"]] = max(r["ss"] / r["n"] - mean * mean, 0) ** 0.5 or 1.0
+    drawn = points.where(F.pmod("rep", F.lit(max(1, count // SAMPLE))) == 0).orderBy("rep").select("v").toPandas()["v"]
+    centre, spread = _middle(matrix(drawn, width) if len(drawn) else np.zeros((0, width)), curves, axes, seed)
 
     point = "rep long, asked boolean, ids array<long>, v array<double>"
     keyed = points.mapInPandas(_keyed(width, curves, axes, bits, seed, centre, spread), f"curve int, key long, {point}")

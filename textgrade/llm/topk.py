@@ -17,6 +17,8 @@ from textgrade.sources.settled import settle
 
 #: Rows of a shard, and of a block of queries, on average.
 SHARD, QUERIES = 4096, 1024
+#: Scores end below this.
+LONG = 2.0**63
 
 
 def usable(vector: Column) -> Column:
@@ -61,7 +63,7 @@ def nra(values: np.ndarray, ids: np.ndarray, queries: np.ndarray, own: np.ndarra
             lower = known + sum(~read @ (w * worst[:, None]) for w, read, _, worst in sides)
         slack = 1e-9 * (np.abs(upper).max(axis=0) + 1)
         mine = ids[:, None] == own[left][None, :]
-        bar = np.where(mine, -np.inf, lower)
+        bar = np.where(mine, -np.inf, np.minimum(lower, LONG))  # beyond the range of a long scores are equal
         bar = np.partition(bar, n - k, axis=0)[n - k] if n > k else np.full(len(left), -np.inf)
         alive = ~mine & (upper >= bar - slack)
         ended = (alive.sum(axis=0) <= max(64, 4 * k)) | (depth == n)
@@ -71,6 +73,17 @@ def nra(values: np.ndarray, ids: np.ndarray, queries: np.ndarray, own: np.ndarra
     return found
 
 
+def products(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Exact inner products; beyond the range of a long they count as its ends."""
+    scores = rows @ query  # right modulo 2^64, so right wherever the product fits
+    rough = rows.astype(float) @ query.astype(float)
+    whole = np.abs(rows.astype(float)) @ np.abs(query.astype(float))
+    for at in np.flatnonzero(np.abs(rough) + 1e-9 * whole >= LONG).tolist():
+        true = sum(a * b for a, b in zip(rows[at].tolist(), query.tolist(), strict=True))
+        scores[at] = max(-(1 << 63), min((1 << 63) - 1, true))
+    return scores
+
+
 def _search(k: int):
     def run(near: pd.DataFrame, far: pd.DataFrame) -> pd.DataFrame:
         out = [np.zeros((0, 3), dtype=np.int64)]
@@ -84,8 +97,8 @@ def _search(k: int):
                 # rows that share an id are one candidate with its best score, so none may be ruled out before
                 rows = [np.flatnonzero(ids != q) for q in mine] if several else nra(values, ids, asked, mine, k)
                 for query_id, query, some in zip(mine.tolist(), asked, rows, strict=True):
-                    scores = values[some] @ query
-                    best = np.lexsort((ids[some], -scores))
+                    scores = products(values[some], query)
+                    best = np.lexsort((ids[some], ~scores))  # falling; the least long has no negative
                     if several:
                         _, first = np.unique(ids[some][best], return_index=True)
                         best = best[np.sort(first)]
@@ -109,7 +122,7 @@ def top_products(
     Components become floor(``scale`` * x); the score is the integer inner product, ties go to the smaller id. Vectors
     that are null or hold null or non-finite components take no part, and neither do rows without an id. Shorter
     vectors count as filled up with zeros. Rows that repeat an id are one candidate, or one query, with the best of
-    their scores. An empty table gives an empty result; other columns are ignored.
+    their scores. A component or score beyond the range of a long counts as its nearer end. An empty table gives an empty result; other columns are ignored.
     """
     vector = F.col(vector_col)
     rows = vectors.where(F.col(id_col).isNotNull() & usable(vector)).select(
