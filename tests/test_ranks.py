@@ -142,3 +142,14 @@ def test_stretches_stay_level(spark, n):
     assert cut.where("before_n <> cast(sqrt(v) as long) or all_n <> %d" % n).isEmpty()
     part = table.repartitionByRange(n // 500, "grp", "v").groupBy(F.spark_partition_id()).count()
     assert part.agg(F.max("count")).first()[0] <= 3 * 500
+
+
+def test_rank_lookup_moves_no_texts(frame, monkeypatch):
+    """Few ranks meet the rows where they are; many by a shuffle, with the same result."""
+    rows = frame.withColumn("text", F.lit("long"))
+    few = percentile_within_corpus(rows, "t", out_col="h")
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "Exchange hashpartitioning" not in plan
+    monkeypatch.setattr("textgrade.operators.ranks.is_small", lambda table: False)
+    many = percentile_within_corpus(rows, "t", out_col="h")
+    assert sorted(map(str, many.collect())) == sorted(map(str, few.collect()))

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from textgrade.functions.numbers import as_number
-from textgrade.sources.settled import settle
+from textgrade.sources.settled import is_small, settle
 
 # Cells in a stretch, on average.
 SPACING = 2**20
@@ -126,16 +126,18 @@ def percentile_within_corpus(
         turn = F.col(corpus_col).isin(flipped) if flipped else F.lit(False)
     else:
         turn = F.lit(not polarity)
-    # Rows without a label match nothing; a hash keeps them from meeting on one task.
-    spread = F.pmod(F.xxhash64("id" if "id" in df.columns else F.struct(*df.columns)), F.lit(1024))
-    work = work.withColumn("_spread", F.when(F.col("_label").isNull(), spread + 1).otherwise(0))
-    joined = work.drop(*[c for c in [out_col] if c in df.columns]).join(
-        ranks.withColumn("_zero", F.lit(0).cast("long")),
-        (F.col(corpus_col) == F.col("_corpus"))
-        & (F.col("_label") == F.col("_value"))
-        & (F.col("_spread") == F.col("_zero")),
-        "left",
-    )
+    ranks = settle(ranks)
+    work = work.drop(*[c for c in [out_col] if c in df.columns])
+    same = (F.col(corpus_col) == F.col("_corpus")) & (F.col("_label") == F.col("_value"))
+    if is_small(ranks):
+        # the rows, with their texts, stay where they are
+        joined = work.join(F.broadcast(ranks), same, "left")
+    else:
+        # Rows without a label match nothing; a hash keeps them from meeting on one task.
+        spread = F.pmod(F.xxhash64("id" if "id" in df.columns else F.struct(*df.columns)), F.lit(1024))
+        work = work.withColumn("_spread", F.when(F.col("_label").isNull(), spread + 1).otherwise(0))
+        ranks = ranks.withColumn("_zero", F.lit(0).cast("long"))
+        joined = work.join(ranks, same & (F.col("_spread") == F.col("_zero")), "left")
     difficulty = F.when(turn, 1 - F.col("_rank")).otherwise(F.col("_rank")).alias(out_col)
     keep = [c for c in df.columns if c != out_col]
     order = df.columns if out_col in df.columns else [*keep, out_col]

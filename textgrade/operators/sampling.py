@@ -21,16 +21,14 @@ def difficulty_bins(
 ) -> DataFrame:
     """``(id, corpus, proxy, draw, rank, bin)``: each text's difficulty rank in the whole pool.
 
-    Narrow and settled: the texts are read once, every later step reads a few short columns. Ties
+    Narrow and settled: ranking writes the short columns first, so the texts are read once. Ties
     of the proxy are ordered by id.
     """
-    narrow = settle(
-        df.select(
-            "id",
-            "corpus",
-            difficulty_proxy("text").alias("proxy"),
-            draw_key(seed, "id").alias("draw"),
-        )
+    narrow = df.select(
+        "id",
+        "corpus",
+        difficulty_proxy("text").alias("proxy"),
+        draw_key(seed, "id").alias("draw"),
     )
     ranked = unique_rank(narrow, ["proxy", "id"], spacing=spacing)
     return settle(ranked.withColumn("bin", quantile_bin("rank", "rows", n_bins)))

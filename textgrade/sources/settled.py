@@ -49,3 +49,13 @@ def settle(df: DataFrame, spread_by: str | None = None) -> DataFrame:
     path = f"{shared_folder(spark).rstrip('/')}/settled-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Rows, and bytes of files, up to which a written table is broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 16 << 20
+
+
+def is_small(settled: DataFrame) -> bool:
+    """Whether a written table of narrow rows was measured to be small enough for every task to hold."""
+    size = int(str(settled._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size <= BROADCAST_BYTES and settled.count() <= BROADCAST_ROWS

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, DataFrameReader, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession, functions as F, types as T
 
 from textgrade.functions.text import text_key
 from textgrade.operators.quality import drop_repeats, keep_in_band
@@ -14,6 +14,7 @@ from textgrade.plans.corpus import (
     chunk_documents,
 )
 from textgrade.schema import CANONICAL, COLUMNS, canonical
+from textgrade.sources.settled import settle
 
 DOCUMENTS = T.StructType(
     [
@@ -25,12 +26,15 @@ DOCUMENTS = T.StructType(
 )
 
 
-# The pool keeps each text's key, so that a batch compares keys and reads no earlier texts.
+# The pool keeps each text's key, so that a batch compares keys and reads no earlier texts. Rows lie in folders by
+# the beginning of the key, so that a batch reads the keys of its own folders only.
+PREFIX = 1
 STORED = T.StructType(
     [
         *CANONICAL.fields,
         T.StructField("text_key", T.StringType()),
         T.StructField("batch", T.LongType()),
+        T.StructField("prefix", T.StringType()),
     ]
 )
 
@@ -62,10 +66,11 @@ def ingest_pool(
 
     def land(batch: DataFrame, batch_id: int) -> None:
         fresh = drop_repeats(batch).withColumn("text_key", text_key("text"))
+        fresh = settle(fresh.withColumn("prefix", key_prefix(F.col("text_key"))))
         if batch_id > 0:
-            held = _stored(spark, pool).where(F.col("batch") < batch_id)
-            fresh = fresh.join(held.select("corpus", "text_key"), ["corpus", "text_key"], "left_anti")
-        fresh.select(*COLUMNS, "text_key").write.mode("overwrite").parquet(f"{pool}/batch={batch_id}")
+            fresh = fresh.join(earlier_keys(spark, pool, fresh, batch_id), ["corpus", "text_key"], "left_anti")
+        rows = fresh.select(*COLUMNS, "text_key", "prefix").repartition("prefix")
+        rows.write.mode("overwrite").partitionBy("prefix").parquet(f"{pool}/batch={batch_id}")
 
     query = (
         chunks.writeStream.foreachBatch(land)
@@ -76,6 +81,19 @@ def ingest_pool(
     query.awaitTermination()
 
 
+def key_prefix(key: Column) -> Column:
+    """Folder of a key, which is a hash: its first digits."""
+    return F.substring(key, 1, PREFIX)
+
+
+def earlier_keys(spark: SparkSession, pool: str, fresh: DataFrame, batch_id: int) -> DataFrame:
+    """``corpus, text_key`` of earlier batches in the folders that ``fresh`` has rows for, at most 16 names."""
+    folders = [r["prefix"] for r in fresh.select("prefix").distinct().collect()]
+    own = F.col("prefix").isin(folders) | F.col("prefix").isNull()  # null: of a pool without these folders
+    held = _stored(spark, pool).where((F.col("batch") < batch_id) & own)
+    return held.select("corpus", "text_key")
+
+
 def _exists(reader: DataFrameReader, path: str) -> bool:
     """Does ``path`` hold anything the reader can read?"""
     try:
