@@ -1,22 +1,31 @@
 """Bootstrap intervals for any metric, on resamples that are a function of a seed.
 
-Two ways to resample. ``exact`` draws n row positions for each replicate, as textbooks do; every
-draw is a row in a shuffle. ``poisson`` gives each row an independent Poisson(1) count per
-replicate, so nothing is shuffled by row and value metrics reduce to one partial sum per replicate
-and partition; for large n both have the same distribution. The caller names the way; the size of
-the data never changes it.
+Two ways to resample. ``exact`` draws n row positions for each replicate, as textbooks do.
+``poisson`` gives each row an independent Poisson(1) count per replicate, so nothing is shuffled by
+row and value metrics reduce to one partial sum per replicate and partition; for large n both have
+the same distribution. The caller names the way; the size of the data never changes it.
+
+Replicates come in blocks of ``WIDTH``: a row carries its counts in all replicates of a block side
+by side, and ranks are running totals of that many counters at once. What is shuffled and sorted is
+a row per block, never one per replicate. Draws of ``exact`` travel as lists, one for each stretch
+of ``PLACES`` positions. Pair metrics alone still take a row per replicate.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from textgrade.functions.draws import DRAW_RANGE, draw_number
 from textgrade.functions.numbers import finite
-from textgrade.operators.metrics import HIGHER_IS_BETTER, score_cells
-from textgrade.operators.ranks import SPACING, unique_rank
+from textgrade.operators.metrics import HIGHER_IS_BETTER, PAIR_METRICS, VALUE_METRICS, score_cells
+from textgrade.operators.ranks import SPACING, running_totals, unique_rank
 from textgrade.sources.settled import settle
 
+# Replicates in a block, and positions whose draws of a block make one list.
+WIDTH = 16
+PLACES = 2**14
+COUNTS = [f"_w{k}" for k in range(WIDTH)]
+
 # Cumulative Poisson(1) probabilities for counts 0, 1, 2, ..., as far as 32-bit draws can tell apart.
 POISSON_STEPS = (
     0.36787944117144233,
@@ -73,6 +82,109 @@ def resample(
     )
 
 
+def resample_blocks(
+    rows: DataFrame, group: list[str], values: list[str], n_boot: int, seed: int, mode: str
+) -> DataFrame:
+    """Replicates side by side: rows ``(group, block, values, _w0, _w1, ...)``.
+
+    ``_w<k>`` is the row's count in replicate ``block * WIDTH + k``. The last block may hold replicates beyond
+    ``n_boot``, which are empty in ``exact`` mode and for the caller to leave out in both.
+    """
+    if mode == "poisson":
+        blocks = F.explode(F.sequence(F.lit(0), F.lit((n_boot - 1) // WIDTH))).alias("block")
+        first = F.col("block") * WIDTH
+        draws = F.transform(
+            F.sequence(first, first + WIDTH - 1), lambda rep: draw_number(seed, rep, "row_id") / F.lit(DRAW_RANGE)
+        )
+        drawn = rows.select(*group, *values, "row_id", blocks)
+        drawn = drawn.select(*group, "block", *values, F.transform(draws, poisson_count).alias("counts"))
+        return drawn.select(
+            *group, "block", *values, *[F.get("counts", F.lit(k)).cast("long").alias(c) for k, c in enumerate(COUNTS)]
+        )
+    reps = F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("rep")
+    draws = rows.select(*group, "position", "rows", reps).select(
+        *group, "rep", F.pmod(draw_number(seed, "rep", "position"), F.col("rows")).alias("position")
+    )
+    lists = draws.groupBy(
+        *group, F.expr(f"rep div {WIDTH}").alias("block"), F.expr(f"position div {PLACES}").alias("part")
+    ).agg(F.collect_list(F.col("position") * WIDTH + F.col("rep") % WIDTH).alias("codes"))
+    codes = lists.select(*group, "block", "part", F.explode("codes").alias("code"))
+    # grouped by what the lists lie by already: nothing moves
+    counts = codes.groupBy(*group, "block", "part", F.expr(f"code div {WIDTH}").alias("position")).agg(
+        *[F.count(F.when(F.col("code") % WIDTH == k, 1)).alias(c) for k, c in enumerate(COUNTS)]
+    )
+    return counts.join(rows.select(*group, "position", *values), [*group, "position"]).select(
+        *group, "block", *values, *COUNTS
+    )
+
+
+def _middle_ranks(cells: DataFrame, by: list[str], value: str, mark: str, spacing: int, small: bool) -> DataFrame:
+    """Add ``<mark><k>``: the average rank of ``value`` in each replicate, less the middle rank of that replicate."""
+    if small:
+        whole = Window.partitionBy(*by)
+        order = whole.orderBy(value)
+        upto = order.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        same = order.rangeBetween(Window.currentRow, Window.currentRow)
+        return cells.select(
+            "*",
+            *[
+                (F.sum(c).over(upto) - F.sum(c).over(same) / 2 - F.sum(c).over(whole) / 2).alias(f"{mark}{k}")
+                for k, c in enumerate(COUNTS)
+            ],
+        )
+    own = cells.groupBy(*by, value).agg(*[F.sum(c).alias(c) for c in COUNTS])
+    totals = running_totals(own, by, [value], COUNTS, spacing)
+    ranks = [
+        (F.col(f"before_{c}") + F.col(c) / 2 - F.col(f"all_{c}") / 2).alias(f"{mark}{k}") for k, c in enumerate(COUNTS)
+    ]
+    return cells.join(totals.select(*by, value, *ranks), [*by, value])
+
+
+def score_blocks(
+    drawn: DataFrame, group: list[str], target: str, preds: list[str], metric: str, n_boot: int, spacing: int = SPACING
+) -> DataFrame:
+    """``(group, rep, scores)`` from rows of ``resample_blocks``: an array with the metric of each prediction.
+
+    Takes value and rank metrics. A replicate in which a metric is undefined has a null there.
+    """
+    by = [*group, "block"]
+    cells = drawn.groupBy(*by, target, *preds).agg(*[F.sum(c).alias(c) for c in COUNTS])
+    if metric not in VALUE_METRICS:
+        cells = settle(cells)
+        spacing = max(spacing // WIDTH, 1)
+        largest = cells.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+        for at, value in enumerate([target, *preds]):
+            cells = _middle_ranks(cells, by, value, f"_r{at}_", spacing, largest <= spacing)
+
+    def score(k: int, at: int) -> Column:
+        w = F.col(COUNTS[k])
+        n = F.sum(w)
+        if metric in VALUE_METRICS:
+            gap = F.col(preds[at - 1]) - F.col(target)
+            if metric == "rmse":
+                return F.sqrt(F.try_divide(F.sum(w * gap * gap), n))
+            return F.try_divide(F.sum(w * (F.abs(gap) if metric == "mae" else gap)), n)
+        t, p = F.col(f"_r0_{k}"), F.col(f"_r{at}_{k}")
+        if metric == "rank_rmse":
+            return F.when(n >= 2, F.sqrt(F.sum(w * (t - p) * (t - p)) / n) / n)
+        spread = F.sqrt(F.sum(w * t * t)) * F.sqrt(F.sum(w * p * p))
+        return F.when(n >= 3, F.try_divide(F.sum(w * t * p), spread))
+
+    of_rep = [F.array(*[score(k, at) for at in range(1, len(preds) + 1)]) for k in range(WIDTH)]
+    scores = cells.groupBy(*by).agg(F.array(*of_rep).alias("_scores"))
+    rep = (F.col("block") * WIDTH + F.col("_k")).cast("int").alias("rep")
+    return (
+        scores.select(*group, "block", F.posexplode("_scores").alias("_k", "scores"))
+        .select(*group, rep, "scores")
+        .where(F.col("rep") < n_boot)
+    )
+
+
+def _in_blocks(metric: str, mode: str) -> bool:
+    """Whether replicates are scored in blocks; Poisson counts under a value metric need no shuffle as it is."""
+    return metric not in PAIR_METRICS and not (metric in VALUE_METRICS and mode == "poisson")
+
+
 def _check(mode: str) -> None:
     if mode not in ("exact", "poisson"):
         raise ValueError(f"mode must be 'exact' or 'poisson', got {mode!r}")
@@ -98,8 +210,13 @@ def bootstrap_ci(
     rows = _positions(base, keys, row_id, [target, pred], spacing)
     whole = rows.groupBy(*keys, target, pred).agg(F.count(F.lit(1)).alias("cnt"))
     point = score_cells(whole, keys, target, pred, (metric,), spacing)
-    reps = resample(rows, keys, [target, pred], n_boot, seed, mode)
-    scores = score_cells(reps, [*keys, "rep"], target, pred, (metric,), spacing)
+    if _in_blocks(metric, mode):
+        drawn = resample_blocks(rows, keys, [target, pred], n_boot, seed, mode)
+        scores = score_blocks(drawn, keys, target, [pred], metric, n_boot, spacing)
+        scores = scores.select(*keys, "rep", F.get("scores", F.lit(0)).alias(metric))
+    else:
+        reps = resample(rows, keys, [target, pred], n_boot, seed, mode)
+        scores = score_cells(reps, [*keys, "rep"], target, pred, (metric,), spacing)
     levels = F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2))
     bounds = scores.groupBy(*keys).agg(F.percentile(metric, levels).alias("q"))
     out = point.join(bounds, keys, "left").select(
@@ -147,12 +264,19 @@ def paired_bootstrap_diff(
         scores = score_cells(stacked, [*by, "full"], "t", "p", (metric,), spacing)
         full = F.max(F.when(F.col("full"), F.col(metric)))
         variant = F.max(F.when(~F.col("full"), F.col(metric)))
-        gap = full - variant if metric in HIGHER_IS_BETTER else variant - full
-        return scores.groupBy(*by).agg(gap.alias("delta"))
+        return scores.groupBy(*by).agg(favour(full, variant).alias("delta"))
+
+    def favour(full: Column, variant: Column) -> Column:
+        return full - variant if metric in HIGHER_IS_BETTER else variant - full
 
     point = differences(rows.withColumn("cnt", F.lit(1).cast("long")), keys)
-    reps = resample(rows, keys, values, n_boot, seed, mode)
-    deltas = differences(reps, [*keys, "rep"])
+    if _in_blocks(metric, mode):
+        drawn = resample_blocks(rows, keys, values, n_boot, seed, mode)
+        scores = score_blocks(drawn, keys, target, [pred_full, pred_variant], metric, n_boot, spacing)
+        delta = favour(F.get("scores", F.lit(0)), F.get("scores", F.lit(1)))
+        deltas = scores.select(*keys, delta.alias("delta"))
+    else:
+        deltas = differences(resample(rows, keys, values, n_boot, seed, mode), [*keys, "rep"])
     not_better = F.sum(F.when(F.col("delta") <= 0, 1).otherwise(0)) / F.lit(n_boot)
     bounds = deltas.groupBy(*keys).agg(
         F.percentile("delta", F.array(F.lit(0.025), F.lit(0.975))).alias("q"),
