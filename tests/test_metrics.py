@@ -3,7 +3,9 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
+from textgrade.operators import bootstrap
 from textgrade.operators.ablation import aggregate_seeds, compare_to_full, mean_prediction, score_variants
 from textgrade.operators.bootstrap import bootstrap_ci, paired_bootstrap_diff
 from textgrade.operators.metrics import (
@@ -14,6 +16,7 @@ from textgrade.operators.metrics import (
     mean_predictor_rmse,
     reference_bracket,
     score_against_bracket,
+    score_cells,
     score_predictions,
     solution_ceilings,
 )
@@ -177,3 +180,61 @@ def test_variants_against_full(spark):
     assert mean_prediction(preds).count() == 2 * n - 1
     out = compare_to_full(gold, preds, n_boot=100).collect()
     assert [r.variant for r in out] == ["worse"] and out[0].significant and out[0].delta > 0
+
+
+def _by_rows(df, values, metric, n_boot, mode, spacing=2**20):
+    """Replicate scores with a row per replicate, in place of blocks."""
+    rows = bootstrap._positions(df, ["g"], "id", values, spacing)
+    reps = bootstrap.resample(rows, ["g"], values, n_boot, 42, mode)
+    out = {}
+    for at, pred in enumerate(values[1:]):
+        for r in score_cells(reps, ["g", "rep"], values[0], pred, (metric,)).collect():
+            out[r.g, r.rep, at] = r[metric]
+    return out
+
+
+@pytest.mark.parametrize(
+    "metric, mode, spacing", [("spearman", "exact", 2**20), ("spearman", "poisson", 160), ("rank_rmse", "exact", 160), ("mae", "exact", 160)]
+)
+def test_blocks_score_as_single_replicates_do(spark, metric, mode, spacing):
+    rng = np.random.default_rng(5)
+    n = 70
+    pdf = pd.DataFrame({
+        "g": ["hot"] * 58 + ["few"] * 10 + ["two"] * 2,
+        "id": [str(i) for i in range(n)],
+        "t": rng.integers(0, 6, n).astype(float),  # ties
+        "a": rng.normal(size=n),
+        "b": [1.5] * n,  # never a rank correlation
+    })
+    df = spark.createDataFrame(pdf)
+    want = _by_rows(df, ["t", "a", "b"], metric, 21, mode)
+    rows = bootstrap._positions(df, ["g"], "id", ["t", "a", "b"], spacing)
+    drawn = bootstrap.resample_blocks(rows, ["g"], ["t", "a", "b"], 21, 42, mode)
+    scores = bootstrap.score_blocks(drawn, ["g"], "t", ["a", "b"], metric, 21, spacing).collect()
+    got = {(r.g, r.rep, at): v for r in scores for at, v in enumerate(r.scores)}
+    assert {r.rep for r in scores} == set(range(21))
+    for key in got:
+        if want.get(key) is None:
+            assert got[key] is None
+        else:
+            assert got[key] == pytest.approx(want[key], abs=1e-9)
+    assert set(want) <= set(got) and any(v is not None for v in got.values())
+
+
+def test_no_exchange_has_a_row_per_replicate(noisy):
+    rows = bootstrap._positions(noisy.withColumn("g", F.lit(0)), ["g"], "id", ["t", "full"], 2**20)
+    for mode in ("exact", "poisson"):
+        drawn = bootstrap.resample_blocks(rows, ["g"], ["t", "full"], 40, 42, mode)
+        plan = drawn._jdf.queryExecution().executedPlan().toString()
+        keys = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+        assert not any("rep#" in line for line in keys)
+        # counts are summed up where the lists of draws lie: one exchange for the lists, none for the codes
+        assert sum("part#" in line for line in keys) == (1 if mode == "exact" else 0)
+    plain = [tuple(r) for r in bootstrap_ci(noisy.limit(0), "id", "t", "full", n_boot=3).collect()]
+    assert plain == []
+
+
+def test_paired_blocks_do_not_depend_on_the_stretches(noisy):
+    a = paired_bootstrap_diff(noisy, "id", "t", "full", "variant", n_boot=20).first()
+    b = paired_bootstrap_diff(noisy.repartition(5), "id", "t", "full", "variant", n_boot=20, spacing=640).first()
+    assert tuple(a)[:4] == pytest.approx(tuple(b)[:4])

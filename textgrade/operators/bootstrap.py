@@ -105,12 +105,15 @@ def resample_blocks(
     draws = rows.select(*group, "position", "rows", reps).select(
         *group, "rep", F.pmod(draw_number(seed, "rep", "position"), F.col("rows")).alias("position")
     )
-    lists = draws.groupBy(
-        *group, F.expr(f"rep div {WIDTH}").alias("block"), F.expr(f"position div {PLACES}").alias("part")
-    ).agg(F.collect_list(F.col("position") * WIDTH + F.col("rep") % WIDTH).alias("codes"))
+    code = (F.col("position") * WIDTH + F.col("rep") % WIDTH).alias("code")
+    placed = draws.select(
+        *group, F.expr(f"rep div {WIDTH}").alias("block"), F.expr(f"position div {PLACES}").alias("part"), code
+    )
+    lists = placed.groupBy(*group, "block", "part").agg(F.collect_list("code").alias("codes"))
     codes = lists.select(*group, "block", "part", F.explode("codes").alias("code"))
     # grouped by what the lists lie by already: nothing moves
-    counts = codes.groupBy(*group, "block", "part", F.expr(f"code div {WIDTH}").alias("position")).agg(
+    codes = codes.withColumn("position", F.expr(f"code div {WIDTH}"))
+    counts = codes.groupBy(*group, "block", "part", "position").agg(
         *[F.count(F.when(F.col("code") % WIDTH == k, 1)).alias(c) for k, c in enumerate(COUNTS)]
     )
     return counts.join(rows.select(*group, "position", *values), [*group, "position"]).select(
