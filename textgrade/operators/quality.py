@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from textgrade.functions.text import has_text, normal_form, text_key
+from textgrade.sources.settled import is_small, settle
 
 # The default length band and language.
 MIN_TOKENS = 3
@@ -32,15 +33,43 @@ def keep_in_band(
     )
 
 
+def _place(order_col: str) -> Column:
+    """Sorting value of a row: rows without a value come last."""
+    return F.struct(F.col(order_col).isNull().alias("none"), F.col(order_col).alias("value"))
+
+
+def repeated_texts(df: DataFrame, order_col: str = "id") -> DataFrame:
+    """``(_corpus, _key, _first, _n)``: texts that occur more than once, the first place, and the rows at it."""
+    narrow = df.select(F.col("corpus").alias("_corpus"), text_key("text").alias("_key"), _place(order_col).alias("place"))
+    cells = narrow.groupBy("_corpus", "_key", "place").agg(F.count(F.lit(1)).alias("n"))
+    texts = cells.groupBy("_corpus", "_key").agg(F.min(F.struct("place", "n")).alias("first"), F.sum("n").alias("rows"))
+    return texts.where("rows > 1").select(
+        "_corpus", "_key", F.col("first.place").alias("_first"), F.col("first.n").alias("_n")
+    )
+
+
 def drop_repeats(df: DataFrame, order_col: str = "id") -> DataFrame:
-    """One row per ``(corpus, text)``: the first by ``order_col``.
+    """One row per ``(corpus, text)``: the first by ``order_col``, rows without a value there last.
+
+    Null corpora and null texts count as values. Of rows that agree in all three one stays; which one
+    is open where their other columns differ.
 
-    A plain aggregation, so copies already meet inside each input partition and a text that makes
-    up a third of the table costs one row per partition in the shuffle.
+    Only keys of texts and order values are grouped, so a text that makes up a third of the table costs
+    a narrow row per partition and place. What is repeated is written; while it is measured to be
+    small it is sent to the rows, and texts stay where they are. ``df`` is read twice.
     """
-    first = F.min_by(F.struct(*df.columns), F.col(order_col)).alias("row")
-    kept = df.groupBy(F.col("corpus").alias("_c"), text_key("text").alias("_k")).agg(first)
-    return kept.select("row.*")
+    repeated = settle(repeated_texts(df, order_col))
+    right = F.broadcast(repeated) if is_small(repeated) else repeated.hint("shuffle_hash")
+    marked = df.withColumns({"_own": text_key("text"), "_place": _place(order_col)})
+    same = F.col("corpus").eqNullSafe(F.col("_corpus")) & F.col("_own").eqNullSafe(F.col("_key"))
+    met = marked.join(right, same, "left").where("_n is null or _place <=> _first")
+    single = met.where("_n is null or _n = 1").select(*df.columns)
+    if repeated.where("_n > 1").isEmpty():
+        return single
+    # Rows that share the first place, too: the only ones grouped with their texts.
+    row = F.any_value(F.struct(*df.columns)).alias("row")
+    shared = met.where("_n > 1").groupBy("_corpus", "_key").agg(row).select("row.*")
+    return single.unionByName(shared)
 
 
 def filter_corpus(

@@ -65,10 +65,11 @@ def ingest_pool(
     )
 
     def land(batch: DataFrame, batch_id: int) -> None:
-        fresh = drop_repeats(batch).withColumn("text_key", text_key("text"))
-        fresh = settle(fresh.withColumn("prefix", key_prefix(F.col("text_key"))))
+        keyed = batch.withColumn("text_key", text_key("text"))
+        chunked = settle(keyed.withColumn("prefix", key_prefix(F.col("text_key"))))
+        fresh = drop_repeats(chunked)
         if batch_id > 0:
-            fresh = fresh.join(earlier_keys(spark, pool, fresh, batch_id), ["corpus", "text_key"], "left_anti")
+            fresh = fresh.join(earlier_keys(spark, pool, chunked, batch_id), ["corpus", "text_key"], "left_anti")
         rows = fresh.select(*COLUMNS, "text_key", "prefix").repartition("prefix")
         rows.write.mode("overwrite").partitionBy("prefix").parquet(f"{pool}/batch={batch_id}")
 
