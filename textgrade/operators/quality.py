@@ -38,9 +38,10 @@ def _place(order_col: str) -> Column:
     return F.struct(F.col(order_col).isNull().alias("none"), F.col(order_col).alias("value"))
 
 
-def repeated_texts(df: DataFrame, order_col: str = "id") -> DataFrame:
+def repeated_texts(df: DataFrame, order_col: str = "id", key: Column | None = None) -> DataFrame:
     """``(_corpus, _key, _first, _n)``: texts that occur more than once, the first place, and the rows at it."""
-    narrow = df.select(F.col("corpus").alias("_corpus"), text_key("text").alias("_key"), _place(order_col).alias("place"))
+    key = text_key("text") if key is None else key
+    narrow = df.select(F.col("corpus").alias("_corpus"), key.alias("_key"), _place(order_col).alias("place"))
     cells = narrow.groupBy("_corpus", "_key", "place").agg(F.count(F.lit(1)).alias("n"))
     texts = cells.groupBy("_corpus", "_key").agg(F.min(F.struct("place", "n")).alias("first"), F.sum("n").alias("rows"))
     return texts.where("rows > 1").select(
@@ -48,26 +49,29 @@ def repeated_texts(df: DataFrame, order_col: str = "id") -> DataFrame:
     )
 
 
-def drop_repeats(df: DataFrame, order_col: str = "id") -> DataFrame:
+def drop_repeats(df: DataFrame, order_col: str = "id", key: Column | None = None) -> DataFrame:
     """One row per ``(corpus, text)``: the first by ``order_col``, rows without a value there last.
 
-    Null corpora and null texts count as values. Of rows that agree in all three one stays; which one
-    is open where their other columns differ.
+    Null corpora and null texts count as values. Of rows that agree in all three one stays, always the
+    same. ``key`` is a stored ``text_key`` of the text, if the caller has one.
 
     Only keys of texts and order values are grouped, so a text that makes up a third of the table costs
     a narrow row per partition and place. What is repeated is written; while it is measured to be
-    small it is sent to the rows, and texts stay where they are. ``df`` is read twice.
+    small it is sent to the rows, and texts stay where they are. ``df`` is read twice: settle it first
+    if it is costly.
     """
-    repeated = settle(repeated_texts(df, order_col))
+    repeated = settle(repeated_texts(df, order_col, key))
     right = F.broadcast(repeated) if is_small(repeated) else repeated.hint("shuffle_hash")
-    marked = df.withColumns({"_own": text_key("text"), "_place": _place(order_col)})
+    own = text_key("text") if key is None else key
+    marked = df.withColumns({"_own": own, "_place": _place(order_col)})
     same = F.col("corpus").eqNullSafe(F.col("_corpus")) & F.col("_own").eqNullSafe(F.col("_key"))
     met = marked.join(right, same, "left").where("_n is null or _place <=> _first")
     single = met.where("_n is null or _n = 1").select(*df.columns)
     if repeated.where("_n > 1").isEmpty():
         return single
     # Rows that share the first place, too: the only ones grouped with their texts.
-    row = F.any_value(F.struct(*df.columns)).alias("row")
+    hashed = F.xxhash64(*[name for name, kind in df.dtypes if "map<" not in kind])
+    row = F.min_by(F.struct(*df.columns), hashed).alias("row")
     shared = met.where("_n > 1").groupBy("_corpus", "_key").agg(row).select("row.*")
     return single.unionByName(shared)
 

@@ -6,8 +6,8 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from textgrade.functions.text import TARGET_WORDS, evenly_spaced, window_text
-from textgrade.operators.quality import LANGUAGES, MAX_TOKENS, MIN_TOKENS, filter_corpus
+from textgrade.functions.text import TARGET_WORDS, evenly_spaced, text_key, window_text
+from textgrade.operators.quality import LANGUAGES, MAX_TOKENS, MIN_TOKENS, drop_repeats, keep_in_band
 from textgrade.operators.ranks import POLARITY, SPACING, harmonize
 from textgrade.operators.splits import SEED, VAL_FRACTION, assign_splits
 from textgrade.schema import canonical, coerce, with_defaults
@@ -24,6 +24,14 @@ def union_corpora(corpora: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, [coerce(c) for c in corpora])
 
 
+def filter_settled(
+    df: DataFrame, min_tokens: int = MIN_TOKENS, max_tokens: int = MAX_TOKENS, languages: tuple[str, ...] = LANGUAGES
+) -> DataFrame:
+    """``filter_corpus`` of rows that cost much to make: those in the band are written once, with a key of their text."""
+    banded = keep_in_band(df, min_tokens, max_tokens, languages).withColumn("_text_key", text_key("text"))
+    return drop_repeats(settle(banded), key=F.col("_text_key")).drop("_text_key")
+
+
 def prepare_corpus(
     corpora: list[DataFrame],
     min_tokens: int = MIN_TOKENS,
@@ -38,9 +46,10 @@ def prepare_corpus(
 ) -> DataFrame:
     """Union, quality filter, difficulty axis, splits: the unified table.
 
-    The filtered rows are settled once; ranking and the split draw both read them again.
+    The rows in the band are settled once with a key of their text. Removal of repeats, ranking and the
+    split draw read them again, all without the texts.
     """
-    clean = settle(filter_corpus(union_corpora(corpora), min_tokens, max_tokens, languages))
+    clean = filter_settled(union_corpora(corpora), min_tokens, max_tokens, languages)
     ranked = harmonize(clean, polarity=polarity, spacing=spacing)
     return canonical(assign_splits(ranked, holdout_corpora, holdout_formats, val_fraction, seed))
 
@@ -90,4 +99,4 @@ def build_external_pool(
     """
     fetched = fetch_texts(docs, per_source_docs, order_col, spacing=spacing)
     chunks = chunk_documents(fetched, min_tokens, max_tokens, max_chunks_per_doc)
-    return filter_corpus(chunks, min_tokens, max_tokens)
+    return filter_settled(chunks, min_tokens, max_tokens)

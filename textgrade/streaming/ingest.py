@@ -67,7 +67,7 @@ def ingest_pool(
     def land(batch: DataFrame, batch_id: int) -> None:
         keyed = batch.withColumn("text_key", text_key("text"))
         chunked = settle(keyed.withColumn("prefix", key_prefix(F.col("text_key"))))
-        fresh = drop_repeats(chunked)
+        fresh = drop_repeats(chunked, key=F.col("text_key"))
         if batch_id > 0:
             fresh = fresh.join(earlier_keys(spark, pool, chunked, batch_id), ["corpus", "text_key"], "left_anti")
         rows = fresh.select(*COLUMNS, "text_key", "prefix").repartition("prefix")
