@@ -1,7 +1,12 @@
+import hashlib
+import math
+
 import numpy as np
 import pytest
+from pyspark.ml.feature import HashingTF
 from pyspark.sql import functions as F
 
+from textgrade.functions.text import difficulty_proxy
 from textgrade.operators.neighbors import map_to_axis, nearest_gold
 from textgrade.operators.pseudo import ensemble_stats, gate_report, generate_pseudo_labels, judge_pool
 from textgrade.operators.training import (
@@ -178,3 +183,46 @@ def test_teachers_learn_and_offsets_vanish_for_unseen_corpora(spark):
     assert len(out) == 120 and out.teacher.nunique() == 2
     hard = out.id.str.slice(2).astype(int) % 2 == 1
     assert out[hard].pred.mean() > out[~hard].pred.mean() + 1
+
+
+def test_teachers_equal_a_plain_solution_of_the_normal_equations(spark):
+    """Everything anew in numpy: draws, hashed counts, document frequencies, ridge solution, shrunken offsets."""
+    random = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(30)]
+    rows = []
+    for i in range(150):
+        picked = list(random.choice(words, random.integers(3, 15)))
+        label = 2.0 * ("w3" in picked) - picked.count("w7") + len(picked) / 5 + float(random.normal(0, 0.3))
+        rows.append((f"c:{i}", " ".join(picked) + ".", "ab"[i % 3 % 2] if i % 10 else None, label if i % 11 else None))
+    df = spark.createDataFrame(rows, "id string, text string, corpus string, native_label double")
+    size, first = 16, 42
+    out = predict_teachers(fit_teachers(df, n_teachers=3, first_seed=first, features=size), df)
+    got = {(r.id, r.teacher): r.pred for r in out.collect()}
+    assert len(got) == 450
+
+    place = HashingTF(numFeatures=size)
+    counts = np.zeros((150, size))
+    for at, (_, text, _, _) in enumerate(rows):
+        for word in text.split():
+            counts[at, place.indexOf(word)] += 1
+    proxy = np.array([r.p for r in df.select(difficulty_proxy("text").alias("p")).collect()])
+    labels = np.array([np.nan if r[3] is None else r[3] for r in rows])
+    known = ~np.isnan(labels)
+    frequency = (counts[known] > 0).sum(axis=0)
+    x = np.column_stack([counts * np.log((known.sum() + 1) / (frequency + 1)), proxy])
+    corpora = np.array([r[2] or "" for r in rows])
+    steps = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(10)])
+    for seed in range(first, first + 3):
+        draws = [int(hashlib.md5(f"{seed}:{r[0]}".encode()).hexdigest()[:8], 16) / 2**32 for r in rows]
+        weight = np.where(known, np.searchsorted(steps, draws, side="right"), 0).astype(float)
+        y = np.where(known, labels, 0.0)
+        mean_x, mean_y = weight @ x / weight.sum(), weight @ y / weight.sum()
+        dx, dy = x - mean_x, y - mean_y
+        gram = (dx * weight[:, None]).T @ dx / weight.sum()
+        spread = math.sqrt(weight @ dy**2 / weight.sum())
+        slope = np.linalg.solve(gram + 0.1 / spread * np.eye(size + 1), (dx * weight[:, None]).T @ dy / weight.sum())
+        plain = mean_y + dx @ slope
+        for corpus in set(corpora):
+            own = corpora == corpus
+            plain[own] += (weight * (y - plain))[own].sum() / (weight[own].sum() + 10)
+        assert np.allclose([got[r[0], seed] for r in rows], plain, atol=1e-6)
