@@ -2,9 +2,11 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from textgrade.functions.draws import DrawBlocks, draw_number
 from textgrade.operators import bootstrap
 from textgrade.operators.ablation import aggregate_seeds, compare_to_full, mean_prediction, score_variants
 from textgrade.operators.bootstrap import bootstrap_ci, paired_bootstrap_diff
@@ -238,3 +240,46 @@ def test_paired_blocks_do_not_depend_on_the_stretches(noisy):
     a = paired_bootstrap_diff(noisy, "id", "t", "full", "variant", n_boot=20).first()
     b = paired_bootstrap_diff(noisy.repartition(5), "id", "t", "full", "variant", n_boot=20, spacing=640).first()
     assert tuple(a)[:4] == pytest.approx(tuple(b)[:4])
+
+
+def test_draws_of_blocks_are_those_of_columns(spark):
+    keys = [None, "", "é", "y" * 31, "z" * 32, "a" * 200, *[str(k) for k in range(120)]]
+    rows = spark.createDataFrame(list(enumerate(keys)), "at int, key string")
+    for seed, reps in ((42, [0, 9, 10, 1999]), (10**30, [7])):
+        drawn = rows.select("at", *[draw_number(seed, F.lit(r), "key").alias(f"r{r}") for r in reps]).orderBy("at").collect()
+        for r in reps:
+            (_, got), = DrawBlocks(pa.array(keys)).numbers(seed, range(r, r + 1))
+            assert got.tolist() == [row[f"r{r}"] for row in drawn]
+
+
+@pytest.mark.parametrize(
+    "metric, mode", [("spearman", "exact"), ("spearman", "poisson"), ("rank_rmse", "exact"), ("rmse", "exact"), ("mae", "poisson"), ("rmse", "poisson")]
+)
+def test_held_replicates_score_as_single_ones_do(spark, metric, mode, monkeypatch):
+    """Groups that fit a task are scored without a shuffled row for each draw or block; so are sums under Poisson counts."""
+    rng = np.random.default_rng(6)
+    n = 70
+    pdf = pd.DataFrame({
+        "g": ["hot"] * 58 + ["few"] * 10 + ["two"] * 2,
+        "id": [str(i) for i in range(n)],
+        "t": rng.integers(0, 6, n).astype(float),
+        "a": rng.normal(size=n),
+        "b": [1.5] * n,
+    })
+    df = spark.createDataFrame(pdf)
+    want = _by_rows(df, ["t", "a", "b"], metric, 21, mode)
+    monkeypatch.setattr(bootstrap, "PARTIAL_SUMS", 30)
+    for blocks in ("resample", "resample_blocks"):
+        monkeypatch.setattr(bootstrap, blocks, None)
+    rows = bootstrap._positions(df, ["g"], "id", ["t", "a", "b"], 2**20)
+    scores = bootstrap._replicate_scores(rows, ["g"], "t", ["a", "b"], metric, 21, 42, mode, 2**20).collect()
+    got = {(r.g, r.rep, at): v for r in scores for at, v in enumerate(r.scores)}
+    assert len(got) == 3 * 21 * 2 and set(want) <= set(got)
+    for key, v in got.items():
+        assert v == (None if want.get(key) is None else pytest.approx(want[key], abs=1e-9))
+
+
+def test_groups_beyond_a_task_are_scored_in_blocks(noisy, monkeypatch):
+    held = bootstrap_ci(noisy, "id", "t", "full", n_boot=20).first()
+    monkeypatch.setattr(bootstrap, "score_replicates", None)
+    assert tuple(bootstrap_ci(noisy, "id", "t", "full", n_boot=20, spacing=16).first()) == pytest.approx(tuple(held))

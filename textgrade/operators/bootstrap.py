@@ -5,17 +5,28 @@ Two ways to resample. ``exact`` draws n row positions for each replicate, as tex
 row and value metrics reduce to one partial sum per replicate and partition; for large n both have
 the same distribution. The caller names the way; the size of the data never changes it.
 
-Replicates come in blocks of ``WIDTH``: a row carries its counts in all replicates of a block side
-by side, and ranks are running totals of that many counters at once. What is shuffled and sorted is
-a row per block, never one per replicate. Draws of ``exact`` travel as lists, one for each stretch
-of ``PLACES`` positions. Pair metrics alone still take a row per replicate.
+Replicates are independent, so they are what is dealt out: each task has its share of them and the
+narrow rows of one group, whose draws, counts and ranks are then arrays of that task. That is for
+groups measured to have at most ``STRETCHES`` stretches of rows, which bounds a task's memory.
+
+Beyond that replicates come in blocks of ``WIDTH``: a row carries its counts in all replicates of a
+block side by side, and ranks are running totals of that many counters at once. What is shuffled and
+sorted is a row per block, never one per replicate. Draws of ``exact`` travel as lists, one for each
+stretch of ``PLACES`` positions. Value metrics under Poisson counts are partial sums of whatever rows
+a task has, at any size. Pair metrics alone still take a row per replicate.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from collections.abc import Iterator
 
-from textgrade.functions.draws import DRAW_RANGE, draw_number
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+
+from textgrade.functions.draws import DRAW_RANGE, DrawBlocks, draw_number
 from textgrade.functions.numbers import finite
 from textgrade.operators.metrics import HIGHER_IS_BETTER, PAIR_METRICS, VALUE_METRICS, score_cells
 from textgrade.operators.ranks import SPACING, running_totals, unique_rank
@@ -25,6 +36,9 @@ from textgrade.sources.settled import settle
 WIDTH = 16
 PLACES = 2**14
 COUNTS = [f"_w{k}" for k in range(WIDTH)]
+# Stretches of rows, about 80 bytes each, that a task holds to score whole replicates. Partial sums that it holds.
+STRETCHES = 8
+PARTIAL_SUMS = 2**20
 
 # Cumulative Poisson(1) probabilities for counts 0, 1, 2, ..., as far as 32-bit draws can tell apart.
 POISSON_STEPS = (
@@ -183,9 +197,125 @@ def score_blocks(
     )
 
 
-def _in_blocks(metric: str, mode: str) -> bool:
-    """Whether replicates are scored in blocks; Poisson counts under a value metric need no shuffle as it is."""
-    return metric not in PAIR_METRICS and not (metric in VALUE_METRICS and mode == "poisson")
+def _poisson_counts(draws: np.ndarray) -> np.ndarray:
+    return np.searchsorted(POISSON_STEPS, draws / DRAW_RANGE, side="right")
+
+
+def _value_parts(target: np.ndarray, preds: list[np.ndarray], metric: str) -> list[np.ndarray]:
+    """What a value metric adds up over rows, for each prediction."""
+    gaps = [p - target for p in preds]
+    return [g * g if metric == "rmse" else np.abs(g) if metric == "mae" else g for g in gaps]
+
+
+def _rank_score(metric: str, counts: np.ndarray, t: np.ndarray, p: np.ndarray) -> float | None:
+    """A rank metric of one replicate from the rows' counts and ranks less the middle rank."""
+    n = counts.sum()
+    if metric == "rank_rmse":
+        return float(np.sqrt(counts @ (t - p) ** 2 / n) / n) if n >= 2 else None
+    weighted = counts * t
+    spread = float(np.sqrt(weighted @ t) * np.sqrt((counts * p) @ p))
+    return float(weighted @ p) / spread if n >= 3 and spread else None
+
+
+def score_replicates(
+    rows: DataFrame, group: list[str], target: str, preds: list[str], metric: str, n_boot: int, seed: int, mode: str,
+    groups: int = 1,
+) -> DataFrame:
+    """``(group, rep, scores)`` as from ``score_blocks``, each replicate of a group scored by one task.
+
+    For groups known to be small enough for a task; ``groups`` says how many there are. Rows go to a few tasks each, never
+    to one for every replicate.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    shares = max(1, min(-(-cores // max(groups, 1)), n_boot))
+    share = F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("_share")
+    narrow = rows.select(*group, F.col("row_id").cast("string").alias("row_id"), "position", target, *preds, share)
+    if mode == "exact":
+        narrow = narrow.drop("row_id")
+    narrow = narrow.repartitionByRange(min(groups * shares, 4 * cores) or 1, *group, "_share")
+    schema = narrow.select(*group).schema.add("rep", T.IntegerType()).add("scores", T.ArrayType(T.DoubleType()))
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        order = np.argsort(table.column("position").to_numpy())
+        values = [table.column(c).to_numpy()[order] for c in (target, *preds)]
+        keys = table.column("position").cast(pa.string()) if mode == "exact" else table.column("row_id")
+        drawn = DrawBlocks(pc.take(keys, pa.array(order)).combine_chunks())
+        n = len(order)
+        if metric in VALUE_METRICS:
+            parts = _value_parts(values[0], values[1:], metric)
+        else:
+            places = [np.unique(v, return_inverse=True)[1].astype(np.int32) for v in values]
+        del values, table, keys
+        reps, scores = [], []
+        for rep, draws in drawn.numbers(seed, range(key[-1].as_py(), n_boot, shares)):
+            if mode == "exact":
+                counts = np.bincount(draws % np.uint32(n), minlength=n).astype(np.float64)
+            else:
+                counts = _poisson_counts(draws).astype(np.float64)
+            total = counts.sum()
+            if metric in VALUE_METRICS:
+                found = [float(counts @ part) / total if total else None for part in parts]
+                found = [f if f is None or metric != "rmse" else float(np.sqrt(f)) for f in found]
+            else:
+                ranks = []
+                for place in places:
+                    of_place = np.bincount(place, weights=counts)
+                    ranks.append((np.cumsum(of_place) - of_place / 2 - total / 2)[place])
+                found = [_rank_score(metric, counts, ranks[0], r) for r in ranks[1:]]
+            reps.append(rep)
+            scores.append(found)
+        columns = {g: pa.repeat(k, len(reps)) for g, k in zip(group, key, strict=False)}
+        columns |= {"rep": pa.array(reps, pa.int32()), "scores": pa.array(scores, pa.list_(pa.float64()))}
+        return pa.table(columns)
+
+    return narrow.groupBy(*group, "_share").applyInArrow(run, schema)
+
+
+def score_partial_sums(
+    rows: DataFrame, group: list[str], target: str, preds: list[str], metric: str, n_boot: int, seed: int
+) -> DataFrame:
+    """``(group, rep, scores)`` of a value metric under Poisson counts, from sums over the rows that a task has."""
+    narrow = rows.select(*group, F.col("row_id").cast("string").alias("row_id"), target, *preds)
+    schema = narrow.select(*group).schema.add("rep", T.IntegerType()).add("sums", T.ArrayType(T.DoubleType()))
+
+    def made(totals: dict[tuple, np.ndarray]) -> Iterator[pd.DataFrame]:
+        for key, total in totals.items():
+            frame = {g: [k] * n_boot for g, k in zip(group, key, strict=True)}
+            yield pd.DataFrame(frame | {"rep": np.arange(n_boot, dtype=np.int32), "sums": list(total)})
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        totals: dict[tuple, np.ndarray] = {}
+        for frame in frames:
+            for key, part in frame.groupby(group, sort=False):
+                total = totals.setdefault(key, np.zeros((n_boot, 1 + len(preds))))
+                values = _value_parts(part[target].to_numpy(), [part[p].to_numpy() for p in preds], metric)
+                added = np.stack([np.ones(len(part)), *values], axis=1)
+                for rep, draws in DrawBlocks(pa.array(part["row_id"], pa.string())).numbers(seed, range(n_boot)):
+                    total[rep] += _poisson_counts(draws).astype(np.float64) @ added
+            if len(totals) * n_boot > PARTIAL_SUMS:
+                yield from made(totals)
+                totals = {}
+        yield from made(totals)
+
+    sums = narrow.mapInPandas(run, schema)
+    totals = [F.sum(F.get("sums", F.lit(k))).alias(f"_s{k}") for k in range(len(preds) + 1)]
+    means = [F.try_divide(F.col(f"_s{k}"), F.col("_s0")) for k in range(1, len(preds) + 1)]
+    scores = F.array(*[F.sqrt(m) if metric == "rmse" else m for m in means]).alias("scores")
+    return sums.groupBy(*group, "rep").agg(*totals).select(*group, "rep", scores)
+
+
+def _replicate_scores(
+    rows: DataFrame, group: list[str], target: str, preds: list[str], metric: str, n_boot: int, seed: int, mode: str,
+    spacing: int,
+) -> DataFrame:
+    """``(group, rep, scores)`` of a value or rank metric, the way that the size of the groups asks for."""
+    if metric in VALUE_METRICS and mode == "poisson":
+        return score_partial_sums(rows, group, target, preds, metric, n_boot, seed)
+    sizes = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)), F.max("n")).first()
+    if (sizes[1] or 0) <= STRETCHES * spacing:
+        return score_replicates(rows, group, target, preds, metric, n_boot, seed, mode, sizes[0])
+    drawn = resample_blocks(rows, group, [target, *preds], n_boot, seed, mode)
+    return score_blocks(drawn, group, target, preds, metric, n_boot, spacing)
 
 
 def _check(mode: str) -> None:
@@ -213,9 +343,8 @@ def bootstrap_ci(
     rows = _positions(base, keys, row_id, [target, pred], spacing)
     whole = rows.groupBy(*keys, target, pred).agg(F.count(F.lit(1)).alias("cnt"))
     point = score_cells(whole, keys, target, pred, (metric,), spacing)
-    if _in_blocks(metric, mode):
-        drawn = resample_blocks(rows, keys, [target, pred], n_boot, seed, mode)
-        scores = score_blocks(drawn, keys, target, [pred], metric, n_boot, spacing)
+    if metric not in PAIR_METRICS:
+        scores = _replicate_scores(rows, keys, target, [pred], metric, n_boot, seed, mode, spacing)
         scores = scores.select(*keys, "rep", F.get("scores", F.lit(0)).alias(metric))
     else:
         reps = resample(rows, keys, [target, pred], n_boot, seed, mode)
@@ -273,9 +402,8 @@ def paired_bootstrap_diff(
         return full - variant if metric in HIGHER_IS_BETTER else variant - full
 
     point = differences(rows.withColumn("cnt", F.lit(1).cast("long")), keys)
-    if _in_blocks(metric, mode):
-        drawn = resample_blocks(rows, keys, values, n_boot, seed, mode)
-        scores = score_blocks(drawn, keys, target, [pred_full, pred_variant], metric, n_boot, spacing)
+    if metric not in PAIR_METRICS:
+        scores = _replicate_scores(rows, keys, target, [pred_full, pred_variant], metric, n_boot, seed, mode, spacing)
         delta = favour(F.get("scores", F.lit(0)), F.get("scores", F.lit(1)))
         deltas = scores.select(*keys, delta.alias("delta"))
     else:
