@@ -1,5 +1,6 @@
 """The same answers at every size: forced stretches and blocks against the plain way, with awkward keys."""
 
+import tracemalloc
 import datetime as dt
 from decimal import Decimal
 
@@ -9,6 +10,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from textgrade.operators.ablation import mean_prediction, score_variants
+from textgrade.operators import neighbors
 from textgrade.operators.neighbors import nearest_gold
 from textgrade.operators.pseudo import ensemble_stats, missing_inputs
 from textgrade.operators.ranks import exact_quantiles, joint_ranks, unique_rank, value_ranks
@@ -136,3 +138,31 @@ def test_many_teachers(spark):
     preds = spark.range(1500).select(F.lit("x").alias("id"), F.col("id").alias("teacher"), F.lit(2.0).alias("pred"))
     row = ensemble_stats(preds, list(range(1500))).first()
     assert (row["mean"], row["std"]) == (2.0, 0.0)
+
+
+def test_nearest_gold_does_not_depend_on_groups(spark, monkeypatch):
+    draw = np.random.default_rng(9)
+    kind = "id string, embedding array<double>"
+    pool = spark.createDataFrame([(f"p{k}", [float(x) for x in draw.normal(size=5)]) for k in range(60)], kind)
+    gold = spark.createDataFrame([(f"g{k:02d}", [float(x) for x in draw.normal(size=5)]) for k in range(50)], kind)
+    whole = rows_of(nearest_gold(pool, gold))
+    monkeypatch.setattr(neighbors, "GROUP_BYTES", 600)
+    for size in (16, 200):
+        assert rows_of(nearest_gold(pool, gold, block_bytes=size)) == whole
+
+
+def test_closest_holds_a_tile_of_distances():
+    draw = np.random.default_rng(10)
+    rows, gold = draw.normal(size=(6000, 8)), draw.normal(size=(5000, 8))
+    gold[4500] = gold[70]
+    rows[5] = gold[70]
+    rows, gold = (m / np.linalg.norm(m, axis=1, keepdims=True) for m in (rows, gold))
+    distance = np.round(1.0 - rows[:300] @ gold.T, neighbors.DECIMALS)
+    tracemalloc.start()
+    best, who = neighbors._closest(rows, np.arange(5000), gold)
+    assert tracemalloc.get_traced_memory()[1] < 64 * 2**20  # it was 600 MB with a batch's distances at once
+    tracemalloc.stop()
+    assert who[5] == 70 and who[:300].tolist() == distance.argmin(axis=1).tolist()
+    assert best[:300] == pytest.approx(np.maximum(distance.min(axis=1), 0))
+    few, same = neighbors._closest(rows, np.arange(5000), gold, 64)
+    assert same.tolist() == who.tolist() and few == pytest.approx(best)

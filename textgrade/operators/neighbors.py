@@ -12,10 +12,15 @@ from textgrade.functions.numbers import as_number, clip
 from textgrade.operators.ranks import SPACING, adjacent_knots, running_totals
 from textgrade.sources.settled import settle
 
-# Bytes of vectors in a block: of gold that is broadcast, or of either side that a task holds at a time.
+# Bytes of vectors in a block: of gold that is broadcast, or of gold that is compared at a time.
 BLOCK_BYTES = 64 * 2**20
-# Reference rows compared with one task's batch at a time.
+# Bytes of vectors, as doubles, of either side that meet in one group beyond that; parts for idle cores are no smaller
+# than the second.
+GROUP_BYTES = 16 * 2**20
+SMALLEST_GROUP = 2**20
+# Reference rows compared at a time, and distances that a task holds.
 BLOCK_ROWS = 4096
+TILE_CELLS = 2**20
 # Distances are compared at this many decimals, so that equal vectors tie in every layout.
 DECIMALS = 9
 # Knots up to this many are held by every task (16 bytes each).
@@ -28,24 +33,37 @@ def _unit(vectors) -> np.ndarray:
     return matrix / np.where(norms == 0, 1.0, norms)
 
 
-def _closest(rows: np.ndarray, ids: np.ndarray, gold: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Smallest cosine distance and its gold id; the smallest id wins a tie."""
+def _closest(
+    rows: np.ndarray, ids: np.ndarray, gold: np.ndarray, block_rows: int = BLOCK_ROWS
+) -> tuple[np.ndarray, np.ndarray]:
+    """Smallest cosine distance and its gold id; the smallest id wins a tie. Holds one tile of distances."""
     best = np.full(len(rows), np.inf)
     who = np.zeros(len(rows), dtype="int64")
-    for at in range(0, len(gold), BLOCK_ROWS):
-        distance = np.round(1.0 - rows @ gold[at : at + BLOCK_ROWS].T, DECIMALS)
-        place = distance.argmin(axis=1)
-        value = distance[np.arange(len(rows)), place]
-        better = value < best
-        best[better] = value[better]
-        who[better] = place[better] + at
+    tile = max(TILE_CELLS // block_rows, 1)
+    for low in range(0, len(rows), tile):
+        part, nearest, place_of = rows[low : low + tile], best[low : low + tile], who[low : low + tile]
+        every = np.arange(len(part))
+        for at in range(0, len(gold), block_rows):
+            likeness = part @ gold[at : at + block_rows].T
+            most = likeness.max(axis=1)
+            value = np.round(1.0 - most, DECIMALS)
+            # the first that can round to the least distance; where it does not, all are rounded
+            place = (likeness >= (most - 2 * 10.0**-DECIMALS)[:, None]).argmax(axis=1)
+            other = np.flatnonzero(np.round(1.0 - likeness[every, place], DECIMALS) != value)
+            if len(other):
+                place[other] = np.round(1.0 - likeness[other], DECIMALS).argmin(axis=1)
+            better = value < nearest
+            nearest[better] = value[better]
+            place_of[better] = place[better] + at
     return np.maximum(best, 0.0), ids[who]
 
 
-def _matches(rows: pd.DataFrame, gold: pd.DataFrame) -> pd.DataFrame:
-    """The nearest of some gold rows for each of some pool rows."""
+def _matches(rows: pd.DataFrame, gold: pd.DataFrame, block_bytes: int) -> pd.DataFrame:
+    """The nearest of some gold rows for each of some pool rows, with a block of gold at a time."""
     gold = gold.sort_values("neighbour", na_position="first")
-    distance, neighbour = _closest(_unit(rows["vector"]), gold["neighbour"].to_numpy(), _unit(gold["vector"]))
+    refs = _unit(gold["vector"])
+    block_rows = min(max(block_bytes // max(refs[0].nbytes, 1), 1), BLOCK_ROWS)
+    distance, neighbour = _closest(_unit(rows["vector"]), gold["neighbour"].to_numpy(), refs, block_rows)
     return pd.DataFrame({"row": rows["row"], "id": rows["id"], "neighbour": neighbour, "distance": distance})
 
 
@@ -66,11 +84,17 @@ def _search_one_block(rows: DataFrame, refs: DataFrame, schema: str) -> DataFram
     return rows.mapInPandas(search, schema)
 
 
-def _search_blocks(rows: DataFrame, refs: DataFrame, blocks: int, block_bytes: int, schema: str) -> DataFrame:
-    """Every block of the pool meets every block of gold in a cogroup; the least of a row's matches is kept."""
+def _search_blocks(rows: DataFrame, refs: DataFrame, gold_bytes: int, block_bytes: int, schema: str) -> DataFrame:
+    """Groups of the pool meet groups of gold in a cogroup, block by block; the least of a row's matches is kept.
+
+    The size of a group bounds what a task holds and how often vectors are sent; it does not follow that of a block.
+    """
     numbered = settle(rows.withColumn("row", F.monotonically_increasing_id()))
     cost = numbered.agg(F.sum(F.size("vector") * 8)).first()[0] or 0
-    parts = max(1, -(-cost // block_bytes))
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    blocks = max(1, -(-gold_bytes // GROUP_BYTES))
+    # a part for every core, if they are not too small to be worth a task
+    parts = max(1, -(-cost // GROUP_BYTES), min(cores, cost // SMALLEST_GROUP))
     left = numbered.withColumns(
         {"part": F.pmod(F.xxhash64("row"), F.lit(parts)), "block": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))}
     )
@@ -83,7 +107,7 @@ def _search_blocks(rows: DataFrame, refs: DataFrame, blocks: int, block_bytes: i
 
     def match(pool: pd.DataFrame, gold: pd.DataFrame) -> pd.DataFrame:
         if len(pool) and len(gold):
-            return _matches(pool, gold)
+            return _matches(pool, gold, block_bytes)
         return pd.DataFrame({"row": [], "id": [], "neighbour": [], "distance": []})
 
     by = ["part", "block"]
@@ -113,11 +137,10 @@ def nearest_gold(
     types = dict(pool.select(id_col).dtypes), dict(gold.select(id_col).dtypes)
     schema = f"id {types[0][id_col]}, neighbour {types[1][id_col]}, distance double"
     cost = refs.agg(F.coalesce(F.sum(F.size("vector") * 8), F.lit(0))).first()[0]
-    blocks = max(1, -(-cost // block_bytes))
-    if blocks == 1:
+    if cost <= block_bytes:
         return _search_one_block(rows, refs, schema)
     # copies of a gold row can only tie with it
-    return _search_blocks(rows, refs.distinct(), blocks, block_bytes, schema)
+    return _search_blocks(rows, refs.distinct(), cost, block_bytes, schema)
 
 
 def _end_slopes(first, second, last, before) -> tuple[float, float]:
