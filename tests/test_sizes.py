@@ -1,7 +1,7 @@
 """The same answers at every size: forced stretches and blocks against the plain way, with awkward keys."""
 
-import tracemalloc
 import datetime as dt
+import tracemalloc
 from decimal import Decimal
 
 import numpy as np
@@ -9,8 +9,10 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from textgrade.operators.ablation import mean_prediction, score_variants
+from textgrade.functions.text import SLICE, excerpts, window_text
+from textgrade.llm import extraction
 from textgrade.operators import neighbors
+from textgrade.operators.ablation import mean_prediction, score_variants
 from textgrade.operators.neighbors import nearest_gold
 from textgrade.operators.pseudo import ensemble_stats, missing_inputs
 from textgrade.operators.ranks import exact_quantiles, joint_ranks, unique_rank, value_ranks
@@ -166,3 +168,14 @@ def test_closest_holds_a_tile_of_distances():
     assert best[:300] == pytest.approx(np.maximum(distance.min(axis=1), 0))
     few, same = neighbors._closest(rows, np.arange(5000), gold, 64)
     assert same.tolist() == who.tolist() and few == pytest.approx(best)
+
+
+def test_texts_are_packed_and_extracted_a_slice_at_a_time(spark):
+    n = 2 * SLICE + 3
+    texts = [None if k % 7 == 0 else "\n\n".join(f"{k} {j} " + "w " * (k % 50) for j in range(k % 9)) for k in range(n)]
+    df = spark.createDataFrame([(k, t, f"<html><body><p>{k} is a page</p></body></html>" if t else None) for k, t in enumerate(texts)], "k int, text string, html string").coalesce(1)
+    got = {r.k: r.w for r in df.select("k", window_text("text", 60, 90, 20).alias("w")).collect()}
+    assert got == {k: None if t is None else excerpts(t, 60, 90, 20) for k, t in enumerate(texts)}
+    pages = extraction.extract_main_text(df, ("k",))
+    assert {r.k: r.text for r in pages.collect()} == {k: extraction.main_text(f"<html><body><p>{k} is a page</p></body></html>" if t else None) for k, t in enumerate(texts)}
+    assert n > 2 * extraction.SLICE and "MapInArrow" in pages._jdf.queryExecution().executedPlan().toString()

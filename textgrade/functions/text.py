@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, functions as F
 
 # The characters counted as white space (Unicode separators and control blanks),
@@ -26,6 +26,9 @@ TARGET_WORDS = 180
 MAX_WORDS = 320
 MIN_WORDS = 50
 
+# Texts of a batch that a task has as Python strings at a time.
+SLICE = 256
+
 
 def _col(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
@@ -143,10 +146,14 @@ def window_text(
 ) -> Column:
     """Array of excerpts per document. Follow with ``posexplode_outer`` to get one row each."""
 
-    @F.pandas_udf("array<string>")
-    def pack(texts: pd.Series) -> pd.Series:
-        return texts.map(
-            lambda t: None if t is None else excerpts(t, target_words, max_words, min_words)
-        )
+    @F.arrow_udf("array<string>")
+    def pack(texts: pa.Array) -> pa.Array:
+        packed = [pa.array([], pa.list_(pa.string()))]
+        # Python strings of a few texts at a time, whatever the size of the batch
+        for low in range(0, len(texts), SLICE):
+            few = texts.slice(low, SLICE).to_pylist()
+            lists = [None if t is None else excerpts(t, target_words, max_words, min_words) for t in few]
+            packed.append(pa.array(lists, pa.list_(pa.string())))
+        return pa.concat_arrays(packed)
 
     return pack(_col(text))

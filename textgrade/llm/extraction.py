@@ -18,9 +18,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html import unescape
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+# Pages of a batch that a task has as Python strings at a time.
+SLICE = 64
+
 # Names of HTML.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title noscript iframe noembed noframes xmp template svg".split())
@@ -390,16 +393,19 @@ def extract_main_text(pages: DataFrame, keys: tuple[str, ...] = ("page_id", "url
     keys are left out. Pages stay where they are: nothing is shuffled.
     """
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            frame["text"] = [main_text(h if isinstance(h, str) else None) for h in frame["html"]]
-            yield frame.drop(columns="html")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            # pages as Python strings a few at a time, whatever the size of the batch
+            for low in range(0, batch.num_rows, SLICE):
+                few = batch.slice(low, SLICE)
+                texts = pa.array([main_text(h) for h in few.column("html").to_pylist()], pa.string())
+                yield pa.RecordBatch.from_arrays([*few.columns[:-1], texts], names=[*few.schema.names[:-1], "text"])
 
     # the keys pass through under neutral names, so that they may be called like the results
     neutral = [F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]
     rows = pages.select(*neutral, F.col(html_col).cast("string").alias("html"))
     kinds = ", ".join(f"k{i} {rows.schema[f'k{i}'].dataType.simpleString()}" for i in range(len(keys)))
-    out = rows.mapInPandas(run, f"{kinds}, text string")
+    out = rows.mapInArrow(run, f"{kinds}, text string")
     return out.select(
         *[F.col(f"k{i}").alias(k) for i, k in enumerate(keys)], "text", F.length("text").cast("long").alias("n_chars")
     )
