@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from textgrade.functions.numbers import as_number, finite
 from textgrade.operators.pairs import pair_counts
-from textgrade.operators.ranks import SPACING, exact_quantiles, measured_joint_ranks
+from textgrade.operators.ranks import SPACING, exact_quantiles, ranks_of_cells
+from textgrade.operators.stretches import written_cells
 from textgrade.sources.settled import settle
 
 VALUE_METRICS = ("rmse", "mae", "mean_signed_error")
@@ -56,24 +59,28 @@ def score_cells(
     pred: str,
     metrics: tuple[str, ...] = METRICS,
     spacing: int = SPACING,
+    written: bool = False,
 ) -> DataFrame:
     """Metrics per group of clean cells ``(group, target, pred, cnt)``.
 
     Ranks and pair counts are computed only where a metric asks for them. Groups without a clean
-    row are absent.
+    row are absent. Several rows may be one cell; ``written`` says that they come from ``written_cells``.
     """
     values = {k: v for k, v in _value_columns(target, pred).items() if k in metrics}
     if not set(metrics) & {*RANK_METRICS, *PAIR_METRICS}:
         both = cells.where(F.col(target).isNotNull() & F.col(pred).isNotNull())
         return both.groupBy(*group).agg(*[v.alias(k) for k, v in values.items()])
-    ranked, small = measured_joint_ranks(cells, group, target, pred, spacing)
+    if not written:
+        both = cells.where(F.col(target).isNotNull() & F.col(pred).isNotNull())
+        cells = written_cells(both, group, [target, pred])
+    ranked = ranks_of_cells(cells, group, target, pred, spacing)
     if set(metrics) & set(PAIR_METRICS):
         ranked = settle(ranked)
     values.update({k: v for k, v in _rank_columns().items() if k in metrics})
     columns = [v.alias(k) for k, v in values.items()] or [F.sum("cnt").alias("_n")]
     scores = ranked.groupBy(*group).agg(*columns)
     if set(metrics) & set(PAIR_METRICS):
-        c = pair_counts(ranked, group, pred, None if small else spacing)
+        c = pair_counts(ranked, group, pred, spacing)
         order = F.col("pairs") - F.col("tied_target")
         spread = F.sqrt(order) * F.sqrt(F.col("pairs") - F.col("tied_pred"))
         tau = F.try_divide(F.col("concordant") - F.col("discordant"), spread)
@@ -95,11 +102,15 @@ def score_groups(
 ) -> DataFrame:
     """Metrics and ``n`` (finite targets, with or without prediction) for every group of rows."""
     clean = clean_pairs(df, target, pred).select(*group, target, pred)
-    cells = clean.groupBy(*group, target, pred).agg(F.count(F.lit(1)).alias("cnt"))
+    written = not set(metrics) <= set(VALUE_METRICS)
+    if written:
+        cells = written_cells(clean, group, [target, pred])
+    else:
+        cells = clean.groupBy(*group, target, pred).agg(F.count(F.lit(1)).alias("cnt"))
     sizes = cells.groupBy(*group).agg(
         F.coalesce(F.sum(F.when(F.col(target).isNotNull(), F.col("cnt"))), F.lit(0)).alias("n")
     )
-    scores = score_cells(cells, group, target, pred, metrics, spacing)
+    scores = score_cells(cells, group, target, pred, metrics, spacing, written)
     return sizes.join(scores, group, "left").select(
         *group, *[m for m in METRICS if m in metrics], "n"
     )
@@ -126,10 +137,9 @@ def score_against_bracket(
     if group_col and group_col in df.columns:
         name = F.col(group_col).cast("string").alias("group")
         slices.append(F.struct(F.lit(False).alias("is_all"), name))
+    own_group = [group_col] if len(slices) > 1 else []
     rows = (
-        clean_pairs(df, target_col, pred_col)
-        .groupBy(*([group_col] if len(slices) > 1 else []), target_col, pred_col)
-        .agg(F.count(F.lit(1)).alias("cnt"))
+        written_cells(clean_pairs(df, target_col, pred_col), own_group, [target_col, pred_col])
         .select(target_col, pred_col, "cnt", F.explode(F.array(*slices)).alias("s"))
         .select("s.*", target_col, pred_col, "cnt")
         .where("group is not null")
@@ -137,7 +147,7 @@ def score_against_bracket(
     keys = ["is_all", "group"]
     counted = F.sum(F.when(F.col(target_col).isNotNull(), F.col("cnt")))
     sizes = rows.groupBy(*keys).agg(F.coalesce(counted, F.lit(0)).alias("n"))
-    scores = score_cells(rows, keys, target_col, pred_col, metrics, spacing)
+    scores = score_cells(rows, keys, target_col, pred_col, metrics, spacing, written=True)
     return sizes.join(scores, keys, "left").select(
         *keys, *[m for m in METRICS if m in metrics], "n"
     )
@@ -172,9 +182,12 @@ def _unpivot(df: DataFrame, target: str, columns: list[str]) -> DataFrame:
 
 
 def _per_reference(
-    df: DataFrame, target: str, columns: list[str], extra: dict[str, Column], metrics, spacing
+    df: DataFrame, target: str, columns: list[str], extra: dict[str, Callable[[Column, Column], Column]], metrics, spacing
 ) -> DataFrame:
-    """Scores of several columns against one target: all columns in one pass, absent ones null."""
+    """Scores of several columns against one target: all columns in one pass, absent ones null.
+
+    Row counts and ``extra`` are summed over the wide rows, where they lie; only ranks need a row a column.
+    """
     spark = df.sparkSession
     names = spark.createDataFrame([(i, c) for i, c in enumerate(columns)], "at int, reference string")
     here = [c for c in columns if c in df.columns]
@@ -182,11 +195,14 @@ def _per_reference(
     if not here:
         empty = [F.lit(None).cast("double").alias(c) for c in wanted]
         return names.select("reference", *empty, F.lit(0).cast("long").alias("n"))
-    long = _unpivot(df, target, here)
-    scores = score_groups(long, ["reference"], "y", "x", metrics, spacing).drop("n")
-    sizes = long.groupBy("reference").agg(
-        F.count(F.lit(1)).alias("n"), *[v.alias(k) for k, v in extra.items()]
-    )
+    scores = score_groups(_unpivot(df, target, here), ["reference"], "y", "x", metrics, spacing).drop("n")
+    y, counted = as_number(F.col(target)), []
+    for name in here:
+        x = as_number(F.col(name))
+        pair = F.when(x.isNotNull(), y), F.when(y.isNotNull(), x)
+        facts = {"n": F.count(pair[0]), **{k: v(*pair) for k, v in extra.items()}}
+        counted.append(F.struct(F.lit(name).alias("reference"), *[v.alias(k) for k, v in facts.items()]))
+    sizes = df.agg(F.array(*counted).alias("all")).select(F.explode("all").alias("e")).select("e.*")
     return (
         names.join(sizes, "reference", "left")
         .join(scores, "reference", "left")
@@ -194,18 +210,18 @@ def _per_reference(
     )
 
 
-def _r2() -> Column:
-    """Squared correlation of ``y`` and ``x``."""
-    spread = F.stddev_pop("y") * F.stddev_pop("x")
-    r = F.try_divide(F.covar_pop("y", "x"), spread)
-    return F.when(F.count(F.lit(1)) >= 3, r * r)
+def _r2(y: Column, x: Column) -> Column:
+    """Squared correlation of ``y`` and ``x``, null where either is."""
+    spread = F.stddev_pop(y) * F.stddev_pop(x)
+    r = F.try_divide(F.covar_pop(y, x), spread)
+    return F.when(F.count(y) >= 3, r * r)
 
 
 def formula_baselines(
     df: DataFrame, target_col: str, formula_cols: list[str], spacing: int = SPACING
 ) -> DataFrame:
     """Spearman and linear R^2 of each formula column; fewer than three pairs give nulls."""
-    return _per_reference(df, target_col, formula_cols, {"r2": _r2()}, ("spearman",), spacing)
+    return _per_reference(df, target_col, formula_cols, {"r2": _r2}, ("spearman",), spacing)
 
 
 def solution_ceilings(
@@ -250,7 +266,7 @@ def reference_bracket(
         entry("noise_floor", F.lit(se_col), "median_se", "median_se", "n_se"),
     )
     columns = list(dict.fromkeys([*formula_cols, *solution_cols]))
-    rest = _per_reference(df, target_col, columns, {"r2": _r2()}, ("rmse", "spearman"), spacing)
+    rest = _per_reference(df, target_col, columns, {"r2": _r2}, ("rmse", "spearman"), spacing)
     both = F.concat(listed(formula_cols, "formula", ("spearman", "r2")), listed(solution_cols, "ceiling", ("rmse", "spearman")))
     return (
         whole.select(F.explode(head).alias("e"))

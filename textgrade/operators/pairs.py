@@ -1,83 +1,22 @@
 """Sums over pairs of rows without ever forming the pairs.
 
-How many pairs agree in order is a count, for every row, of the rows below it in two directions.
-Write the place of one direction in base 8: two rows differ first at one digit, so each digit level
-sees a pair exactly once, among the rows that share the digits above it. There the question has
-only the other direction left, and running totals answer it. The work is rows x digits.
+How many pairs agree in order is a count, for every row, of the rows below it in two directions: ``pair_sums`` of
+``stretches`` does it for any weights of the earlier and the later row.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from textgrade.operators.ranks import SPACING, running_totals, value_ranks
+from textgrade.operators.ranks import SPACING
+from textgrade.operators.stretches import STRETCH, pair_sums, written_cells
 
-BITS = 3
-FAN = 2**BITS
 
-
-def digit_levels(df: DataFrame, place: str, places: str) -> DataFrame:
-    """One row per base-8 digit of ``place`` (0-based): ``level``, ``prefix``, ``digit``."""
-    digits = F.length(F.conv(F.col(places) - 1, 10, FAN))
-    levels = F.sequence(F.lit(0), digits - 1)
-    spread = df.where(F.col(places) > 1).withColumn("level", F.explode(levels))
-    shifted = F.expr(f"shiftright({place}, level * {BITS})")
-    return spread.withColumn("digit", F.pmod(shifted, F.lit(FAN))).withColumn(
-        "prefix", F.expr(f"shiftright({place}, level * {BITS} + {BITS})")
-    )
-
-
-def smaller_both_ways(
-    cells: DataFrame,
-    group: list[str],
-    place: str,
-    places: str,
-    order: list[str],
-    sums: dict[str, Column],
-    spacing: int | None = SPACING,
-) -> DataFrame:
-    """For cells with digit d: totals of ``sums`` over cells lower in ``place`` and in ``order``.
-
-    Returns one row per (group, level, prefix, order) with ``c_<name>_<digit>`` (own sums) and
-    ``before_b_<name>_<digit>`` (sums of lower digits at smaller order), for digits 1..7.
-    """
-    spread = digit_levels(cells, place, places)
-    key = [*group, "level", "prefix"]
-    own = [
-        F.coalesce(F.sum(F.when(F.col("digit") == d, value)), F.lit(0)).alias(f"c_{name}_{d}")
-        for name, value in sums.items()
-        for d in range(FAN)
-    ]
-    level_cells = spread.groupBy(*key, *order).agg(*own)
-    below = [
-        sum((F.col(f"c_{name}_{e}") for e in range(1, d)), F.col(f"c_{name}_0")).alias(
-            f"b_{name}_{d}"
-        )
-        for name in sums
-        for d in range(1, FAN)
-    ]
-    counters = [f"b_{name}_{d}" for name in sums for d in range(1, FAN)]
-    return running_totals(
-        level_cells.select("*", *below), key, order, counters, spacing, with_all=False
-    )
-
-
-def concordant_pairs(
-    ranked: DataFrame, group: list[str], pred: str, spacing: int | None = SPACING
-) -> DataFrame:
+def concordant_pairs(ranked: DataFrame, group: list[str], pred: str, spacing: int | None = SPACING) -> DataFrame:
     """Pairs ordered the same way by both sides, per group, from ``joint_ranks`` cells."""
-    totals = smaller_both_ways(
-        ranked, group, "place_t", "places_t", [pred], {"n": F.col("cnt")}, spacing=spacing
-    )
-    wide = "decimal(38,0)"
-    agree = sum(
-        (
-            F.col(f"c_n_{d}").cast("decimal(19,0)") * F.col(f"before_b_n_{d}").cast("decimal(19,0)")
-            for d in range(2, FAN)
-        ),
-        F.col("c_n_1").cast("decimal(19,0)") * F.col("before_b_n_1").cast("decimal(19,0)"),
-    )
-    return totals.groupBy(*group).agg(F.sum(agree.cast(wide)).cast("double").alias("concordant"))
+    spacing = min(spacing or STRETCH, STRETCH)
+    found = pair_sums(ranked, group, "place_t", pred, ["cnt"], ["cnt"], spacing)
+    return found.select(*group, F.col("total").cast("double").alias("concordant"))
 
 
 def _pairs(n: Column) -> Column:
@@ -137,44 +76,25 @@ def pairwise_hinge(
     clean = df.select(
         *batch, F.col(target).cast("double").alias("_t"), F.col(score).cast("double").alias("_s")
     ).where("_t is not null and _s is not null")
-    cells = clean.groupBy(*batch, "_t", "_s").agg(F.count(F.lit(1)).alias("cnt"))
-    places = value_ranks(cells, batch, "_t", "cnt", spacing).select(
-        *batch, "_t", "place", "places", F.col("rows")
-    )
-    placed = cells.join(places, [*batch, "_t"])
+    cells = written_cells(clean, batch, ["_t", "_s"])
     # Sorting by falling position puts the costly low entries before the high ones.
+    none = F.lit(0.0)
     low = F.struct(
-        (-(F.col("_s") + margin)).alias("at"), F.col("cnt").alias("low"), F.lit(0).cast("long").alias("high")
-    )
-    high = F.struct(
-        (-F.col("_s")).alias("at"), F.lit(0).cast("long").alias("low"), F.col("cnt").alias("high")
-    )
-    entries = placed.select(
-        *batch, "place", "places", F.explode(F.array(low, high)).alias("e")
-    ).select(*batch, "place", "places", "e.*")
-    totals = smaller_both_ways(
-        entries,
-        batch,
-        "place",
-        "places",
-        ["at"],
-        {
-            "low": F.col("low"),
-            "shift": F.col("low") * -F.col("at"),
-            "high": F.col("high"),
-        },
-        spacing=spacing,
+        (none - (F.col("_s") + margin)).alias("at"), F.col("cnt").cast("double").alias("low"), none.alias("high")
     )
-    # At one position: high rows n_d, and below them low rows of smaller digits summing to shift.
-    cost = sum(
-        (
-            F.col(f"c_high_{d}")
-            * (F.col(f"before_b_shift_{d}") + F.col("at") * F.col(f"before_b_low_{d}"))
-            for d in range(2, FAN)
-        ),
-        F.col("c_high_1") * (F.col("before_b_shift_1") + F.col("at") * F.col("before_b_low_1")),
+    high = F.struct((none - F.col("_s")).alias("at"), none.alias("low"), F.col("cnt").cast("double").alias("high"))
+    numbers = cells.where(F.abs("_s") < F.lit(float("inf")))
+    entries = numbers.select(*batch, "_t", F.explode(F.array(low, high)).alias("e")).select(*batch, "_t", "e.*")
+    # A low entry below a high one costs the difference of their positions.
+    weighed = entries.withColumns({"low_at": F.col("low") * -F.col("at"), "high_at": F.col("high") * F.col("at")})
+    total = pair_sums(
+        weighed, batch, "_t", "at", ["low_at", "low"], ["high", "high_at"], min(spacing, STRETCH)
     )
-    total = totals.groupBy(*batch).agg(F.sum(cost).alias("cost"))
+    # Scores that are no finite numbers leave no loss.
+    odd = cells.groupBy(*batch).agg(F.sum(F.col("_s") * 0).alias("_odd"))
+    for b in batch:
+        odd = odd.where(F.col(b).isNotNull())
+    total = odd.join(total, batch, "left").select(*batch, (F.coalesce("total", F.lit(0.0)) + F.col("_odd")).alias("cost"))
     tied = (
         cells.groupBy(*batch, "_t")
         .agg(F.sum("cnt").alias("_n"))

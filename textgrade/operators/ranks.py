@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from textgrade.functions.numbers import as_number
+from textgrade.operators.stretches import STRETCH, ranks_of, stretched, written_cells
 from textgrade.sources.settled import is_small, settle
 
 # Cells in a stretch, on average.
@@ -227,44 +228,89 @@ def joint_ranks(
 
     Gives the distinct ``(target, pred)`` cells of the rows that have both, with their row count
     ``cnt``, the counts and average ranks of either value, and the places used for counting pairs.
-    Hot ties shrink to one cell before anything is shuffled by value. The cells are settled and the
-    largest group is measured: where a group fits one task two windows do, else rank tables of the
-    distinct values, cut into stretches.
+    Hot ties shrink, a slice of rows at a time, before anything is shuffled by value. A table that fits one
+    task is ranked by windows; else cells are cut into stretches by either value in turn.
     """
-    return measured_joint_ranks(df, group, target, pred, spacing)[0]
+    both = df.where(F.col(target).isNotNull() & F.col(pred).isNotNull())
+    return ranks_of_cells(written_cells(both, group, [target, pred]), group, target, pred, spacing)
 
 
-def measured_joint_ranks(
-    df: DataFrame, group: list[str], target: str, pred: str, spacing: int = SPACING
-) -> tuple[DataFrame, bool]:
-    """``joint_ranks``, and whether every group turned out to be small."""
-    both = df.where(F.col(target).isNotNull() & F.col(pred).isNotNull())
+def ranks_of_cells(
+    cells: DataFrame, group: list[str], target: str, pred: str, spacing: int = SPACING
+) -> DataFrame:
+    """``joint_ranks`` of written rows with a count ``cnt``, of which several may be one cell."""
+    cells = cells.where(F.col(target).isNotNull() & F.col(pred).isNotNull())
     for g in group:  # as in value_ranks, a null group has no ranks
-        both = both.where(F.col(g).isNotNull())
-    weight = F.sum("cnt") if "cnt" in df.columns else F.count(F.lit(1))
-    cells = settle(both.groupBy(*group, target, pred).agg(weight.alias("cnt")))
-    largest = cells.groupBy(*group).count().agg(F.max("count")).first()[0] or 0
-    if largest <= spacing:
-        return _ranked_by_windows(cells, group, target, pred), True
-
-    def side(value: str, mark: str) -> DataFrame:
-        ranks = value_ranks(cells, group, value, "cnt", spacing)
-        return ranks.select(
-            *group,
-            value,
-            F.col("cnt").alias(f"cnt_{mark}"),
-            F.col("avg_rank").alias(f"rank_{mark}"),
-            F.col("place").alias(f"place_{mark}"),
-            F.col("places").alias(f"places_{mark}"),
-            *([F.col("rows").alias("rows")] if mark == "t" else []),
-        )
+        cells = cells.where(F.col(g).isNotNull())
+    cells = cells.select(*group, target, pred, "cnt")
+    spacing = min(spacing, STRETCH)
+    count = -(-cells.count() // spacing)
+    if count <= 1:
+        once = cells.groupBy(*group, target, pred).agg(F.sum("cnt").alias("cnt"))
+        return _ranked_by_windows(settle(once), group, target, pred)
+    by_target = _ranked_in_stretches(cells, group, target, pred, "t", count, merge=True)
+    return _ranked_in_stretches(by_target, group, pred, target, "p", count)
+
+
+def _ranked_in_stretches(
+    cells: DataFrame, group: list[str], value: str, other: str, mark: str, count: int, merge: bool = False
+) -> DataFrame:
+    """Add ``cnt_``, ``rank_``, ``place_`` and ``places_<mark>`` of ``value``, and ``rows``, the rows of the group.
 
-    ranked = cells.join(side(target, "t"), [*group, target]).join(side(pred, "p"), [*group, pred])
-    return ranked, False
+    A stretch knows the ranks of its cells but for what came before its first group, how its last group goes on, and
+    runs of equal values that go over a cut. Those are at most its first and its last run: two rows a stretch, which are
+    put together and sent to the cells.
+    """
+    names = [*group, value, other]
+    kept = [*names, "cnt"] if merge else [c for c in cells.columns if c != "rows"]
+    local = ["_before", "_run", "_rows", "_place", "_places"]
+    typed = cells.select(*kept, F.spark_partition_id().alias("_stretch"), *[F.lit(0).cast("long").alias(c) for c in local], F.lit(0).alias("_mark"))
+    work, columns = ranks_of(group, value), typed.columns
+
+    def ranked(table):
+        return work(table).select(columns)
+
+    placed = stretched(cells.select(*kept), names, count, ranked, typed.schema, names if merge else None)
+    edges = settle(placed.where("_mark > 0").select(*group, value, "_stretch", *local).coalesce(1))
+    of_run = Window.partitionBy(*group, value)
+    edges = edges.withColumns({"_from": F.min("_stretch").over(of_run), "_run": F.sum("_run").over(of_run)})
+    # A run that came over the cut has been counted among the places of an earlier stretch.
+    goes_on = F.max((F.col("_from") < F.col("_stretch")).cast("long"))
+    spans = edges.groupBy(*group, "_stretch").agg(
+        F.max("_rows").alias("_rows"), F.max("_places").alias("_places"), goes_on.alias("_twice")
+    )
+    whole = Window.partitionBy(*group)
+    earlier = whole.orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    own = F.col("_places") - F.col("_twice")
+    spans = settle(spans.select(
+        *group, "_stretch",
+        F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_off"),
+        (F.coalesce(F.sum(own).over(earlier), F.lit(0)) - F.col("_twice")).alias("_shift"),
+        F.sum("_rows").over(whole).alias("_all_rows"),
+        F.sum(own).over(whole).alias("_all_places"),
+    ).coalesce(1))
+    at = [*group, "_stretch"]
+    runs = edges.where("_from = _stretch").join(spans, at).select(
+        *group, value,
+        (F.col("_off") + F.col("_before")).alias("_run_before"),
+        F.col("_run").alias("_run_cnt"),
+        (F.col("_shift") + F.col("_place")).alias("_run_place"),
+    )
+    moved = placed.join(F.broadcast(spans), at, "left").join(F.broadcast(settle(runs.coalesce(1))), [*group, value], "left")
+    before = F.coalesce("_run_before", F.col("_before") + F.coalesce("_off", F.lit(0)))
+    size = F.coalesce("_run_cnt", "_run")
+    return moved.select(
+        *kept,
+        size.alias(f"cnt_{mark}"),
+        (before + (size + 1) / 2).alias(f"rank_{mark}"),
+        F.coalesce("_run_place", F.col("_place") + F.coalesce("_shift", F.lit(0))).alias(f"place_{mark}"),
+        F.coalesce("_all_places", "_places").alias(f"places_{mark}"),
+        F.coalesce("_all_rows", "_rows").alias("rows"),
+    )
 
 
 def _ranked_by_windows(cells: DataFrame, group: list[str], target: str, pred: str) -> DataFrame:
-    """Joint ranks of cells whose groups are known to be small."""
+    """Joint ranks of cells known to be few."""
     whole = Window.partitionBy(*group)
     out = cells
     for value, mark in ((target, "t"), (pred, "p")):
