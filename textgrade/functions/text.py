@@ -65,12 +65,13 @@ def difficulty_proxy(text: Column | str) -> Column:
     Only ASCII letters and apostrophes make words; a text without end marks is one sentence.
     """
     text = _col(text)
-    words = F.regexp_count(text, F.lit("[A-Za-z']+"))
+    # the words are cut out once for both counts: used in every case, they are one common subexpression
+    found = F.regexp_extract_all(text, F.lit("[A-Za-z']+"), F.lit(0))
+    words, letters = F.array_size(found), F.length(F.array_join(found, ""))
     sentences = F.greatest(F.regexp_count(text, F.lit("[.!?]+")), F.lit(1))
-    letters = F.length(F.regexp_replace(text, "[^A-Za-z']", ""))
-    return F.when(words == 0, F.lit(0.0)).otherwise(
-        F.lit(WORDS_PER_SENTENCE_WEIGHT) * (words / sentences)
-        + F.lit(CHARS_PER_WORD_WEIGHT) * F.try_divide(letters, words)
+    # without words there are no letters, and both terms are 0
+    return F.lit(WORDS_PER_SENTENCE_WEIGHT) * (words / sentences) + F.lit(CHARS_PER_WORD_WEIGHT) * (
+        letters / F.greatest(words, F.lit(1))
     )
 
 
