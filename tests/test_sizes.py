@@ -5,18 +5,20 @@ import tracemalloc
 from decimal import Decimal
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from textgrade.functions.text import SLICE, excerpts, window_text
-from textgrade.llm import extraction
+from textgrade.llm import extraction, hashing, minmax
 from textgrade.operators import neighbors
 from textgrade.operators.ablation import mean_prediction, score_variants
 from textgrade.operators.neighbors import nearest_gold
 from textgrade.operators.pseudo import ensemble_stats, missing_inputs
 from textgrade.operators.ranks import exact_quantiles, joint_ranks, unique_rank, value_ranks
 from textgrade.sources.corpora import fetch_texts
+from textgrade.sources.settled import TEXT_ROWS, settle_texts
 
 START = dt.datetime(2021, 3, 4, 5, 6, 7, 890123)
 KEYS = {
@@ -179,3 +181,38 @@ def test_texts_are_packed_and_extracted_a_slice_at_a_time(spark):
     pages = extraction.extract_main_text(df, ("k",))
     assert {r.k: r.text for r in pages.collect()} == {k: extraction.main_text(f"<html><body><p>{k} is a page</p></body></html>" if t else None) for k, t in enumerate(texts)}
     assert n > 2 * extraction.SLICE and "MapInArrow" in pages._jdf.queryExecution().executedPlan().toString()
+
+
+def test_shingles_are_made_a_stretch_of_texts_at_a_time(monkeypatch):
+    texts = [None if k % 9 == 4 else " ".join(f"W{k % 50}x{j * j % 97}" for j in range(k * 7 % 300)) for k in range(20000)]
+    column = pa.array(texts)
+    list(hashing.shingle_sets(column[:2], 5))
+    tracemalloc.start()
+    size = sum(len(s) for s in hashing.shingle_sets(column, 5))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert size > 1_000_000 and most < 32 * 2**20  # it was 111 MB with the words of all texts at once
+    few = column.slice(3, 400)
+    batch = pa.RecordBatch.from_arrays([pa.array([b"%d" % k for k in range(400)]), few], names=["wanted", "text"])
+    whole = list(minmax._sets(5)([batch]))
+    monkeypatch.setattr(hashing, "STRETCH", 3000)
+    cut = list(minmax._sets(5)([batch]))
+    assert len(whole) == 1 and len(cut) > 50
+    assert pa.Table.from_batches(cut).to_pylist() == whole[0].to_pylist()
+    assert [s.tolist() for s in hashing.shingle_sets(few, 5)] == [s.tolist() for t in few for s in hashing.shingle_sets(pa.array([t], pa.string()), 5)]
+    assert list(minmax._sets(5)([batch.slice(0, 0)])) == [] and list(hashing.shingle_sets(pa.array([None, ""], pa.string()), 5))[1].tolist() == []
+
+
+def test_workers_get_few_texts_at_a_time(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    given = spark.conf.get(key)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(batch)])], names=["n"])
+
+    found = [r.n for r in settle_texts(spark.range(0, 4 * TEXT_ROWS + 5, numPartitions=1).mapInArrow(sizes, "n long")).collect()]
+    assert max(found) == TEXT_ROWS and sum(found) == 4 * TEXT_ROWS + 5 and spark.conf.get(key) == given
+    with pytest.raises(PySparkException):
+        settle_texts(spark.range(1).select(F.raise_error(F.lit("no"))))
+    assert spark.conf.get(key) == given

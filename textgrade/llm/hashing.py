@@ -10,6 +10,8 @@ import pyarrow.compute as pc
 
 #: Bytes hashed at a time; a longer word makes its block longer.
 BLOCK = 1 << 19
+#: Bytes of texts whose words and sets are held at a time; a longer text is one stretch.
+STRETCH = 1 << 20
 _BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2^64
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -78,19 +80,31 @@ def words(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.searchsorted(at, offsets), np.concatenate(hashes)
 
 
+def stretches(column: pa.Array) -> Iterator[pa.Array]:
+    """The column cut between texts, so that what is made of a part does not grow with the batch."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    low = 0
+    while low < len(column):
+        before = ends[low - 1] if low else 0
+        high = max(low + 1, int(np.searchsorted(ends, before + STRETCH, side="right")))
+        yield column.slice(low, high - low)
+        low = high
+
+
 def shingle_sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
     """The sorted distinct shingles of every text, as 64-bit hashes of ``width`` words in order.
 
     A text with fewer words has one shingle of all of them, one without words has none.
     """
-    first, hashes = words(*text_bytes(column))
-    with np.errstate(over="ignore"):
-        for low, high in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-            n = min(width, high - low)
-            if n == 0:
-                yield hashes[:0]
-                continue
-            shingle = np.full(high - low - n + 1, n, dtype=np.uint64)
-            for k in range(n):
-                shingle = mix(shingle * np.uint64(_BASE) + hashes[low + k : high - n + 1 + k])
-            yield np.unique(shingle)
+    for part in stretches(column):
+        first, hashes = words(*text_bytes(part))
+        with np.errstate(over="ignore"):
+            for low, high in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+                n = min(width, high - low)
+                if n == 0:
+                    yield hashes[:0]
+                    continue
+                shingle = np.full(high - low - n + 1, n, dtype=np.uint64)
+                for k in range(n):
+                    shingle = mix(shingle * np.uint64(_BASE) + hashes[low + k : high - n + 1 + k])
+                yield np.unique(shingle)

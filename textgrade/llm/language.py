@@ -12,12 +12,11 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from textgrade.llm.common import broadcast_if_small, same
-from textgrade.sources.settled import settle
+from textgrade.sources.settled import settle, settle_texts
 
 #: Rows for each declared language that the models are fitted on. Every declared value is a language, the most common
 #: ones if there are more than LANGUAGES; so the models have at most 64 MB.
@@ -57,16 +56,18 @@ def trigrams(text: str) -> Iterator[np.ndarray]:
         yield (mixed >> np.uint64(50)).astype(np.int64)
 
 
-def _counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     totals: dict[str, np.ndarray] = {}
-    for frame in frames:
-        for name, text in zip(frame["declared"], frame["text"], strict=True):
-            total = totals.setdefault(name, np.zeros(BUCKETS, dtype=np.int64))
-            for part in trigrams(text):
+    for batch in batches:
+        # one text at a time as a Python string, whatever the size of the batch
+        for name, text in zip(batch.column("declared"), batch.column("text"), strict=True):
+            total = totals.setdefault(name.as_py(), np.zeros(BUCKETS, dtype=np.int64))
+            for part in trigrams(text.as_py()):
                 total += np.bincount(part, minlength=BUCKETS)
     for name, total in totals.items():
         used = np.flatnonzero(total)
-        yield pd.DataFrame({"declared": name, "bucket": used, "n": total[used]})
+        columns = [pa.array([name] * len(used), pa.string()), pa.array(used.astype(np.int32)), pa.array(total[used])]
+        yield pa.RecordBatch.from_arrays(columns, names=["declared", "bucket", "n"])
 
 
 def fit(rows: DataFrame, fit_rows: int = FIT_ROWS, languages: int = LANGUAGES) -> tuple[list[str], np.ndarray]:
@@ -88,7 +89,7 @@ def fit(rows: DataFrame, fit_rows: int = FIT_ROWS, languages: int = LANGUAGES) -
     cuts = settle(first.groupBy(F.col("declared").alias("_of")).agg(F.max("draw").alias("cut")))
     within = (F.col("declared") == F.col("_of")) & (F.col("draw") <= F.col("cut"))
     sample = low.join(F.broadcast(cuts), within, "left_semi").dropDuplicates(["declared", "draw"])
-    counts = sample.select("declared", "text").mapInPandas(_counted, "declared string, bucket int, n long")
+    counts = sample.select("declared", "text").mapInArrow(_counted, "declared string, bucket int, n long")
     table = np.full((BUCKETS, len(names)), 0.5, dtype=np.float32)
     place = {n: k for k, n in enumerate(names)}
     found = counts.groupBy("declared", "bucket").agg(F.sum("n").alias("n")).toArrow()
@@ -275,7 +276,7 @@ def identify_language(
     context = docs.sparkSession.sparkContext
     names, table = fit(source.select("doc_id", "text", "declared"), fit_rows, languages)
     kind = source.schema["doc_id"].dataType.simpleString()
-    scored = settle(source.mapInArrow(_scored(context.broadcast(table), background), f"doc_id {kind}, {_SCORED}"))
+    scored = settle_texts(source.mapInArrow(_scored(context.broadcast(table), background), f"doc_id {kind}, {_SCORED}"))
     if not names:
         return scored.select(
             "doc_id", nothing.alias("language"), F.lit(None).cast("double").alias("confidence"), nothing.alias("text_language"),

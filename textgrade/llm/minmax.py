@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from textgrade.llm.common import broadcast_if_small, same
 from textgrade.llm.components import components
-from textgrade.llm.hashing import mix, shingle_sets
-from textgrade.sources.settled import settle
+from textgrade.llm.hashing import mix, shingle_sets, stretches
+from textgrade.sources.settled import settle, settle_texts
 
 BANDS, ROWS = 42, 5
 #: Documents, and shingles, that a block of a cluster holds on average at most.
@@ -86,12 +86,14 @@ def _sketches(width: int, bands: int, rows: int):
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = list(shingle_sets(batch.column("text"), width))
-            prints = pa.array([_print(s) for s in sets], pa.binary())
-            views = [s.view(np.int64) for s in sets]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("wanted"), prints, _lists(views)], names=["wanted", "print", "shingles"]
-            )
+            low = 0
+            for part in stretches(batch.column("text")):
+                sets = list(shingle_sets(part, width))
+                prints = pa.array([_print(s) for s in sets], pa.binary())
+                views = [s.view(np.int64) for s in sets]
+                wanted = batch.column("wanted").slice(low, len(part))
+                yield pa.RecordBatch.from_arrays([wanted, prints, _lists(views)], names=["wanted", "print", "shingles"])
+                low += len(part)
 
     return run
 
@@ -221,7 +223,7 @@ def near_duplicates(
     """
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     id_type = source.schema["doc_id"].dataType.simpleString()
-    sketches = settle(
+    sketches = settle_texts(
         source.mapInArrow(
             _sketches(width, bands, rows), f"doc_id {id_type}, n_shingles long, print binary, keys array<long>"
         )
@@ -245,7 +247,7 @@ def near_duplicates(
     full = source.join(broadcast_if_small(wanted), F.col("doc_id") == F.col("wanted_id")).select("text", "wanted")
     sets = full.mapInArrow(_sets(width), "wanted binary, print binary, shingles array<long>").where("wanted = print")
     placed = settle(_block_pairs(members, threshold)).select("print", "cluster", F.explode("places").alias("p"))
-    links = settle(
+    links = settle_texts(
         placed.select("print", "cluster", "p.*")
         .join(sets.select("print", "shingles"), "print")
         .groupBy("cluster", "low", "high", "first", "second")

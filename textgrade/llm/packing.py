@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from textgrade.llm.common import broadcast_if_small
 from textgrade.llm.tokenizers_ import default_path, ids_of
-from textgrade.sources.settled import settle
+from textgrade.sources.settled import settle, settle_texts
 
 CAPACITY = 2048
 
@@ -171,7 +171,7 @@ def pack_documents(
     """
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
-    pieces = settle(
+    pieces = settle_texts(
         source.mapInArrow(
             _cut(tokenizer or default_path(), limits.tokens, end_id),
             f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, place long, part int",

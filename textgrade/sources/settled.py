@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,6 +53,28 @@ def settle(df: DataFrame, spread_by: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows that a Python worker is sent at a time where they are whole texts: some MB, in the worker and outside the JVM's heap.
+TEXT_ROWS = 512
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextmanager
+def few_rows_a_batch(spark: SparkSession, rows: int = TEXT_ROWS) -> Iterator[None]:
+    """Smaller Arrow batches for what is written inside; the session's own value is back afterwards."""
+    given = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(min(rows, int(given)) if int(given) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, given)
+
+
+def settle_texts(df: DataFrame) -> DataFrame:
+    """``settle`` for a table that Python workers make of whole texts."""
+    with few_rows_a_batch(df.sparkSession):
+        return settle(df)
+
+
 #: Rows, and bytes of files, up to which a written table is broadcast.
 BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 16 << 20
 
